@@ -6,5 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from stratafin.operators import nested
+from stratafin.sources.tables import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.node_table(nested.unnest(table(spark, sf_dir, "parser_result")))
+
+
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.page_table(nested.unnest(table(spark, sf_dir, "parser_result")))
+
+
+def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.block_table(nested.unnest(table(spark, sf_dir, "parser_result")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_pages": p5_pages,
+    "p5_blocks": p5_blocks,
+}
 ORACLES: dict[str, str] = {}
