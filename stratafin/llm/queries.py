@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import bpe
+from stratafin.llm import bpe, language
 from stratafin.sources.tables import table
 
 
@@ -23,9 +23,22 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(back, "doc_id").groupBy(same.alias("same")).agg(F.count("*").alias("n_docs"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.wrong_labels(docs, language.fit_languages(docs)).select("doc_id", "seg_no", "lang")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and every line of the mixed ones, with language and confidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.label_documents(docs, language.fit_languages(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }
 
 ORACLES: dict[str, str] = {
