@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import bpe, language
-from stratafin.sources.tables import table
+from stratafin.llm import bpe, canonical, language, lexicon
+from stratafin.sources.tables import newest, table
+
+
+def report_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """(rec_table, rec_id, text) of all blocks and parses; ``once`` leaves re-delivered rows out."""
+    blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
+    if once:
+        blocks = newest(blocks, "block_id", "ingested_at", "content", "ingested_at")
+        parses = newest(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
+    a = blocks.select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), F.col("content").alias("text"))
+    return a.union(parses.select(F.lit("parser_result"), "result_id", "plain_text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = report_texts(spark, sf_dir)
+    words = lexicon.vocabulary(lexicon.count_words(texts, "text"))
+    found = canonical.canonical_texts(texts.filter("text IS NOT NULL"), "text", words, only_changed=True)
+    return found.select("rec_table", "rec_id").distinct()
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its text in the canonical form."""
+    texts = report_texts(spark, sf_dir, once=True)
+    words = lexicon.vocabulary(lexicon.count_words(report_texts(spark, sf_dir), "text"))
+    return canonical.canonical_texts(texts, "text", words).select("rec_table", "rec_id", "canonical")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +59,8 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p8_found": p8_found,
