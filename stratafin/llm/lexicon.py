@@ -112,6 +112,41 @@ class Trie:
         return [(done, node[""]) for node, done in states if "" in node]
 
 
+    def noisy(self, token: str, budget: int = 2, count=None) -> list[tuple[int, str, int]]:
+        """(edits, word, count) of words the token may be a misreading of; each confusion costs one."""
+        states, out = [(self.root, "", 0, 0)], []
+        while states:
+            node, done, i, cost = states.pop()
+            if i == len(token):
+                if "" in node:
+                    out.append((cost, done, node[""]))
+                continue
+            c = token[i]
+            if c in node:
+                states.append((node[c], done + c, i + 1, cost))
+            if cost < budget:
+                for width in (1, 2):
+                    for meant in MISREAD.get(token[i : i + width], ()) if i + width <= len(token) else ():
+                        at = node
+                        for m in meant:
+                            at = at.get(m)
+                            if at is None:
+                                break
+                        else:
+                            states.append((at, done + meant, i + width, cost + 1))
+        return out
+
+
+#: What stands in a scan for what was printed, in lower case.
+MISREAD: dict[str, tuple[str, ...]] = {
+    "0": ("о", "o"), "8": ("в", "b"), "6": ("б",), "4": ("ч",), "3": ("з",), "1": ("i", "l"), "5": ("s",), "9": ("g",), "!": ("i", "l"), "|": ("l", "i"), "$": ("s",),
+    "с": ("е",), "г": ("т",), "п": ("н", "л"), "н": ("и",), "и": ("ц",), "щ": ("ш",),
+    "c": ("e",), "u": ("n",), "b": ("h",), "d": ("cl",), "rn": ("m",), "vv": ("w",), "ii": ("n",), "li": ("h",),
+}
+#: Letters that stand for digits in a scanned number.
+DIGIT_LIKE = {"O": "0", "o": "0", "О": "0", "о": "0", "S": "5", "s": "5", "l": "1", "I": "1", "|": "1", "!": "1", "B": "8", "З": "3", "з": "3", "б": "6"}
+
+
 def fold_width(text: str) -> str:
     """Full-width forms to plain ones."""
     return text.translate(_WIDTH)

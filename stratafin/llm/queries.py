@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import bpe, canonical, language, lexicon
+from stratafin.llm import bpe, canonical, language, lexicon, scan
 from stratafin.sources.tables import newest, table
 
 
@@ -35,6 +35,28 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(texts, "text", words).select("rec_table", "rec_id", "canonical")
 
 
+def placed_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """(rec_table, rec_id, doc, page, block_no, text): blocks by report and page, parses as one report each."""
+    blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
+    if once:
+        blocks = newest(blocks, "block_id", "ingested_at", "doc_id", "page_number", "block_no", "content", "ingested_at")
+        parses = newest(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
+    none = F.lit(None).cast("int")
+    a = blocks.select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), "block_no", F.col("content").alias("text"))
+    return a.union(parses.select(F.lit("parser_result"), "result_id", F.concat(F.lit("parse "), "result_id"), none, none, "plain_text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = placed_texts(spark, sf_dir)
+    return scan.find_noise(texts, lexicon.vocabulary(lexicon.count_words(texts, "text")))
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as continuous paragraphs, free of what scanning added."""
+    texts = placed_texts(spark, sf_dir, once=True)
+    return scan.repair_texts(texts, lexicon.vocabulary(lexicon.count_words(placed_texts(spark, sf_dir), "text")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +83,8 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
+    "p4_found": p4_found,
+    "p4_texts": p4_texts,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p8_found": p8_found,
