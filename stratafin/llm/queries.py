@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import bpe, canonical, language, lexicon, scan
+from stratafin.llm import bpe, canonical, language, lexicon, residue, scan
 from stratafin.sources.tables import newest, table
 
 
@@ -35,6 +35,27 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(texts, "text", words).select("rec_table", "rec_id", "canonical")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = table(spark, sf_dir, "recommendations").select("rec_id", "doc_id", "recommendations")
+    judge = residue.fit_judge(recs, "recommendations", "doc_id")
+    scored = residue.judge_texts(recs.select("rec_id", "recommendations"), judge, "recommendations")
+    return scored.filter(F.col("residue") >= residue.REFUSE).select("rec_id").distinct()
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record once with its score and whether it is kept as advice (null is not)."""
+    recs = newest(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "doc_id", "model", "recommendations", "created_at")
+    judge = residue.fit_judge(recs, "recommendations", "doc_id")
+    scored = residue.judge_texts(recs.select("rec_id", "recommendations", F.col("recommendations").isNotNull().alias("given")), judge, "recommendations")
+    return scored.select("rec_id", "residue", (F.col("given") & (F.col("residue") < residue.REFUSE)).alias("kept"))
+
+
+def p2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the classifier with the weak labels, over reports the fit did not see."""
+    recs = table(spark, sf_dir, "recommendations").select("rec_id", "doc_id", "recommendations")
+    return residue.validate(recs, residue.fit_judge(recs, "recommendations", "doc_id"), "recommendations", "doc_id")
+
+
 def placed_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(rec_table, rec_id, doc, page, block_no, text): blocks by report and page, parses as one report each."""
     blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
@@ -83,6 +104,9 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
+    "p2_found": p2_found,
+    "p2_kept": p2_kept,
+    "p2_validation": p2_validation,
     "p4_found": p4_found,
     "p4_texts": p4_texts,
     "p6_ids": p6_ids,
