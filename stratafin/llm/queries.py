@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import bpe, canonical, language, lexicon, residue, scan
+from stratafin.llm import bpe, canonical, language, lexicon, mixing, residue, scan
 from stratafin.sources.tables import newest, table
 
 
@@ -90,6 +90,20 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(back, "doc_id").groupBy(same.alias("same")).agg(F.count("*").alias("n_docs"))
 
 
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document, by the public tokenizer."""
+    return bpe.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.reached_shares(mixing.mix(sized_documents(spark, sf_dir), targets), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.wrong_labels(docs, language.fit_languages(docs)).select("doc_id", "seg_no", "lang")
@@ -111,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_texts": p4_texts,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }
