@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratafin.operators import nested
+from stratafin.operators import nested, units
 from stratafin.sources.tables import table
 
 
+def report_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the converted fields with its unit and in million roubles."""
+    blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
+    none = F.lit(None).cast("int")
+    texts = blocks.select("doc_id", F.col("page_number").alias("page"), F.col("block_no").alias("block"), F.col("content").alias("text"))
+    texts = texts.union(parses.select("doc_id", none, none, "plain_text"))
+    return units.common_units(table(spark, sf_dir, "financial_facts"), texts, table(spark, sf_dir, "fx_rates"), ("page", "block"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.in_other_units(report_units(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.node_table(nested.unnest(table(spark, sf_dir, "parser_result")))
 
@@ -23,6 +37,8 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_values": report_units,
     "p5_found": p5_found,
     "p5_pages": p5_pages,
     "p5_blocks": p5_blocks,
