@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafin.functions.loose import INVISIBLE, SPACE, any_of, loose
+from stratafin.functions.loose import SPACE, any_of, loose
+from stratafin.session import stage
 from stratafin.sources.tables import newest
 
 FACTS = ("revenue", "net_profit", "profit_from_sales", "total_assets", "equity", "current_assets", "current_liabilities", "inventories", "cash_and_short_term_investments", "total_liabilities", "accounts_receivable", "capex")
@@ -42,54 +43,63 @@ OPENERS = (
     any_of("amounts are", "amounts in", "figures in", "expressed in", "presented in", "stated in"),
     rf"[(（]{SPACE}*+" + any_of("в тыс*", "в млн", "в млрд", "в миллион*", "в миллиард*", "в рубл*", "в долл*", "в евро", "в тенге", "in thousand*", "in million*", "in billion*", "in whole", "in rouble*"),
 )
-_CODE = any_of("383", "384", "385")
 #: A statement: an opener and what follows up to the first number (an OKEI code or ``000`` belongs to it).
 STATEMENT = rf"(?<![A-Za-zА-Яа-яЁё])(?:{'|'.join(OPENERS)})(?:[^\d０-９)）]|[0-9](?=[A-Za-zА-Яа-яЁё])|(?<=[A-Za-zА-Яа-яЁё])[0-9](?![0-9])){{0,90}}+(?:'?[0０OО][0０OО][0０OО]|[3３З][8８BВ][3-5３-５ЗS])?"
 
-_SCALES = (
-    (9, any_of("миллиард*", "млрд", "mlrd", "billion*") + rf"|\bbn\b|{loose('bn')}(?![\p{{L}}])"),
-    (6, any_of("миллион*", "млн", "million*") + r"|\bmn\b|(?<=[A-Za-z$€] )m\b|\bM(?=RUB|USD|EUR|KZT)|" + rf"{loose('mn')}(?![\p{{L}}])"),
-    (3, any_of("тысяч*", "тыс", "thousand*") + r"|\bт\.?\s?р\b|['’]?\(?[0０][0０][0０]s?|\bk\b|\bK(?=RUB|USD|EUR|KZT)"),
+#: Words and signs of scales (powers of ten) and currencies.
+SCALES = (
+    (9, ("миллиард*", "млрд", "mlrd", "billion*", "bn"), r""),
+    (6, ("миллион*", "млн", "million*", "mn"), r"|(?<=[A-Za-z$€] )m\b|\bM(?=RUB|USD|EUR|KZT)"),
+    (3, ("тысяч*", "тыс", "thousand*"), r"|\bт\.?\s?р\b|['’]?\(?[0０][0０][0０]s?|\bk\b|\bK(?=RUB|USD|EUR|KZT)"),
 )
-_CURRENCIES = (
-    ("USD", any_of("долл*", "usd", "dollar*") + r"|\$"),
-    ("EUR", any_of("евро", "euro*") + rf"|€|(?<!\p{{L}}){loose('eur')}(?!\p{{L}})"),
-    ("KZT", any_of("тенге", "tenge", "kzt") + r"|₸|\bтг\b"),
-    ("RUB", any_of("рубл*", "руб", "rub", "rouble*", "ruble*") + r"|₽|\bт\.?\s?р\b|\bр\."),
+CURRENCIES = (
+    ("USD", ("долл*", "usd", "dollar*"), r"|\$"),
+    ("EUR", ("евро", "euro*", "eur"), r"|€"),
+    ("KZT", ("тенге", "tenge", "kzt"), r"|₸|\bтг\b"),
+    ("RUB", ("рубл*", "руб", "rub", "rouble*", "ruble*"), r"|₽|\bт\.?\s?р\b|\bр\."),
 )
 
 
-def _has(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?iu){pattern}")
+def _spoken(words: Sequence[str], signs: str, noisy: bool) -> str:
+    """A pattern for any of the words or signs; short Latin words stand alone."""
+    one = loose if noisy else (lambda w: w.replace("*", "\\w*"))
+    alone = [w for w in words if w in ("bn", "mn", "eur")]
+    parts = [one(w) for w in words if w not in alone] + [rf"(?<!\p{{L}}){one(w)}(?!\p{{L}})" for w in alone]
+    return f"(?iu){'|'.join(parts)}{signs}"
 
 
-def unit_in(c: Column) -> Column:
+def unit_in(c: Column, noisy: bool = False) -> Column:
     """struct(currency, scale) a short text names: the scale as a power of ten; null if it names neither.
 
-    A currency without a scale is in whole units; a scale without a currency is in roubles.
+    A currency without a scale is in whole units; a scale without a currency is
+    in roubles. ``noisy`` allows for what scanning and look-alikes do to words.
     """
     scale, currency = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for power, pattern in reversed(_SCALES):
-        scale = F.when(_has(c, pattern), power).otherwise(scale)
-    for code, pattern in reversed(_CURRENCIES):
-        currency = F.when(_has(c, pattern), code).otherwise(currency)
+    for power, words, signs in reversed(SCALES):
+        scale = F.when(c.rlike(_spoken(words, signs, noisy)), power).otherwise(scale)
+    for code, words, signs in reversed(CURRENCIES):
+        currency = F.when(c.rlike(_spoken(words, signs, noisy)), code).otherwise(currency)
+    one = loose if noisy else str
     for code, power in OKEI.items():
-        said = _has(c, rf"{loose('океи')}.*{loose(code)}") | c.rlike(rf"^\s*{code}\s*$")
+        said = c.rlike(rf"(?iu){one('океи')}.*{one(code)}|^\s*{code}\s*$")
         scale, currency = F.when(said, power).otherwise(scale), F.when(said, "RUB").otherwise(currency)
-    named = scale.isNotNull() | currency.isNotNull()
-    return F.when(named, F.struct(F.coalesce(currency, F.lit("RUB")).alias("currency"), F.coalesce(scale, F.lit(0)).alias("scale")))
+    unit = F.struct(currency.alias("currency"), scale.alias("scale"))
+    done = F.transform(F.array(unit), lambda u: F.when(u["scale"].isNotNull() | u["currency"].isNotNull(), F.struct(F.coalesce(u["currency"], F.lit("RUB")).alias("currency"), F.coalesce(u["scale"], F.lit(0)).alias("scale"))))
+    return F.get(done, F.lit(0))
 
 
 def declared_units(texts: DataFrame, entity: str, text: str, order: Sequence[str] = ()) -> DataFrame:
     """(entity, unit): the unit of presentation its texts declare; only entities with a statement.
 
-    Texts are scanned where they lie; what is shuffled is one short row a statement.
+    Texts are scanned where they lie; what is shuffled is one short row a
+    statement. The result is staged, so the long patterns stay out of later plans.
     """
     said = F.regexp_extract(F.col(text), STATEMENT, 0)
     rows = texts.filter(F.col(entity).isNotNull() & F.col(text).rlike(STATEMENT))
-    rows = rows.select(entity, unit_in(said).alias("unit"), F.struct(*order, F.col(text)).alias("_at")).filter("unit IS NOT NULL")
+    rows = rows.select(entity, said.alias("_said"), *order)
+    rows = rows.select(entity, unit_in(F.col("_said"), noisy=True).alias("unit"), F.struct(*order, F.col("_said")).alias("_at")).filter("unit IS NOT NULL")
     counted = rows.groupBy(entity, "unit").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
-    return counted.groupBy(entity).agg(F.min_by("unit", F.struct(-F.col("_n"), "_at")).alias("unit"))
+    return stage(counted.groupBy(entity).agg(F.min_by("unit", F.struct(-F.col("_n"), "_at")).alias("unit")))
 
 
 def label_unit(label: Column, field: str) -> Column:
@@ -137,8 +147,8 @@ def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Se
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), label_unit(F.col("unit_label"), f).alias("label")) for f in FIELDS])
     rows = linked.select("fact_id", "doc_id", "period_year", "link", "_said", F.inline(cells)).filter("value IS NOT NULL")
     # where a statement is pinned: the power of a record whose label agrees with it
-    pins = rows.filter("_said IS NOT NULL AND label = _said AND link.power IS NOT NULL").groupBy("doc_id", "field").agg(F.min_by("link.power", "fact_id").alias("_pin"))
-    rows = rows.join(pins, ["doc_id", "field"], "left")
+    agrees = F.when((F.col("label") == F.col("_said")) & F.col("link.power").isNotNull(), F.col("fact_id"))
+    rows = rows.withColumn("_pin", F.min_by("link.power", agrees).over(Window.partitionBy("doc_id", "field")))
     # a value 10^p times the hub's is in a unit 10^-p as large
     along = F.struct(F.col("_said.currency").alias("currency"), (F.col("_said.scale") + F.coalesce("_pin", F.lit(0)) - F.coalesce("link.power", "_pin", F.lit(0))).cast("int").alias("scale"))
     default = F.struct(F.lit(CURRENCY).alias("currency"), F.lit(SCALE).alias("scale"))
