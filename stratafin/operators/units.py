@@ -143,7 +143,7 @@ def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Se
     facts = newest(facts, "fact_id", "ingested_at", "doc_id", "period_year", "unit_label", "ingested_at", *FACTS)
     linked = link_scales(facts, "fact_id", "doc_id")
     said = declared_units(texts, "doc_id", "text", order).withColumnRenamed("unit", "_said")
-    linked = linked.join(said, "doc_id", "left")
+    linked = linked.join(said.hint("merge"), "doc_id", "left")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), label_unit(F.col("unit_label"), f).alias("label")) for f in FIELDS])
     rows = linked.select("fact_id", "doc_id", "period_year", "link", "_said", F.inline(cells)).filter("value IS NOT NULL")
     # where a statement is pinned: the power of a record whose label agrees with it
