@@ -70,7 +70,7 @@ _YEARS = r"list_filter(regexp_extract_all(line, '[\p{L}\p{N}\p{M}\p{Pc}]+'), lam
 _METHOD = "CASE WHEN method IN ('surya_ocr', 'pdfplumber', 'pymupdf') THEN method WHEN method = 'surya' THEN 'surya_ocr' ELSE 'fallback' END"
 _FILLED = "length(trim(text)) > 0"
 PAGES = f"""cand AS (SELECT doc_id, page_number, {_METHOD} AS method, coalesce(string_agg(content, chr(10) ORDER BY block_no, block_id), '') AS text FROM {_newest("blocks", "block_id")} WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3),
-conf AS (SELECT *, CASE method WHEN 'pdfplumber' THEN CASE WHEN {_FILLED} THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END WHEN 'pymupdf' THEN CASE WHEN {_FILLED} THEN 0.75::DOUBLE ELSE 0.2::DOUBLE END ELSE 0.6::DOUBLE + 0.05::DOUBLE * (page_number % 5) END AS confidence FROM cand),
+conf AS (SELECT *, CASE method WHEN 'pdfplumber' THEN CASE WHEN {_FILLED} THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END WHEN 'pymupdf' THEN CASE WHEN {_FILLED} THEN 0.75::DOUBLE ELSE 0.2::DOUBLE END ELSE 0.6::DOUBLE + 0.0371::DOUBLE * (page_number % 5) END AS confidence FROM cand),
 ranked AS (SELECT *, CASE WHEN method = 'surya_ocr' AND {_FILLED} AND confidence >= {pages.MIN_CONFIDENCE} THEN 0 WHEN method = 'pdfplumber' AND {_FILLED} THEN 1 WHEN method = 'pymupdf' AND {_FILLED} THEN 2 WHEN {_FILLED} THEN 3 ELSE 9 END AS r FROM conf),
 pages AS (SELECT doc_id, page_number, CASE WHEN r < 9 THEN method ELSE 'fallback' END AS method, CASE WHEN r < 9 THEN text ELSE '' END AS text, CASE WHEN r < 9 THEN confidence ELSE 0 END AS confidence, r < 9 AS extracted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY r, confidence DESC, method) AS k FROM ranked) WHERE k = 1)"""
 _pagescore = " + ".join(f"contains(t, {_q(k)})::INTEGER" for k in pages.KEYWORDS) + " - CASE WHEN " + " OR ".join(f"contains(t, {_q(w)})" for w in pages.PENALTY_WORDS) + f" THEN {pages.PENALTY} ELSE 0 END"

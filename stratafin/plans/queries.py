@@ -57,7 +57,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = pages.method_of(F.coalesce("method", F.lit("none")))
     listed = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("block_no", "block_id", "content"))))
     got = blocks.groupBy("doc_id", "page_number", method.alias("method")).agg(F.array_join(F.transform(listed, lambda b: b["content"]), "\n").alias("text"))
-    seen = 0.6 + 0.05 * F.pmod(F.col("page_number"), F.lit(5))
+    seen = 0.6 + 0.0371 * F.pmod(F.col("page_number"), F.lit(5))
     return got.withColumn("confidence", F.coalesce(pages.layer_confidence(F.col("method"), F.col("text")), seen))
 
 

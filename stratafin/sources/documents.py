@@ -9,11 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 #: Decoders of PDF text that are tried in order.
 DECODERS = ("pypdf", "pdfplumber", "fitz")
-RESULT = S.StructType.fromDDL("metadata struct<extraction_date:string,surya_version:string,parsers_used:array<string>,torch_available:boolean,gpu_available:boolean,compute_device:string,cuda_visible_devices:string>, stats struct<total_pages:int,extracted_pages:int,coverage_percent:double,methods:array<string>,total_chars:bigint,total_tables:bigint,avg_confidence:double>, pages array<struct<page_number:int,method:string,confidence:double,char_count:int,blocks:array<struct<type:string,content:string,y:double>>,error:string>>")
+RESULT = "metadata struct<extraction_date:string,surya_version:string,parsers_used:array<string>,torch_available:boolean,gpu_available:boolean,compute_device:string,cuda_visible_devices:string>, stats struct<total_pages:int,extracted_pages:int,coverage_percent:double,methods:array<string>,total_chars:bigint,total_tables:bigint,avg_confidence:double>, pages array<struct<page_number:int,method:string,confidence:double,char_count:int,blocks:array<struct<type:string,content:string,y:double>>,error:string>>"
 BOXES = "array<struct<text_lines:array<struct<text:string,polygon:array<array<double>>>>>>"
 
 
@@ -43,7 +42,7 @@ def pdf_pages(content: bytes) -> list[str]:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(doc_id, file_name, content) of binary files; each file is a document."""
+    """(doc_id, file_name, content) of binary files; each file is a document, files of no bytes are not listed."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return df.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 

@@ -1,10 +1,14 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from stratafin.operators import model_calls as M
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+
 
 class Fixed:
     def __init__(self, *answers):

@@ -1,12 +1,16 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from stratafin.sinks import artifacts as K
 from stratafin.sources import documents as D
 from stratafin.streaming import uploads as U
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+
 
 def fake_decode(content):
     return content.decode().split("\f")
@@ -14,11 +18,11 @@ def fake_decode(content):
 
 def test_files_and_pages(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes("one\ftwo\fthree".encode())
-    (tmp_path / "b.pdf").write_bytes(b"")
+    (tmp_path / "b.pdf").write_bytes(b" ")
     (tmp_path / "c.txt").write_text("x\ny")
     files = D.read_files(spark, str(tmp_path))
     assert sorted(r.file_name for r in files.collect()) == ["a.pdf", "b.pdf"]
-    pages = D.decode_pages(files, fake_decode, max_pages=2).filter("text <> ''")
+    pages = D.decode_pages(files, fake_decode, max_pages=2).filter("trim(text) <> ''")
     assert [(r.page_number, r.text) for r in pages.orderBy("page_number").collect()] == [(1, "one"), (2, "two")]
     assert D.load_text(spark, str(tmp_path / "c.txt")).first().text == "x\ny"
     with pytest.raises(ValueError):
