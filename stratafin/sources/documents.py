@@ -63,7 +63,7 @@ def load_text(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     """(doc_id, text) of txt, json or pdf files by their ending; any other is an error. JSON stays as stored."""
     kind = (kind or path.rsplit(".", 1)[-1]).lower()
     if kind in ("txt", "json"):
-        df = spark.read.option("wholetext", True).text(path)
+        df = spark.read.text(path, wholetext=True)
         return df.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     if kind == "pdf":
         pages = decode_pages(read_files(spark, path, "*"))
