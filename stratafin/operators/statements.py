@@ -94,7 +94,7 @@ def _pick(cols: Column, firsts: Column, context: Column) -> Column:
 
 def value_by_year(found: Column, context: Column) -> Column:
     """From a flat list of numbers: years left out unless nothing else is there; that of the latest year, else the first."""
-    other = F.filter(found, lambda n: ~F.array_contains(context, n.cast("int")))
+    other = F.filter(found, lambda n: ~F.exists(context, lambda y: (n >= y) & (n < y + 1)))
     kept = F.when((F.size(context) > 0) & (F.size(other) > 0), other).otherwise(found)
     at = F.array_position(context, F.array_max(context)).cast("int") - 1
     return F.coalesce(F.when(F.size(context) > 0, F.get(kept, at)), F.get(kept, F.lit(0)))

@@ -65,8 +65,34 @@ def _number(x: str) -> str:
 
 
 _FIND = rf"\(?{_WS}*[\p{{Nd}}{_WSC}]{{1,20}}(?:[,.]\p{{Nd}}+)?{_WS}*\)?"
-_NUMS = f"list_filter(list_transform(regexp_extract_all(line, '{_FIND}'), lambda c: {_number('c')}), lambda v: v IS NOT NULL AND abs(v) > 1e-9)"
+
+
+def _numbers(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, '{_FIND}'), lambda c: {_number('c')}), lambda v: v IS NOT NULL AND abs(v) > 1e-9)"
+
+
+_NUMS = _numbers("line")
 _YEARS = r"list_filter(regexp_extract_all(line, '[\p{L}\p{N}\p{M}\p{Pc}]+'), lambda w: regexp_full_match(w, '20[0-9]{2}'))"
+_COLS = f"list_filter(list_transform(regexp_split_to_array(line, '{_WS}{{2,}}|\\t'), lambda c: {_strip('c')}), lambda c: c <> '')"
+BLOCK_LINES = f"""split AS (SELECT doc_id, page_number, block_no, block_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT *, regexp_split_to_array(content, '{_BREAK}') AS p FROM {_newest("blocks", "block_id")} WHERE content IS NOT NULL AND doc_id IS NOT NULL)),
+lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_no, block_id, i) AS line_no, line FROM (SELECT *, {_strip("raw")} AS line FROM split) WHERE line <> '')"""
+#: The year columns in force at every line: header and page lines are folded one after another.
+CONTEXT = f"""seen AS (SELECT doc_id, line_no, line, lower(line) AS low, list_transform({_YEARS}, lambda w: w::INTEGER) AS y, {_NUMS} AS n FROM lines),
+told AS (SELECT *, len(y) >= 2 AND (len(n)::INT - len(y)::INT <= 1 OR low LIKE '%год%' OR low LIKE '%г.%') AS header, low LIKE '%страница%' OR low LIKE '%page%' AS brk FROM seen),
+event AS (SELECT doc_id, line_no, CASE WHEN header THEN y ELSE []::INTEGER[] END AS yy, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM told WHERE header OR brk),
+fold AS (SELECT doc_id, k, line_no, yy AS ctx FROM event WHERE k = 1 UNION ALL SELECT e.doc_id, e.k, e.line_no, list_filter(e.yy, lambda v: NOT list_contains(f.ctx, v)) FROM fold f JOIN event e ON e.doc_id = f.doc_id AND e.k = f.k + 1),
+placed AS (SELECT t.doc_id, t.line_no, t.line, t.low, t.n, coalesce(f.ctx, []::INTEGER[]) AS ctx FROM told t ASOF LEFT JOIN fold f ON t.doc_id = f.doc_id AND t.line_no >= f.line_no WHERE NOT t.header)"""
+_VALUE = f"""celled AS (SELECT *, {_COLS} AS cols FROM placed), firsts AS (SELECT *, list_transform(cols, lambda q: {_numbers("q")}[1]) AS f FROM celled),
+cut AS (SELECT *, CASE WHEN f[1] IS NULL THEN f[2:] ELSE f END AS cells, list_position(ctx, list_max(ctx)) AS pos, list_filter(n, lambda v: len(list_filter(ctx, lambda y: v >= y AND v < y + 1)) = 0) AS other FROM firsts),
+flat AS (SELECT *, list_filter(cells, lambda v: v IS NOT NULL) AS known, CASE WHEN len(ctx) > 0 AND len(other) > 0 THEN other ELSE n END AS kept FROM cut),
+valued AS (SELECT doc_id, line_no, low, coalesce(CASE WHEN len(cols) >= 2 AND len(known) > 0 THEN coalesce(CASE WHEN len(ctx) > 0 AND len(ctx) <= len(cells) THEN cells[pos] END, known[-1]) END, CASE WHEN len(ctx) > 0 THEN kept[pos] END, kept[1]) AS value FROM flat)"""
+
+
+def _facts_of(lines: str) -> str:
+    best = ", ".join("arg_max(value, line_no) FILTER (WHERE value IS NOT NULL AND (" + " OR ".join(f"contains(low, {_q(p)})" for p in PHRASES[f]) + f")) AS {f}" for f in FIELDS)
+    return f"WITH RECURSIVE {lines}, {CONTEXT}, {_VALUE} SELECT d.doc_id, {', '.join('b.' + f for f in FIELDS)} FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN (SELECT doc_id, {best} FROM valued GROUP BY doc_id) b USING (doc_id)"
+
+
 _METHOD = "CASE WHEN method IN ('surya_ocr', 'pdfplumber', 'pymupdf') THEN method WHEN method = 'surya' THEN 'surya_ocr' ELSE 'fallback' END"
 _FILLED = "length(trim(text)) > 0"
 PAGES = f"""cand AS (SELECT doc_id, page_number, {_METHOD} AS method, coalesce(string_agg(content, chr(10) ORDER BY block_no, block_id), '') AS text FROM {_newest("blocks", "block_id")} WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3),
@@ -79,6 +105,19 @@ _keyword = " UNION ALL ".join(f"SELECT doc_id, {_q(f)} AS field FROM lines WHERE
 _inner = "regexp_replace(CASE WHEN regexp_full_match(w, '\\(.*\\)|\\[.*\\]', 's') THEN substr(w, 2, length(w) - 2) ELSE w END, '" + _WS + "+', '', 'g')"
 _bal = report.BALANCE
 
+_MEMBERS = "CASE json_type(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda x: '$[' || x || ']') WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: '$.\"' || k || '\"') ELSE []::VARCHAR[] END"
+_NODE = "v, path, parent, arr, json_type(v) = 'OBJECT' AND (json_type(v, '$.type') IS NOT NULL OR json_type(v, '$.content') IS NOT NULL) AS block"
+NODES = f"""WITH RECURSIVE given AS (SELECT DISTINCT result_id, pages FROM parser_result WHERE json_valid(pages)),
+text AS (SELECT result_id, CASE WHEN json_type(pages) = 'VARCHAR' THEN json_extract_string(pages, '$') ELSE pages END AS t FROM given),
+root AS (SELECT result_id, CASE json_type(t) WHEN 'ARRAY' THEN t::JSON WHEN 'OBJECT' THEN CASE WHEN json_type(t, '$.pages') = 'ARRAY' THEN json_extract(t, '$.pages') WHEN json_type(t, '$.structured') = 'ARRAY' THEN json_extract(t, '$.structured') END END AS a FROM text WHERE json_valid(t)),
+page AS (SELECT result_id, i, json_extract(a, '$[' || i || ']') AS v FROM (SELECT result_id, a, unnest(range(json_array_length(a)::BIGINT)) AS i FROM root WHERE a IS NOT NULL) WHERE json_type(a, '$[' || i || ']') <> 'NULL'),
+start AS (SELECT result_id, json_extract(v, p) AS v, i::VARCHAR || CASE WHEN json_type(v) = 'ARRAY' THEN '.' || regexp_extract(p, '[0-9]+') ELSE '' END AS path, i::VARCHAR AS parent, json_type(v) = 'ARRAY' AS arr FROM (SELECT *, unnest({_MEMBERS}) AS p FROM page)
+UNION ALL SELECT result_id, v, i || '.0', i::VARCHAR, true FROM page WHERE json_type(v) NOT IN ('ARRAY', 'OBJECT')),
+walk AS (SELECT result_id, {_NODE} FROM start UNION ALL
+SELECT result_id, {_NODE} FROM (SELECT result_id, json_extract(v, p) AS v, own || CASE WHEN json_type(v) = 'ARRAY' THEN '.' || regexp_extract(p, '[0-9]+') ELSE '' END AS path, CASE WHEN block THEN own ELSE parent END AS parent, json_type(v) = 'ARRAY' AS arr
+FROM (SELECT *, CASE WHEN block AND NOT arr THEN path || '.0' ELSE path END AS own, unnest({_MEMBERS}) AS p FROM walk))),
+seen AS (SELECT *, CASE WHEN block AND NOT arr THEN path || '.0' ELSE path END AS own, arr AND json_type(v) = 'VARCHAR' AS bare FROM walk)"""
+
 ORACLES: dict[str, str] = {
     "strategy_pick": f"WITH {BEST} SELECT doc_id, strategy, score, fact_id FROM best",
     "report_metrics": f"WITH {METRICS} SELECT doc_id, metric, value, status FROM metrics",
@@ -95,10 +134,13 @@ UNION ALL SELECT doc_id, 4, ord, {_sign} || ' | ' || title || ' | ' || display |
     "parse_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines",
     "line_numbers": f"WITH {LINES}, n AS (SELECT doc_id, line_no, {_NUMS} AS v FROM lines) SELECT doc_id, line_no, len(v)::INTEGER AS n, round(coalesce(list_sum(v), 0), 3)::DOUBLE AS total FROM n",
     "line_years": f"WITH {LINES} SELECT doc_id, line_no, unnest({_YEARS})::INTEGER AS year FROM lines",
-    "line_columns": f"WITH {LINES} SELECT doc_id, line_no, array_to_string(list_filter(list_transform(regexp_split_to_array(line, '{_WS}{{2,}}|\\t'), lambda c: {_strip('c')}), lambda c: c <> ''), '¦') AS cells FROM lines",
+    "line_columns": f"WITH {LINES} SELECT doc_id, line_no, array_to_string({_COLS}, '¦') AS cells FROM lines",
     "keyword_lines": f"WITH {LINES} SELECT doc_id, field, count(*) AS n_lines FROM ({_keyword}) GROUP BY 1, 2",
     "year_headers": f"""WITH {LINES}, t AS (SELECT doc_id, lower(line) AS low, {_YEARS} AS y, {_NUMS} AS n FROM lines)
 SELECT doc_id, count(*) FILTER (WHERE len(y) >= 2 AND (len(n)::INT - len(y)::INT <= 1 OR low LIKE '%год%' OR low LIKE '%г.%')) AS n_headers, count(*) FILTER (WHERE low LIKE '%страница%' OR low LIKE '%page%') AS n_breaks FROM t GROUP BY doc_id""",
+    "year_context": f"WITH RECURSIVE {LINES}, {CONTEXT} SELECT doc_id, line_no, array_to_string(ctx, ',') AS context FROM placed",
+    "plain_facts": _facts_of(LINES),
+    "structured_facts": _facts_of(BLOCK_LINES),
     "block_kinds": f"SELECT block_id, CASE WHEN length(content) < 100 AND upper(content) = content AND lower(content) <> content THEN 'heading' WHEN contains(content, '### TABLE') OR contains(content, '|') THEN 'table' ELSE 'text' END AS kind FROM {_newest('blocks', 'block_id')} WHERE content IS NOT NULL",
     "plain_markup": r"SELECT doc_id, regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?i)<br\s*/?>', ' ', 'g'), '</?[\p{L}\p{N}\p{M}\p{Pc}]+[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' {2,}', ' ', 'g') AS text FROM documents",
     "text_chunks": "SELECT doc_id, (i // 500)::INTEGER AS chunk_idx, substring(text, i + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS i FROM documents WHERE length(text) > 0)",
@@ -119,4 +161,7 @@ r AS (SELECT block_id, line_no, min(line_no) OVER w AS region, count(*) OVER w A
     "mixed_numbers": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, regexp_extract(line, '([^\\t-\\r ]+)$', 1) AS w FROM lines), i AS (SELECT *, {_inner} AS s FROM w),
 m AS (SELECT *, CASE WHEN s LIKE '%,%' AND s LIKE '%.%' THEN CASE WHEN strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '') END ELSE replace(s, ',', '.') END AS t FROM i)
 SELECT doc_id, line_no, CASE WHEN regexp_full_match(t, '{_PLAIN}') THEN CASE WHEN regexp_full_match(w, '\\(.*\\)|\\[.*\\]') THEN -try_cast(t AS DOUBLE) ELSE try_cast(t AS DOUBLE) END END AS value FROM m""",
+    "p5_found": NODES + " SELECT result_id, i::VARCHAR AS node_path, '' AS parent_path, 'page' AS node_kind FROM page UNION ALL SELECT DISTINCT result_id, own, parent, 'block' FROM seen WHERE block OR bare",
+    "p5_pages": NODES + """ SELECT result_id, i::VARCHAR AS node_path, (v->>'$.page_number')::INTEGER AS page_number, v->>'$.method' AS method, (v->>'$.confidence')::DOUBLE AS confidence, (v->>'$.char_count')::BIGINT AS char_count, v->>'$.error' AS error FROM page""",
+    "p5_blocks": NODES + """ SELECT result_id, own AS node_path, parent AS parent_path, split_part(own, '.', 1) AS page_path, CASE WHEN block THEN v->>'$.type' END AS type, CASE WHEN block THEN v->>'$.content' ELSE v->>'$' END AS content, CASE WHEN block THEN (v->>'$.y')::DOUBLE END AS y FROM seen WHERE block OR bare""",
 }
