@@ -216,10 +216,15 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> ByteNet:
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> ByteNet:
-    """The network of a bounded sample of the labelled rows, taken in the order of a hash of the key."""
+    """The network of a bounded sample of the labelled rows.
+
+    The rows are those whose key hashes below a bound that a count of all
+    labelled rows sets, so no task sorts or gathers more than the sample.
+    """
     lang = label_language(F.col(label))
-    rows = docs.select(F.xxhash64(key).alias("_h"), F.col(text).alias("t"), lang.alias("l")).filter("l IS NOT NULL AND length(trim(t)) > 0")
-    got = rows.orderBy("_h", "t").limit(sample).select("t", "l").toArrow()
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"), F.col(text).alias("t"), lang.alias("l")).filter("l IS NOT NULL AND length(trim(t)) > 0")
+    bound = int(min(1.0, 1.2 * sample / max(rows.count(), 1)) * (1 << 30))
+    got = rows.filter(F.col("h") < bound).toArrow().sort_by([("h", "ascending"), ("t", "ascending"), ("l", "ascending")]).slice(0, sample)
     return train(got.column("t").to_pylist(), got.column("l").to_pylist())
 
 
