@@ -49,9 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: columnar, compressed, read again where needed."""
-    at = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder: columnar, compressed, read again where needed.
+
+    The folder is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
