@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafin.session import stage
+
 #: Most words the vocabulary holds; fewest occurrences of a word in it.
 VOCABULARY, RARE = 200_000, 4
 #: Letters that look alike, each group written Latin, Cyrillic, Greek (blank: none).
@@ -27,7 +29,7 @@ ALIKE = (
 SCRIPTS = "LCG"
 TWINS: dict[str, dict[str, str]] = {a: {s: b for s, b in zip(SCRIPTS, g) if b != " "} for g in ALIKE for a in g if a != " "}
 #: Characters without a width or look of their own.
-IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
 #: Spaces other than the plain one.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 WORD = re.compile(r"[^\W\d_]+")
@@ -81,9 +83,22 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE) -> dict[tuple[str, str], int]:
-    """The most frequent words, ties by the word; a bounded result for broadcasting."""
-    top = counts.filter(F.col("n") >= rare).orderBy(F.desc("n"), "word", "alphabet").limit(size)
-    got = top.toArrow()
+    """The words of the highest classes of frequency that together hold at most ``size``.
+
+    The classes (sixteen to a doubling) are counted first, so the driver gets a
+    bounded result and no task sorts the vocabulary.
+    """
+    counts = stage(counts.filter(F.col("n") >= rare))
+    kind = F.floor(F.log2("n") * 16)
+    classes = sorted(((r.k, r.c) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least = 0, None
+    for k, c in classes:
+        if total + c > size:
+            break
+        total, least = total + c, k
+    if least is None:
+        return {}
+    got = counts.filter(kind >= int(least)).select("alphabet", "word", "n").toArrow()
     return {(a, w): n for a, w, n in zip(*(got.column(i).to_pylist() for i in range(3)))}
 
 

@@ -33,7 +33,7 @@ COMMON = 0.002
 #: Weight decay, epochs, score from which a segment is refused.
 DECAY, EPOCHS, REFUSE = 1e-6, 30, 0.5
 #: Score from which the exact check of the phrases may refuse a segment that the classifier alone would not.
-DOUBT = 0.1
+DOUBT = 0.03
 
 #: Phrases that services, scripts and unfinished templates leave (weak labels).
 STATUS = [

@@ -47,7 +47,7 @@ def test_zero_cost_walk_like_brute_force():
 
 def test_tables_are_consistent():
     assert not set(X.IGNORABLE) & set(X.SPACES)
-    assert all(unicodedata.category(c) == "Cf" or c == "͏" for c in X.IGNORABLE)
+    assert all(unicodedata.category(c) in ("Cf", "Mn") for c in X.IGNORABLE)
     assert all(unicodedata.category(c) == "Zs" for c in X.SPACES)
 
 
@@ -57,6 +57,8 @@ def test_frame(spark):
     counts = X.count_words(df, "text")
     assert {(r.alphabet, r.word): r.n for r in counts.collect()}["C", "слово"] == 50000
     assert X.vocabulary(counts, rare=1, size=1) == {("C", "слово"): 50000}
+    assert X.vocabulary(counts, rare=1, size=0) == X.vocabulary(counts.limit(0)) == {}
+    assert len(X.vocabulary(counts, rare=1)) == counts.count()
     out = K.canonical_texts(df, "text", WORDS, only_changed=True)
     assert sorted(r.rec_id for r in out.collect()) == [1, 1, 5]
     assert {r.rec_id: r.canonical for r in K.canonical_texts(df, "text", WORDS).collect()}[2] is None
