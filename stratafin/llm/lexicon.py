@@ -32,7 +32,7 @@ TWINS: dict[str, dict[str, str]] = {a: {s: b for s, b in zip(SCRIPTS, g) if b !=
 IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
 #: Spaces other than the plain one.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W_]+")
 
 
 def script(c: str) -> str:
@@ -48,8 +48,18 @@ def script(c: str) -> str:
 
 
 def written_in(text: str) -> str:
-    """The alphabet most of a text is in: characters beyond ASCII are a quarter or more of Cyrillic text."""
-    return "C" if (len(text.encode("utf-8", "replace")) - len(text)) * 4 > len(text) else "L"
+    """The alphabet most letters of a text are of.
+
+    Clear cases are told by the share of bytes beyond one a character, short
+    texts, mixed ones and those with wide characters by letter.
+    """
+    beyond = len(text.encode("utf-8", "replace")) - len(text)
+    if not beyond:
+        return "L"
+    if len(text) < 60 or len(text) < 10 * beyond < 5.5 * len(text) or max(text) > "\u2fff":
+        kinds = [script(c) for c in fold_width(text)]
+        return "C" if kinds.count("C") > kinds.count("L") else "L"
+    return "C" if beyond * 4 > len(text) else "L"
 
 
 def pure(word: str) -> bool:
@@ -64,7 +74,7 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
         seen = {"C": Counter(), "L": Counter()}
 
         def flush() -> pa.RecordBatch:
-            rows = [(a, w.lower(), n) for a, c in seen.items() for w, n in c.items() if pure(w) and len(w) <= 64]
+            rows = [(a, w.lower(), n) for a, c in seen.items() for w, n in c.items() if w.isalpha() and pure(w) and len(w) <= 64]
             for c in seen.values():
                 c.clear()
             cols = list(zip(*rows)) or [(), (), ()]
@@ -73,7 +83,7 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    seen[written_in(t)].update(WORD.findall(t))
+                    seen[written_in(t)].update(TOKEN.findall(t))
             if sum(map(len, seen.values())) > 300_000:
                 yield flush()
         yield flush()

@@ -45,6 +45,10 @@ def test_zero_cost_walk_like_brute_force():
         assert {s for s, _ in trie.zero_cost(token)} == want
 
 
+def test_alphabet_of_a_text():
+    assert [X.written_in(x) for x in ("с. 5", "p. 5", "12", "", "ｔｈｅ ｃｈａｎｇｅ и", "слово " * 50, "word № " * 50)] == ["C", "L", "L", "L", "L", "C", "L"]
+
+
 def test_tables_are_consistent():
     assert not set(X.IGNORABLE) & set(X.SPACES)
     assert all(unicodedata.category(c) in ("Cf", "Mn") for c in X.IGNORABLE)
