@@ -48,18 +48,17 @@ def script(c: str) -> str:
 
 
 def written_in(text: str) -> str:
-    """The alphabet most letters of a text are of.
-
-    Clear cases are told by the share of bytes beyond one a character, short
-    texts, mixed ones and those with wide characters by letter.
-    """
-    beyond = len(text.encode("utf-8", "replace")) - len(text)
-    if not beyond:
+    """The alphabet most letters of a text are of, by the bytes that begin Cyrillic letters and those of ASCII letters."""
+    if text.isascii():
         return "L"
-    if len(text) < 60 or len(text) < 10 * beyond < 5.5 * len(text) or max(text) > "\u2fff":
-        kinds = [script(c) for c in fold_width(text)]
-        return "C" if kinds.count("C") > kinds.count("L") else "L"
-    return "C" if beyond * 4 > len(text) else "L"
+    raw = text.encode("utf-8", "replace")
+    if b"\xef" in raw:  # wide forms among others
+        raw = fold_width(text).encode("utf-8", "replace")
+    return "C" if sum(map(raw.count, _CYRILLIC_LEADS)) > len(raw.translate(None, _NO_LATIN)) else "L"
+
+
+_CYRILLIC_LEADS = (b"\xd0", b"\xd1", b"\xd2", b"\xd3")
+_NO_LATIN = bytes(x for x in range(256) if not (65 <= x <= 90 or 97 <= x <= 122))
 
 
 def pure(word: str) -> bool:
