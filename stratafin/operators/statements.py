@@ -30,8 +30,11 @@ FIELDS = tuple(PHRASES)
 
 
 def numbered_lines(df: DataFrame, key: str, text: str, order: list[str]) -> DataFrame:
-    """(key, line_no, line): the non-blank lines of a document's rows in the given order, counted from 1."""
-    rows = df.select(key, *order, F.posexplode(T.lines(F.col(text))).alias("_at", "line"))
+    """(key, line_no, line): the non-blank lines of a document's rows in the given order, counted from 1.
+
+    Rows without a key belong to no document and are left out.
+    """
+    rows = df.filter(F.col(key).isNotNull()).select(key, *order, F.posexplode(T.lines(F.col(text))).alias("_at", "line"))
     w = Window.partitionBy(key).orderBy(*order, "_at")
     return rows.select(key, F.row_number().over(w).cast("bigint").alias("line_no"), "line")
 
