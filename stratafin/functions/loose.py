@@ -14,8 +14,8 @@ VARIANTS = {
 }
 #: Letters a scan makes of digits.
 DIGITS = {"0": "OОo", "1": "lI", "3": "ЗS", "4": "ч", "5": "S", "8": "BВ"}
-INVISIBLE = r"[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]"
-SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+INVISIBLE = r"\p{Cf}"
+SPACE = r"[\s\p{Z}]"
 _BETWEEN = rf"(?:{INVISIBLE}|[-¬–‐=]{SPACE}{{1,4}})*+"
 
 

@@ -148,7 +148,8 @@ def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Se
     rows = linked.select("fact_id", "doc_id", "period_year", "link", "_said", F.inline(cells)).filter("value IS NOT NULL")
     # where a statement is pinned: the power of a record whose label agrees with it
     agrees = F.when((F.col("label") == F.col("_said")) & F.col("link.power").isNotNull(), F.col("fact_id"))
-    rows = rows.withColumn("_pin", F.min_by("link.power", agrees).over(Window.partitionBy("doc_id", "field")))
+    alone = F.coalesce("doc_id", F.concat(F.lit("fact "), "fact_id"))  # records without a report do not meet in one task
+    rows = rows.withColumn("_pin", F.min_by("link.power", agrees).over(Window.partitionBy(alone, "field")))
     # a value 10^p times the hub's is in a unit 10^-p as large
     along = F.struct(F.col("_said.currency").alias("currency"), (F.col("_said.scale") + F.coalesce("_pin", F.lit(0)) - F.coalesce("link.power", "_pin", F.lit(0))).cast("int").alias("scale"))
     default = F.struct(F.lit(CURRENCY).alias("currency"), F.lit(SCALE).alias("scale"))
