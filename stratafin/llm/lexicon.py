@@ -70,21 +70,32 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     """(alphabet, word, n) of all lower-case words of one alphabet, over all rows of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {"C": Counter(), "L": Counter()}
+        pieces = {"C": Counter(), "L": Counter()}
+        words: Counter = Counter()
+
+        def settle() -> None:  # a piece is taken apart once, however often it stands
+            for a, seen in pieces.items():
+                for p, n in seen.items():
+                    for w in TOKEN.findall(p):
+                        if w.isalpha() and len(w) <= 64:
+                            words[a, w.lower()] += n
+                seen.clear()
 
         def flush() -> pa.RecordBatch:
-            rows = [(a, w.lower(), n) for a, c in seen.items() for w, n in c.items() if w.isalpha() and pure(w) and len(w) <= 64]
-            for c in seen.values():
-                c.clear()
+            rows = [(a, w, n) for (a, w), n in words.items() if pure(w)]
+            words.clear()
             cols = list(zip(*rows)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["alphabet", "word", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    seen[written_in(t)].update(TOKEN.findall(t))
-            if sum(map(len, seen.values())) > 300_000:
-                yield flush()
+                    pieces[written_in(t)].update(t.split())
+            if sum(map(len, pieces.values())) > 300_000:
+                settle()
+                if len(words) > 300_000:
+                    yield flush()
+        settle()
         yield flush()
 
     made = texts.select(text).mapInArrow(run, "alphabet string, word string, n bigint")
