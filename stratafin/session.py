@@ -25,9 +25,21 @@ def local_session(cores: int = 8, shuffle: int = 8, **conf: str) -> SparkSession
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    reach(spark)
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it, whatever folder they start in."""
+    env = getattr(spark.sparkContext, "environment", None)
+    if env is None:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's own setting where there is one.
 
@@ -60,6 +72,3 @@ def stage(df: DataFrame) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratafin.session import reach
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the data folder; columns and filters are pushed to the scan."""
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
