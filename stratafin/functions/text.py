@@ -14,9 +14,13 @@ NUMBER_IN_LINE = r"(?U)\(?\s*[\d\s]{1,20}(?:[,.]\d+)?\s*\)?"
 _PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+#: Fixed value: the white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (any kind of it)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:
@@ -29,22 +33,38 @@ def _to_double(c: Column) -> Column:
     return F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
 
 
+def _numbers_of(parts: Column) -> Column:
+    """Every string of an array as a number, by steps that are each evaluated once."""
+    bare = F.transform(parts, lambda c: F.replace(F.translate(strip(c), "\u00a0 ", ""), F.lit(","), F.lit(".")))
+    signed = F.transform(bare, lambda s: F.struct(s.alias("s"), (F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")"))).alias("neg")))
+
+    def inside(x: Column) -> Column:
+        s = F.when(x["neg"], F.substring(x["s"], F.lit(2), F.length(x["s"]) - 2)).otherwise(x["s"])
+        return F.struct(F.when(~x["s"].isin("", "-", "—", "-—"), s).alias("s"), x["neg"].alias("neg"))
+
+    def plain(x: Column) -> Column:
+        s = F.when(F.endswith(x["s"], F.lit("%")), F.substring(x["s"], F.lit(1), F.length(x["s"]) - 1)).otherwise(x["s"])
+        return F.struct(strip(s).alias("s"), x["neg"].alias("neg"))
+
+    def value(x: Column) -> Column:
+        return F.struct(_to_double(x["s"]).alias("v"), x["neg"].alias("neg"))
+
+    steps = F.transform(F.transform(F.transform(signed, inside), plain), value)
+    return F.transform(steps, lambda x: F.when(x["neg"], -x["v"]).otherwise(x["v"]))
+
+
 def number(c: Column) -> Column:
     """A number as statements write it; null if it is none.
 
     Spaces (plain and U+00A0) go, a comma is a decimal point, parentheses make
     it negative, a percent sign is dropped; dashes alone are no number.
     """
-    s = F.replace(F.translate(strip(c), "\u00a0 ", ""), F.lit(","), F.lit("."))
-    negative = F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")"))
-    inner = F.when(negative, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    value = _to_double(strip(F.regexp_replace(inner, "%$", "")))
-    return F.when(~s.isin("", "-", "—", "-—"), F.when(negative, -value).otherwise(value))
+    return F.get(_numbers_of(F.array(c)), F.lit(0))
 
 
 def numbers(c: Column) -> Column:
     """All numbers of a line in order; zeros and unparsable chunks are left out."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(NUMBER_IN_LINE), F.lit(0)), number)
+    found = _numbers_of(F.regexp_extract_all(c, F.lit(NUMBER_IN_LINE), F.lit(0)))
     return F.filter(found, lambda x: x.isNotNull() & (F.abs(x) > 1e-9))
 
 

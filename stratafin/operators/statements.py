@@ -103,21 +103,25 @@ def value_by_year(found: Column, context: Column) -> Column:
     return F.coalesce(F.when(F.size(context) > 0, F.get(kept, at)), F.get(kept, F.lit(0)))
 
 
-def with_values(df: DataFrame, **how) -> DataFrame:
-    """Lines with the value each stands for; header lines are gone, lines without a number have null."""
-    rows = with_year_context(df, **how).filter(~F.col("is_header"))
-    rows = rows.withColumn("_cols", T.columns(F.col("line")))
+def _valued(df: DataFrame, **how) -> DataFrame:
+    rows = with_year_context(df, **how).withColumn("_cols", T.columns(F.col("line")))
     rows = rows.withColumn("_firsts", F.transform("_cols", lambda c: F.get(T.numbers(c), F.lit(0))))
     value = F.coalesce(_pick(F.col("_cols"), F.col("_firsts"), F.col("context")), value_by_year(F.col("numbers"), F.col("context")))
-    return rows.withColumn("value", value).drop("_cols", "_firsts")
+    return rows.withColumn("value", F.when(~F.col("is_header"), value)).drop("_cols", "_firsts")
+
+
+def with_values(df: DataFrame, **how) -> DataFrame:
+    """Lines with the value each stands for; header lines are gone, lines without a number have null."""
+    return _valued(df, **how).filter(~F.col("is_header"))
 
 
-def extract_facts(df: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+def extract_facts(df: DataFrame, key: str = "doc_id", count: str | None = None, **how) -> DataFrame:
     """One row a document with the twelve facts: of a field's lines with a value the last one counts.
 
-    One aggregate with map-side combine; every document with a line has a row.
+    One aggregate with map-side combine over lines that are read once; every
+    document with a line has a row. ``count`` names a column for its number of lines.
     """
-    rows = with_values(df, key=key, **how)
+    rows = _valued(df, key=key, **how)
     speaks = lambda f: F.when(matches(F.col("line"), f) & F.col("value").isNotNull(), F.col("line_no"))
-    facts = rows.groupBy(key).agg(*[F.max_by("value", speaks(f)).alias(f) for f in FIELDS])
-    return df.select(key).distinct().join(facts, key, "left")
+    more = [F.count("*").alias(count)] if count else []
+    return rows.groupBy(key).agg(*more, *[F.max_by("value", speaks(f)).alias(f) for f in FIELDS])

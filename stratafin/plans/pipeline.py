@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from stratafin.operators import arbitration, ratios, statements
 from stratafin.operators.statements import FIELDS
+from stratafin.session import stage
 
 
 def facts_by_strategy(lines: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
     """Facts of each strategy's lines (key, line_no, line), with the number of lines."""
     parts = []
     for name, df in lines.items():
-        facts = statements.extract_facts(df, key)
-        counted = df.groupBy(key).agg(F.count("*").alias("rows"))
-        parts.append(facts.join(counted, key).select(key, F.lit(name).alias("strategy"), "rows", *FIELDS))
+        facts = statements.extract_facts(df, key, count="rows")
+        parts.append(facts.select(key, F.lit(name).alias("strategy"), "rows", *FIELDS))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -27,6 +27,7 @@ def analyze(candidates: DataFrame, files: DataFrame, date: str, key: str = "doc_
     ``candidates`` holds key, strategy, rows and the facts; ``files`` key and
     file_name. The date is given, so a result can be made again.
     """
+    candidates = stage(candidates)  # twelve numbers a document and strategy, read three times
     details = candidates.groupBy(key).agg(
         *[F.max(F.when(F.col("strategy") == s, arbitration.known_fields())).alias(f"score_{s}") for s in arbitration.STRATEGIES],
         *[F.max(F.when(F.col("strategy") == s, F.col("rows"))).alias(f"rows_{s}") for s in ("structured", "plain")],
