@@ -23,7 +23,7 @@ compounds, ranges of years, note numbers in mid-page and codes are kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -244,15 +244,15 @@ def page_number(line: str) -> tuple[str, int] | None:
 _NUM_LINE = 26
 _PAGE_FORMS = {skeleton(w) for w in _PAGE_WORDS}
 
-PIECES = "rec_table string, rec_id bigint, doc string, page int, block_no int, cut boolean, bad boolean, top string, low string, num_form string, num int, tail string, head string"
+PIECES = "rec_table string, rec_id bigint, doc string, page int, block_no int, cut boolean, bad boolean, top string, low string, num_form string, num int, tail string, head string, stop string"
 
 
 def _piece(scan: Scan, text: str) -> tuple:
-    """What one page's part of a record tells: flags, edges, number, open ends."""
+    """What one page's part of a record tells: flags, edges, number, open ends, what is glued to the second."""
     fixed, cut, bad = scan.repair(text)
     body = fixed.strip()
     if not body:
-        return cut, bad, None, None, None, None, None, None
+        return cut, bad, None, None, None, None, None, None, None
     rest, _, last = body.rpartition("\n")
     num = page_number(last) if len(last) <= _NUM_LINE else None
     if num:
@@ -263,18 +263,18 @@ def _piece(scan: Scan, text: str) -> tuple:
         if num:
             body = f"{rest.rstrip()}\n{last}".lstrip()
     if not body:
-        return cut, bad, None, None, *num, None, None
+        return cut, bad, None, None, *num, None, None, None
     top, low = body[:EDGE], body[-EDGE:]
-    tail = head = None
+    tail = head = stop = None
     for end in (low, low.rpartition("\n")[0].rstrip()):
         if end[-1:] in _MARKS and end and (m := _TAIL.search(end)):
             tail = m.group(1)
             break
     for start in (0, top.find("\n") + 1):
         if (m := _HEAD.match(top, start)) and m.group(1)[0].islower():
-            head = m.group(1)
+            head, stop = m.groups()
             break
-    return cut, bad, top, low, *(num or (None, None)), tail, head
+    return cut, bad, top, low, *(num or (None, None)), tail, head, stop or None
 
 
 def paragraphs(text: str) -> str:
@@ -333,15 +333,22 @@ def _against(a: str, b: str, full: int) -> float:
     return cost - 0.5 * (b.lstrip()[:1].islower())
 
 
-def clean_text(scan: Scan, text: str, keys: list[str], numbers: bool) -> str:
-    """A record without its headers (``keys``, comparable forms) and page numbers, repaired, in paragraphs."""
-    out = []
+def clean_text(scan: Scan, text: str, keys: list[str], numbers: bool, ends: Iterable[dict] = ()) -> str:
+    """A record without its headers (``keys``, comparable forms) and page numbers, repaired, in paragraphs.
+
+    ``ends`` are its fragments of words cut between pages: ``whole`` is written
+    for one at a page's foot, one at the head (no ``whole``) goes. ``page`` is
+    that of the record's own marks, null if it has none.
+    """
+    out, page, ends = [], 0, list(ends)
     for i, part in enumerate(_PAGE.split(scan.canon.text(text))):
         if i % 2:
             out.append(f"[[PAGE:{part}]]")
+            page = int(part)
             continue
         lines = scan.repair(part)[0].split("\n")
         edge = [k for k, x in enumerate(lines) if x.strip()]
+        ends = [e for e in ends if e["page"] not in (None, page) or not _close(lines, edge, e)]
         for k in edge[-2:]:
             if numbers and page_number(lines[k]):
                 lines[k] = ""
@@ -356,6 +363,16 @@ def clean_text(scan: Scan, text: str, keys: list[str], numbers: bool) -> str:
     return "\n".join(x for x in out if x)
 
 
+def _close(lines: list[str], edge: list[int], end: dict) -> bool:
+    """Close one open end where ``_piece`` saw it; whether it is there."""
+    for k in edge[:-4:-1] if end["whole"] else edge[:2]:
+        m = _TAIL.search(lines[k]) if end["whole"] else _HEAD.match(lines[k])
+        if m and m.group(1) == end["fragment"]:
+            lines[k] = lines[k][: m.start()] + end["whole"] if end["whole"] else lines[k][m.end() :].lstrip()
+            return True
+    return False
+
+
 def _without(line: str, key: str, first: bool) -> str:
     """A line without the words at one end whose comparable form is ``key``."""
     words = line.split(" ")
@@ -367,25 +384,31 @@ def _without(line: str, key: str, first: bool) -> str:
 
 
 def repair_texts(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
-    """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers."""
+    """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers, words cut between pages whole on the first."""
     edges = stage(page_edges(stage(read_pieces(texts, words))))
     keys = running_headers(edges).groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    numbered = page_numbers(edges).select("rec_table", "rec_id", F.lit(True).alias("numbers")).distinct()
-    full = texts.join(keys, "doc", "left").join(numbered, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "keys", "numbers")
+    marked = F.col("rec_table") == "parser_result"
+    end = lambda page, fragment, whole: F.struct(F.when(marked, page).alias("page"), F.col(fragment).alias("fragment"), whole.cast("string").alias("whole"))
+    split = cut_at_pages(edges, words)
+    ends = split.select("rec_table", F.col("one").alias("rec_id"), end(F.col("page"), "tail", F.concat("word", F.coalesce("stop", F.lit("")))).alias("end"))
+    ends = ends.union(split.select("rec_table", "two", end(F.col("page") + 1, "head", F.lit(None))))
+    of_record = page_numbers(edges).select("rec_table", "rec_id", F.lit(True).alias("numbers")).unionByName(ends, allowMissingColumns=True)
+    of_record = of_record.groupBy("rec_table", "rec_id").agg(F.max("numbers").alias("numbers"), F.collect_list("end").alias("ends"))
+    full = texts.join(keys, "doc", "left").join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "keys", "numbers", "ends")
     shared, name = texts.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = worker_scan(name, shared.value)
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            done = [clean_text(scan, t, k or [], bool(n)) if t else t for t, k, n in rows]
+            done = [clean_text(scan, t, k or [], bool(n), e or ()) if t else t for t, k, n, e in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(done, pa.string())], names=["rec_table", "rec_id", "text"])
 
     return full.mapInArrow(run, "rec_table string, rec_id bigint, text string")
 
 
 _TAIL = re.compile(rf"([^\W_]+)[{_MARKS}]\s*$")
-_HEAD = re.compile(r"\s*([^\W\d_]+)")
+_HEAD = re.compile(r"\s*([^\W\d_]+)((?:-[^\W\d_]+)*[.,;:!?%)\]}»”’\"'…]*)")
 
 
 def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
@@ -438,7 +461,7 @@ def page_edges(pieces: DataFrame) -> DataFrame:
         last(F.struct("rec_table", "rec_id", "low"), has("low")).alias("last"),
         last(F.struct("rec_table", "rec_id", "block_no", "num_form", "num"), has("num")).alias("num"),
         last(F.struct("rec_table", "rec_id", "block_no", "tail"), has("tail")).alias("tail"),
-        first(F.struct("rec_table", "rec_id", "block_no", "head"), has("head")).alias("head"),
+        first(F.struct("rec_table", "rec_id", "block_no", "head", "stop"), has("head")).alias("head"),
     )
 
 
@@ -498,23 +521,29 @@ def find_noise(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame
 
     nums = page_numbers(edges).select("rec_table", "rec_id", F.lit("pageno").alias("noise"))
 
-    before = edges.filter("tail IS NOT NULL AND tail.block_no >= to_no - 2").select("doc", (F.col("page") + 1).alias("page"), F.col("tail").alias("a"))
-    after = edges.filter("head IS NOT NULL AND head.block_no <= from_no + 2").select("doc", "page", F.col("head").alias("b"))
-    pairs = before.join(after, ["doc", "page"]).select("a.rec_table", F.col("a.rec_id").alias("one"), F.col("b.rec_id").alias("two"), F.concat("a.tail", "b.head").alias("word"))
-    split = joined_words(pairs, words)
+    split = cut_at_pages(edges, words)
     split = split.select("rec_table", F.explode(F.array("one", "two")).alias("rec_id"), F.lit("hyphen").alias("noise"))
     return own.union(top).union(low).union(nums).union(split).distinct()
 
 
+def cut_at_pages(edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+    """(rec_table, one, two, page, tail, head, stop, word): words cut between record ``one`` on ``page`` and ``two`` on the next."""
+    before = edges.filter("tail IS NOT NULL AND tail.block_no >= to_no - 2").select("doc", (F.col("page") + 1).alias("page"), F.col("tail").alias("a"))
+    after = edges.filter("head IS NOT NULL AND head.block_no <= from_no + 2").select("doc", "page", F.col("head").alias("b"))
+    pairs = before.join(after, ["doc", "page"])
+    return joined_words(pairs.select("a.rec_table", F.col("a.rec_id").alias("one"), F.col("b.rec_id").alias("two"), (F.col("page") - 1).alias("page"), "a.tail", "b.head", "b.stop", F.concat("a.tail", "b.head").alias("word")), words)
+
+
 def joined_words(pairs: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
-    """The rows whose ``word`` is one of the corpus, perhaps misread."""
+    """The rows whose ``word`` is one of the corpus, perhaps misread; with the word that is meant."""
     shared, name = pairs.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = worker_scan(name, shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("word")
-            keep = [i for i, w in enumerate(batch.column(at).to_pylist()) if scan.known(w, X.written_in(w))]
-            yield batch.take(pa.array(keep, pa.int64()))
+            known = [scan.known(w, X.written_in(w)) for w in batch.column(at).to_pylist()]
+            meant = pa.array([k[1] if k else None for k in known], pa.string())
+            yield batch.set_column(at, batch.schema.field(at), meant).filter(meant.is_valid())
 
     return pairs.mapInArrow(run, pairs.schema)

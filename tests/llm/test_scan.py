@@ -82,3 +82,15 @@ def test_frame(spark):
     assert done["blocks", 30] == "выручка на" and done["blocks", 12] == "" and done["blocks", 95] is None
     assert done["parser_result", 1] == "[[PAGE:1]]\nприбыль\n[[PAGE:2]]\nвыручка"
     assert S.find_noise(df.limit(0), WORDS).count() == 0
+
+
+def test_words_cut_between_pages_are_whole_in_texts(spark):
+    blocks = [(1, "E", 1, 0, "выручка контро-"), (2, "E", 1, 1, "стр. 1"), (3, "E", 2, 0, "АО «Ромашка»"), (4, "E", 2, 1, "ля, прибыль задолжен¬"), (5, "E", 3, 0, "ность"), (6, "E", 3, 1, "ставки долго-"), (7, "E", 4, 0, "и на")]
+    parse = "[[PAGE:2]]\nвыручка контро¬\nстр. 2\n[[PAGE:3]]\nАО «Ромашка»\nля. прибыль сто-\nстр. 3\n[[PAGE:4]]\nАО «Ромашка»\nимость\nставки кратко-\n[[PAGE:6]]\nля прибыль"
+    rows = [("blocks", *b) for b in blocks] + [("parser_result", 1, "p1", None, None, parse), ("parser_result", 2, "p2", None, None, "[[PAGE:1]]\nпри-\n[[PAGE:2]]\n6ыль на"), ("parser_result", 3, "p3", None, None, "[[PAGE:1]]\nсгои-\n[[PAGE:2]]\nмость на")]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, doc string, page int, block_no int, text string")
+    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, WORDS).collect()}
+    assert done["blocks", 1] == "выручка контроля," and done["blocks", 4] == "прибыль задолженность" and done["blocks", 5] == ""
+    assert done["blocks", 6] == "ставки долго-" and done["blocks", 7] == "и на"
+    assert done["parser_result", 1] == "[[PAGE:2]]\nвыручка контроля.\n[[PAGE:3]]\nприбыль стоимость\n[[PAGE:4]]\nставки кратко-\n[[PAGE:6]]\nля прибыль"
+    assert done["parser_result", 3] == "[[PAGE:1]]\nстоимость\n[[PAGE:2]]\nна"
