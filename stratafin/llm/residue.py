@@ -129,22 +129,22 @@ class Judge:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
 
-    def score(self, segment: str) -> float:
+    def score(self, segment: str, checked: bool = True) -> float:
+        """A segment's score, by the classifier alone or with the exact check of the phrases."""
         key = re.sub(r"\d", "0", segment)
         got = self.memo.get(key)
         if got is None:
             f = features(segment)
             z = self.weights[f].sum() / np.sqrt(len(f)) + self.bias
-            got = float(1 / (1 + np.exp(-z)))
-            if DOUBT <= got < REFUSE and weakly_bad(segment):
-                got = REFUSE
+            own = float(1 / (1 + np.exp(-z)))
+            got = own, REFUSE if DOUBT <= own < REFUSE and weakly_bad(segment) else own
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[key] = got
-        return got
+        return got[checked]
 
-    def text(self, text: str) -> float:
-        return max(map(self.score, segments(text)), default=0.0)
+    def text(self, text: str, checked: bool = True) -> float:
+        return max((self.score(s, checked) for s in segments(text)), default=0.0)
 
 
 def learn(rows: list[list[int]], labels: np.ndarray, times: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -220,16 +220,23 @@ def judge_texts(df: DataFrame, judge: Judge, text: str, out: str = "residue") ->
 
 
 def validate(df: DataFrame, judge: Judge, text: str, host: str) -> DataFrame:
-    """(weak, refused, n): records of unseen hosts by their weak label and the classifier's own verdict."""
+    """(weak, refused, n, n_checked): records of unseen hosts by their weak label and a verdict.
+
+    ``n`` counts by the classifier's own verdict; ``n_checked`` by the one in
+    use, which also asks the phrases that made the labels.
+    """
     shared = df.sparkSession.sparkContext.broadcast((judge.weights.astype(np.float32), judge.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Judge(*shared.value), Counter()
+        own, seen = Judge(*shared.value), (Counter(), Counter())
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen[any(map(weakly_bad, segments(t))), own.text(t) >= REFUSE] += 1
-        weak, refused = [k[0] for k in seen], [k[1] for k in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(weak, pa.bool_()), pa.array(refused, pa.bool_()), pa.array(seen.values(), pa.int64())], names=["weak", "refused", "n"])
+                weak = any(map(weakly_bad, segments(t)))
+                for checked in (False, True):
+                    seen[checked][weak, own.text(t, checked) >= REFUSE] += 1
+        cells = sorted({*seen[False], *seen[True]})
+        counts = [pa.array([x[k] for k in cells], pa.int64()) for x in seen]
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in cells], pa.bool_()) for i in (0, 1)), *counts], names=["weak", "refused", "n", "n_checked"])
 
     rows = df.filter(~seen_host(F.col(host)) & F.col(text).isNotNull()).select(text)
-    return rows.mapInArrow(run, "weak boolean, refused boolean, n bigint").groupBy("weak", "refused").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "weak boolean, refused boolean, n bigint, n_checked bigint").groupBy("weak", "refused").agg(F.sum("n").alias("n"), F.sum("n_checked").alias("n_checked"))

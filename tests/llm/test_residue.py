@@ -54,3 +54,14 @@ def test_frame(spark, judge):
     got = R.judge_texts(df, judge, "recommendations").filter("residue >= 0.5")
     assert sorted(r.rec_id for r in got.collect()) == [2, 2, 5]
     assert R.judge_texts(df.limit(0), judge, "recommendations").count() == 0
+
+
+def test_validation_is_by_the_classifier_alone(spark):
+    import numpy as np
+
+    doubtful = R.Judge(np.zeros(R.BUCKETS), -1.0)  # 0.27 for every segment
+    assert doubtful.text(BAD[2], False) < doubtful.text(BAD[2]) == R.REFUSE
+    df = spark.createDataFrame([(f"D{i}", BAD[2]) for i in range(50)], "doc_id string, text string")
+    got = {(r.weak, r.refused): (r.n, r.n_checked) for r in R.validate(df, doubtful, "text", "doc_id").collect()}
+    n = df.filter(~R.seen_host(df.doc_id)).count()
+    assert n and got == {(True, False): (n, 0), (True, True): (0, n)}
