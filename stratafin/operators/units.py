@@ -10,8 +10,8 @@ without such a statement leaves each record its own label, and a label without
 a unit the default.
 
 Defined results: a null value has no unit and no case; without a report id a
-record stands alone; of several statements the most frequent counts, ties by
-the earlier text; a currency without a rate for its year gives a null value but
+record stands alone; of several statements that name a unit, in one text or
+many, the most frequent counts, ties by the earlier text and place; a currency without a rate for its year gives a null value but
 still a case; repeated rows of one key count once.
 """
 
@@ -94,10 +94,11 @@ def declared_units(texts: DataFrame, entity: str, text: str, order: Sequence[str
     Texts are scanned where they lie; what is shuffled is one short row a
     statement. The result is staged, so the long patterns stay out of later plans.
     """
-    said = F.regexp_extract(F.col(text), STATEMENT, 0)
-    rows = texts.filter(F.col(entity).isNotNull() & F.col(text).rlike(STATEMENT))
-    rows = rows.select(entity, said.alias("_said"), *order)
-    rows = rows.select(entity, unit_in(F.col("_said"), noisy=True).alias("unit"), F.struct(*order, F.col("_said")).alias("_at")).filter("unit IS NOT NULL")
+    said = F.regexp_extract_all(F.col(text), F.lit(STATEMENT), F.lit(0))
+    rows = texts.filter(F.col(entity).isNotNull())
+    # outer: the optimizer would else match every text a second time to see if there is a statement
+    rows = rows.select(entity, *order, F.posexplode_outer(said).alias("_no", "_said")).filter("_said IS NOT NULL")
+    rows = rows.select(entity, unit_in(F.col("_said"), noisy=True).alias("unit"), F.struct(*order, F.col("_no"), F.col("_said")).alias("_at")).filter("unit IS NOT NULL")
     counted = rows.groupBy(entity, "unit").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
     return stage(counted.groupBy(entity).agg(F.min_by("unit", F.struct(-F.col("_n"), "_at")).alias("unit")))
 

@@ -79,3 +79,15 @@ def test_link_is_the_median_ratio(spark):
     got = {r.fact_id: r.link for r in U.link_scales(_facts(spark, rows), "fact_id", "doc_id").collect()}
     assert (got[1].n, got[1].power, got[1].offset) == (12, 0, 0.0)
     assert (got[2].n, got[2].scale, got[2].power, got[2].offset) == (4, 1000.0, 3, 0.0)
+
+
+def test_all_statements_of_one_text_count(spark):
+    gap = "\nНастоящая отчётность проверена в 2021 году. " + "Выручка выросла на 7 пунктов. " * 5
+    texts = {
+        "later": "Суммы приведены в 2021 году по видам." + gap + "Единица измерения: тыс. руб.",
+        "more": "Единица измерения: млн руб." + gap + "All amounts in RUB thousand." + gap + "Figures are in thousands of roubles.",
+        "tie": "Единица измерения: тыс. руб." + gap + "Единица измерения: млн руб.",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: tuple(r.unit) for r in U.declared_units(df, "doc_id", "text").collect()}
+    assert got == {k: ("RUB", 3) for k in texts}
