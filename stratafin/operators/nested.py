@@ -5,7 +5,7 @@ level: each step turns the nodes of a level into rows and into the nodes of the
 next level, attaching positions and the nearest enclosing node.  The number of
 steps is the record's own bracket depth, so no depth is cut off.  ``flatten``
 joins the levels and one ``inline`` per target table emits its rows; no Python
-runs and nothing is shuffled except to count a re-delivered record once.
+runs and only the records delivered more than once are shuffled.
 
 Defined results: null, empty, blank or invalid JSON (also with text after the
 value, or with one key twice in an object) has no rows; null pages and blocks
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.sources.tables import newest
+from stratafin.sources.tables import once
 
 #: Outer keys the array of pages is looked for under, before any other key that holds an array.
 OUTER_KEYS = ("pages", "structured")
@@ -119,13 +119,14 @@ def _walk(nodes: Column, depth: Column) -> Column:
 def unnest(df: DataFrame, key: str = "result_id", pages: str = "pages", at: str | None = "ingested_at") -> DataFrame:
     """(key, page_rows, block_rows): each record's pages and blocks as arrays of structs.
 
-    ``at`` names the delivery time by which a re-delivered key is counted once;
-    None takes every row of ``df`` as it is.
+    ``at`` names the delivery time by which a re-delivered key is counted once
+    (records delivered once are not moved for that); None takes every row of
+    ``df`` as it is.
     """
-    df = newest(df.select(key, at, pages), key, at, pages) if at else df.select(key, pages)
-    once = strict_variant(F.col(pages))
+    df = once(df.select(key, at, pages), key, at, pages) if at else df.select(key, pages)
+    whole = strict_variant(F.col(pages))
     doubled = F.when(_is_string(F.col("_v")), F.try_variant_get(F.col("_v"), "$", "string"))
-    df = df.filter(F.col(pages).isNotNull()).select(key, pages, once.alias("_v")).filter("_v IS NOT NULL")
+    df = df.filter(F.col(pages).isNotNull()).select(key, pages, whole.alias("_v")).filter("_v IS NOT NULL")
     df = df.select(key, F.col("_v"), F.coalesce(doubled, F.col(pages)).alias("_t"), doubled.isNotNull().alias("_d"))
     df = df.select(key, "_t", F.when(F.col("_d"), strict_variant(F.col("_t"))).otherwise(F.col("_v")).alias("_v"))
     outer = _as_map(F.col("_v"))

@@ -12,7 +12,7 @@ from stratafin.functions import text as T
 from stratafin.operators import arbitration, layout, model_calls, nested, pages, ratios, report, statements, units
 from stratafin.plans import pipeline
 from stratafin.plans.oracles import ORACLES  # noqa: F401
-from stratafin.sources.tables import newest, table
+from stratafin.sources.tables import newest, once, table
 
 REPORT_DATE = "2026-01-01"
 
@@ -25,11 +25,11 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return newest(table(spark, sf_dir, "blocks"), "block_id", "ingested_at", *cols, "ingested_at").drop("ingested_at")
+    return once(table(spark, sf_dir, "blocks"), "block_id", "ingested_at", *cols, "ingested_at").drop("ingested_at")
 
 
 def _parses(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return newest(table(spark, sf_dir, "parser_result"), "result_id", "ingested_at", *cols, "ingested_at").drop("ingested_at")
+    return once(table(spark, sf_dir, "parser_result"), "result_id", "ingested_at", *cols, "ingested_at").drop("ingested_at")
 
 
 def _parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ def mixed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = newest(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "recommendations", "created_at")
+    recs = once(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "recommendations", "created_at")
     return recs.select("rec_id", report.recommendation_text(F.col("recommendations")).alias("text"))
 
 

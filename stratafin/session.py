@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,32 +44,41 @@ def reach(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: the cluster's own setting where there is one.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests in local mode) a
-    temporary folder is made.
+    Only in local mode, where one machine runs everything, a temporary folder
+    stands in for an unset ``spark.checkpoint.dir``; elsewhere that is an error,
+    for executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratafin-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_staged: list[str] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: columnar, compressed, read again where needed.
 
-    The folder is removed when the driver ends.
+    The folder is removed by ``release_staged`` or when the driver ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _staged.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
+
+def release_staged(spark: SparkSession) -> int:
+    """Removes all staged tables; for long sessions, once the results built on them are written. Their number."""
+    n = len(_staged)
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
