@@ -1,25 +1,32 @@
 """Quantities recorded in different units and scales, brought to one.
 
-Sources of a quantity are the records of one report (its entity); they form a
-graph.  Every record is linked to the report's fullest record; the link's scale
-is the median ratio over their shared fields, its offset the median of what that
-leaves, and a scale within ``TOLERANCE`` of a known conversion snaps to it.  The
-unit a report's own text declares is pinned to the graph at the records whose
-label agrees (else at the fullest) and propagates along the links; a report
-without such a statement leaves each record its own label, and a label without
-a unit the default.
+The records of one report (its entity) are linked across sources, which are the
+strategies that read it.  Of every source its fullest record stands for it; two
+sources are linked by a robust line over their shared fields (median slope,
+median offset).  A link whose offset is not nought, or that no known conversion
+explains, is dropped; what is left is a graph, and factors are multiplied along
+its paths.  A record hangs on its own source in the same way.  The unit the
+report's own text declares is pinned to the source whose label agrees (else to
+the fullest) and propagates along the graph, each factor snapped to a power of
+ten or to such a power between the year's currencies.  Without a statement a
+record has its own label; a record without a label takes that of a linked source
+if the link is a conversion (a factor of one says nothing: the rule for records
+without a label is the default), else the default.
 
 Defined results: a null value has no unit and no case; without a report id a
 record stands alone; of several statements that name a unit, in one text or
-many, the most frequent counts, ties by the earlier text and place; a currency without a rate for its year gives a null value but
-still a case; repeated rows of one key count once.
+many, the most frequent counts, ties by the earlier text and place; a statement
+has no longest length, it ends with its sentence, at a blank line or at a
+number; a factor other than one needs two shared fields; a currency without a
+rate for its year gives a null value but still a case; repeated rows of one key
+count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.functions.loose import SPACE, any_of, loose
@@ -33,6 +40,8 @@ FIELDS, CURRENCY, SCALE = ("revenue", "total_assets"), "RUB", 6
 TOLERANCE = 0.02
 #: Powers of ten between recorded scales.
 POWERS = (0, 3, -3, 6, -6, 9, -9)
+#: Sources of a report; any other strategy counts as one more.
+SOURCES = ("structured", "plain", "direct", "other")
 #: OKEI codes of a rouble, a thousand and a million roubles.
 OKEI = {"383": 0, "384": 3, "385": 6}
 
@@ -43,8 +52,9 @@ OPENERS = (
     any_of("amounts are", "amounts in", "figures in", "expressed in", "presented in", "stated in"),
     rf"[(（]{SPACE}*+" + any_of("в тыс*", "в млн", "в млрд", "в миллион*", "в миллиард*", "в рубл*", "в долл*", "в евро", "в тенге", "in thousand*", "in million*", "in billion*", "in whole", "in rouble*"),
 )
-#: A statement: an opener and what follows up to the first number (an OKEI code or ``000`` belongs to it).
-STATEMENT = rf"(?<![A-Za-zА-Яа-яЁё])(?:{'|'.join(OPENERS)})(?:[^\d０-９)）]|[0-9](?=[A-Za-zА-Яа-яЁё])|(?<=[A-Za-zА-Яа-яЁё])[0-9](?![0-9])){{0,90}}+(?:'?[0０OО][0０OО][0０OО]|[3３З][8８BВ][3-5３-５ЗS])?"
+#: A statement: an opener and what follows up to the end of the sentence (a stop after a whole word and before a capital), a blank line or the first number (an OKEI code or ``000`` belongs to it).
+_RUN = r"[^\d０-９)）.!?\n]++|(?!(?<=\p{L}{5})[.!?][\s\p{Z}]++\p{Lu})[.!?]|\n(?![^\S\n]*\n)|[0-9](?=[A-Za-zА-Яа-яЁё])|(?<=[A-Za-zА-Яа-яЁё])[0-9](?![0-9])"
+STATEMENT = rf"(?<![A-Za-zА-Яа-яЁё])(?:{'|'.join(OPENERS)})(?:{_RUN})*+(?:'?[0０OО][0０OО][0０OО]|[3３З][8８BВ][3-5３-５ЗS])?"
 
 #: Words and signs of scales (powers of ten) and currencies.
 SCALES = (
@@ -112,53 +122,119 @@ def label_unit(label: Column, field: str) -> Column:
     return F.when(by_field, unit_in(part)).otherwise(unit_in(label))
 
 
-def link_scales(rows: DataFrame, key: str, entity: str, fields: Sequence[str] = FACTS) -> DataFrame:
-    """``rows`` with ``link``: each record's robust scale and offset against its entity's fullest record.
+def _median(values: Column) -> Column:
+    v = F.array_sort(values)
+    return (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+
+
+def line_between(x: Column, h: Column) -> Column:
+    """struct(n, scale, offset) of the robust line x = scale * h + offset over two arrays of the same fields.
 
-    A star per entity instead of all pairs: one aggregate and one join by entity.
+    From three fields on the scale is the median slope between neighbours by
+    ``h``, with fewer the median ratio and no offset; null parts without a
+    shared field.
     """
-    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    best = F.max_by(F.struct(*fields), F.struct(filled, -F.col(key)))
-    hubs = rows.filter(F.col(entity).isNotNull()).groupBy(entity).agg(best.alias("_hub"))
-    pairs = F.array(*[F.struct(F.col(f).alias("x"), F.col(f"_hub.{f}").alias("h")) for f in fields])
-    shared = F.filter(pairs, lambda p: p["x"].isNotNull() & p["h"].isNotNull() & (p["h"] != 0) & (p["x"] != 0))
-    scale = _median(F.transform("_pairs", lambda p: p["x"] / p["h"]))
-    known = F.coalesce(*[F.when(F.abs(F.col("_s") / (10.0**p) - 1) <= TOLERANCE, p) for p in POWERS])
-    offset = _median(F.transform("_pairs", lambda p: p["x"] - p["h"] * F.pow(F.lit(10.0), F.col("_p"))))
-    joined = rows.join(hubs, entity, "left").withColumn("_pairs", shared).withColumn("_s", scale).withColumn("_p", known)
-    link = F.struct(F.size("_pairs").alias("n"), F.col("_s").alias("scale"), F.col("_p").cast("int").alias("power"), offset.alias("offset"))
-    return joined.withColumn("link", link).drop("_hub", "_pairs", "_s", "_p")
+    pairs = F.filter(F.zip_with(x, h, lambda a, b: F.struct(b.alias("h"), a.alias("x"))), lambda p: p["x"].isNotNull() & p["h"].isNotNull() & (p["h"] != 0) & (p["x"] != 0))
 
+    def fitted(p: Column) -> Column:
+        slopes = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.try_divide(F.get(p, i)["x"] - F.get(p, i - 1)["x"], F.get(p, i)["h"] - F.get(p, i - 1)["h"]))
+        ratio = _median(F.transform(p, lambda q: q["x"] / q["h"]))
+        scale = F.when(F.size(p) >= 3, F.coalesce(_median(F.filter(slopes, lambda v: v.isNotNull())), ratio)).when(F.size(p) > 0, ratio)
+        return F.struct(F.size(p).alias("n"), scale.alias("scale"), p.alias("p"))
 
-def _median(values: Column) -> Column:
-    v = F.array_sort(values)
-    return (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    def shifted(f: Column) -> Column:
+        offset = F.when(f["n"] >= 3, _median(F.transform(f["p"], lambda q: q["x"] - f["scale"] * q["h"]))).when(f["n"] > 0, F.lit(0.0))
+        size = _median(F.transform(f["p"], lambda q: F.abs(q["x"])))
+        return F.struct(f["n"].alias("n"), f["scale"].alias("scale"), offset.alias("offset"), size.alias("size"))
+
+    steps = F.transform(F.transform(F.transform(F.array(F.array_sort(pairs)), lambda p: p), fitted), shifted)
+    return F.get(steps, F.lit(0))
+
+
+def factor(x: Column, h: Column) -> Column:
+    """How many times the values ``h`` the values ``x`` are, null where they are not linked: no shared
+    field, an offset, or a factor other than one on a single field."""
+    said = F.transform(F.array(line_between(x, h)), lambda f: F.when((F.abs(f["offset"]) <= TOLERANCE * f["size"]) & (f["scale"] > 0) & ((f["n"] >= 2) | (F.abs(f["scale"] - 1) <= TOLERANCE)), f["scale"]))
+    return F.get(said, F.lit(0))
+
+
+def source_graph(facts: DataFrame, entity: str, key: str = "fact_id") -> DataFrame:
+    """(entity, sources, factors): the fullest record of each of an entity's sources and the factors between them.
+
+    One aggregate a report; it holds at most one record a source, so the matrix
+    of links is small and its paths are found in place, two hops at a time.
+    """
+    values = F.array(*FACTS)
+    filled = F.size(F.filter(values, lambda v: v.isNotNull()))
+    record = F.struct(filled.alias("filled"), values.alias("values"), *[label_unit(F.col("unit_label"), f).alias(f) for f in FIELDS])
+    rows = facts.filter(F.col(entity).isNotNull()).select(entity, source_of("strategy").alias("_s"), F.struct(filled, -F.col(key)).alias("_o"), record.alias("_r"))
+    best = [F.max_by("_r", F.when(F.col("_s") == i, F.col("_o"))).alias(f"_{i}") for i in range(len(SOURCES))]
+    out = rows.groupBy(entity).agg(*best).select(entity, F.array(*[f"_{i}" for i in range(len(SOURCES))]).alias("sources"))
+    matrix = F.transform("sources", lambda a: F.transform("sources", lambda b: F.when(a["filled"] > 0, factor(a["values"], b["values"]))))
+    out = out.select(entity, "sources", matrix.alias("factors"))
+    for _ in range(2):  # paths of two, then of up to four links
+        n = F.sequence(F.lit(0), F.lit(len(SOURCES) - 1))
+        over = lambda i, j: F.get(F.filter(F.transform(n, lambda k: F.get(F.get("factors", i), k) * F.get(F.get("factors", k), j)), lambda f: f.isNotNull()), F.lit(0))
+        out = out.withColumn("factors", F.transform(n, lambda i: F.transform(n, lambda j: F.coalesce(F.get(F.get("factors", i), j), over(i, j)))))
+    return out
+
+
+def source_of(strategy: str) -> Column:
+    """The place of a strategy among ``SOURCES``."""
+    at = F.array_position(F.array(*map(F.lit, SOURCES[:-1])), F.coalesce(strategy, F.lit("")))
+    return F.when(at > 0, at - 1).otherwise(len(SOURCES) - 1).cast("int")
+
+
+def unit_along(unit: Column, times: Column, rates: Column) -> Column:
+    """The known unit of values ``times`` as large as the same quantities in ``unit``; null if none is near.
+
+    The same currency first, then the others by the year's ``rates`` (a map).
+    """
+
+    def known(currency: Column, factor: Column) -> Column:
+        power = F.round(F.log10(factor)).cast("int")
+        near = power.isin(*POWERS) & (F.abs(factor / F.pow(F.lit(10.0), power) - 1) <= TOLERANCE)
+        return F.when(near, F.struct(currency.alias("currency"), (unit["scale"] - power).alias("scale")))
+
+    rate = lambda c: F.when(c == CURRENCY, F.lit(1.0)).otherwise(F.try_element_at(rates, c))
+    others = [known(F.lit(c), times * rate(F.lit(c)) / rate(unit["currency"])) for c, *_ in CURRENCIES]
+    return F.coalesce(known(unit["currency"], times), *others)
+
+
+def yearly(rates: DataFrame) -> DataFrame:
+    """(period_year, rates): one map a year, currency to roubles."""
+    each = rates.filter("currency IS NOT NULL AND rub_per_unit IS NOT NULL").groupBy("period_year", "currency").agg(F.max("rub_per_unit").alias("r"))
+    return each.groupBy("period_year").agg(F.map_from_entries(F.collect_list(F.struct("currency", "r"))).alias("_rates"))
 
 
 def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row a fact record and field: its unit, what told it, and the value in million roubles.
 
-    ``facts`` holds fact_id, doc_id, period_year, the fact fields and unit_label;
-    ``texts`` doc_id and text; ``rates`` currency, period_year and rub_per_unit.
+    ``facts`` holds fact_id, doc_id, period_year, strategy, the fact fields and
+    unit_label; ``texts`` doc_id and text; ``rates`` currency, period_year and
+    rub_per_unit. Records without a report take no part in the joins by report.
     """
-    facts = newest(facts, "fact_id", "ingested_at", "doc_id", "period_year", "unit_label", "ingested_at", *FACTS)
-    linked = link_scales(facts, "fact_id", "doc_id")
+    facts = newest(facts, "fact_id", "ingested_at", "doc_id", "period_year", "strategy", "unit_label", "ingested_at", *FACTS)
     said = declared_units(texts, "doc_id", "text", order).withColumnRenamed("unit", "_said")
-    linked = linked.join(said.hint("merge"), "doc_id", "left")
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), label_unit(F.col("unit_label"), f).alias("label")) for f in FIELDS])
-    rows = linked.select("fact_id", "doc_id", "period_year", "link", "_said", F.inline(cells)).filter("value IS NOT NULL")
-    # where a statement is pinned: the power of a record whose label agrees with it
-    agrees = F.when((F.col("label") == F.col("_said")) & F.col("link.power").isNotNull(), F.col("fact_id"))
-    alone = F.coalesce("doc_id", F.concat(F.lit("fact "), "fact_id"))  # records without a report do not meet in one task
-    rows = rows.withColumn("_pin", F.min_by("link.power", agrees).over(Window.partitionBy(alone, "field")))
-    # a value 10^p times the hub's is in a unit 10^-p as large
-    along = F.struct(F.col("_said.currency").alias("currency"), (F.col("_said.scale") + F.coalesce("_pin", F.lit(0)) - F.coalesce("link.power", "_pin", F.lit(0))).cast("int").alias("scale"))
+    told = source_graph(facts, "doc_id").join(said.hint("merge"), "doc_id", "left")
+    linked = facts.filter("doc_id IS NOT NULL").join(told.hint("merge"), "doc_id").unionByName(facts.filter("doc_id IS NULL"), allowMissingColumns=True)
+    linked = linked.join(yearly(rates), "period_year", "left").withColumn("_i", source_of("strategy"))
+    own = F.get("sources", F.col("_i"))
+    linked = linked.withColumn("_own", factor(F.array(*FACTS), own["values"])).withColumn("_row", F.get("factors", F.col("_i")))
+    n = F.sequence(F.lit(0), F.lit(len(SOURCES) - 1))
+    fullest = F.array_position(F.transform("sources", lambda s: s["filled"]), F.array_max(F.transform("sources", lambda s: s["filled"]))).cast("int") - 1
+    cells = []
+    for f in FIELDS:
+        agrees = F.get(F.filter(n, lambda k: F.get("sources", k)[f] == F.col("_said")), F.lit(0))
+        by_link = F.filter(F.transform(n, lambda k: F.struct(F.get("sources", k)[f].alias("u"), unit_along(F.get("sources", k)[f], F.col("_own") * F.get("_row", k), F.col("_rates")).alias("v"))), lambda x: x["v"].isNotNull() & (x["v"] != x["u"]))
+        cells.append(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), label_unit(F.col("unit_label"), f).alias("label"), F.coalesce(agrees, fullest).alias("pin"), F.get(F.transform(by_link, lambda x: x["v"]), F.lit(0)).alias("by_link")))
+    rows = linked.select("fact_id", "_said", "_own", "_row", "_rates", F.inline(F.array(*cells))).filter("value IS NOT NULL")
+    along = F.coalesce(unit_along(F.col("_said"), F.col("_own") * F.get("_row", F.col("pin")), F.col("_rates")), F.col("_said"))
     default = F.struct(F.lit(CURRENCY).alias("currency"), F.lit(SCALE).alias("scale"))
-    unit = F.when(F.col("_said").isNotNull(), along).otherwise(F.coalesce("label", default))
-    basis = F.when(F.col("_said").isNotNull(), "text").when(F.col("label").isNotNull(), "label").otherwise("default")
-    rows = rows.select("fact_id", "field", "value", "period_year", unit.alias("_u"), basis.alias("basis")).select("fact_id", "field", "value", "period_year", "_u.currency", "_u.scale", "basis")
-    rows = rows.join(rates.select("currency", "period_year", "rub_per_unit"), ["currency", "period_year"], "left")
-    rate = F.when(F.col("currency") == "RUB", 1.0).otherwise(F.col("rub_per_unit"))
+    unit = F.when(F.col("_said").isNotNull(), along).otherwise(F.coalesce("label", "by_link", default))
+    basis = F.when(F.col("_said").isNotNull(), "text").when(F.col("label").isNotNull(), "label").when(F.col("by_link").isNotNull(), "link").otherwise("default")
+    rows = rows.select("fact_id", "field", "value", "_rates", unit.alias("_u"), basis.alias("basis")).select("fact_id", "field", "value", "_rates", "_u.currency", "_u.scale", "basis")
+    rate = F.when(F.col("currency") == CURRENCY, 1.0).otherwise(F.try_element_at("_rates", F.col("currency")))
     return rows.select("fact_id", "field", "value", "currency", "scale", "basis", (F.col("value") * F.pow(F.lit(10.0), F.col("scale") - SCALE) * rate).alias("value_mln_rub"))
 
 

@@ -44,8 +44,8 @@ def test_statements(spark):
 
 
 def _facts(spark, rows):
-    names = ["fact_id", "doc_id", "period_year", "unit_label", "ingested_at", *U.FACTS, "currency"]
-    kinds = "fact_id long, doc_id string, period_year int, unit_label string, ingested_at int, " + ", ".join(f"{f} double" for f in U.FACTS) + ", currency string"
+    names = ["fact_id", "doc_id", "period_year", "strategy", "unit_label", "ingested_at", *U.FACTS, "currency"]
+    kinds = "fact_id long, doc_id string, period_year int, strategy string, unit_label string, ingested_at int, " + ", ".join(f"{f} double" for f in U.FACTS) + ", currency string"
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], kinds)
 
 
@@ -54,7 +54,7 @@ def test_common_units(spark):
     rows = [
         {"fact_id": 1, "doc_id": "A", "period_year": 2020, "unit_label": "тыс. руб.", **full},
         {"fact_id": 1, "doc_id": "A", "period_year": 2020, "unit_label": "тыс. руб.", "ingested_at": 5, **full},
-        {"fact_id": 2, "doc_id": "A", "period_year": 2020, **{f: v / 1000 for f, v in full.items() if f != "capex"}},
+        {"fact_id": 2, "doc_id": "A", "period_year": 2020, "strategy": "plain", **{f: v / 1000 for f, v in full.items() if f != "capex"}},
         {"fact_id": 3, "doc_id": "B", "period_year": 2020, "unit_label": "USD million", "revenue": 2.0},
         {"fact_id": 4, "doc_id": None, "period_year": None, "unit_label": None, "revenue": 7.0, "total_assets": 0.0},
         {"fact_id": 5, "doc_id": "C", "period_year": 1900, "unit_label": "EUR million", "total_assets": 3.0},
@@ -74,11 +74,61 @@ def test_common_units(spark):
     assert U.common_units(_facts(spark, []), texts.limit(0), rates).count() == 0
 
 
-def test_link_is_the_median_ratio(spark):
-    rows = [{"fact_id": 1, "doc_id": "A", **{f: float(i + 1) for i, f in enumerate(U.FACTS)}}, {"fact_id": 2, "doc_id": "A", "revenue": 1000.0, "net_profit": 2000.0, "equity": 7.0, "inventories": 8000.0}]
-    got = {r.fact_id: r.link for r in U.link_scales(_facts(spark, rows), "fact_id", "doc_id").collect()}
-    assert (got[1].n, got[1].power, got[1].offset) == (12, 0, 0.0)
-    assert (got[2].n, got[2].scale, got[2].power, got[2].offset) == (4, 1000.0, 3, 0.0)
+def test_robust_line(spark):
+    rows = [([1.0, 2.0, 3.0, 4.0, 5.0], [1000.0, 2000.0, 7.0, 4000.0, 5000.0], (5, 1000.0, 0.0)), ([1.0, 2.0, 4.0], [11.0, 12.0, 14.0], (3, 1.0, 10.0)), ([5.0, None], [10.0, 3.0], (1, 2.0, 0.0)), ([None], [1.0], (0, None, None))]
+    df = spark.createDataFrame([(x, h) for h, x, _ in rows], "x array<double>, h array<double>")
+    got = df.select(U.line_between(F.col("x"), F.col("h")).alias("l"), U.factor(F.col("x"), F.col("h")).alias("f")).collect()
+    assert [(r.l.n, r.l.scale, r.l.offset) for r in got] == [w for *_, w in rows]
+    assert [r.f for r in got] == [1000.0, None, None, None]  # an offset is no conversion; one field alone proves none
+
+
+def test_label_reaches_a_record_a_thousand_times_larger(spark):
+    full = {f: 10.0 * (i + 1) for i, f in enumerate(U.FACTS)}
+    rows = [
+        {"fact_id": 1, "doc_id": "A", "strategy": "structured", "unit_label": "млн руб.", **full},
+        {"fact_id": 2, "doc_id": "A", "strategy": "plain", **{f: v * 1000 for f, v in full.items()}},
+        {"fact_id": 3, "doc_id": "B", "strategy": "structured", "unit_label": "тыс. руб.", **full},
+        {"fact_id": 4, "doc_id": "B", "strategy": "plain", **full},  # a factor of one: the rule for no label holds
+    ]
+    out = U.common_units(_facts(spark, rows), *_context(spark))
+    got = {(r.fact_id, r.field): (r.currency, r.scale, r.basis) for r in out.collect()}
+    assert got[2, "revenue"] == got[2, "total_assets"] == ("RUB", 3, "link") and got[1, "revenue"] == ("RUB", 6, "label")
+    assert got[4, "revenue"] == ("RUB", 6, "default")
+
+
+def test_units_propagate_over_several_links_and_currencies(spark):
+    a, b, c = U.FACTS[:4], U.FACTS[2:8], U.FACTS[6:]
+    value = {f: 10.0 * (i + 1) for i, f in enumerate(U.FACTS)}
+    rows = [
+        {"fact_id": 1, "doc_id": "S", "period_year": 2020, "strategy": "structured", "unit_label": "тыс. руб.", **{f: value[f] for f in a}},
+        {"fact_id": 2, "doc_id": "S", "period_year": 2020, "strategy": "plain", **{f: value[f] / 1000 for f in b}},  # shares no field with the third
+        {"fact_id": 3, "doc_id": "S", "period_year": 2020, "strategy": "direct", **{f: value[f] * 1000 for f in c}, "revenue": 5.0},
+        {"fact_id": 4, "doc_id": "T", "period_year": 2020, "strategy": "structured", "unit_label": "USD million", **value},
+        {"fact_id": 5, "doc_id": "T", "period_year": 2020, "strategy": "plain", **{f: v * 70 for f, v in value.items()}},
+    ]
+    texts, rates = _context(spark, [("S", "(в тысячах российских рублей)"), ("T", "Presentation currency: USD million")])
+    got = {(r.fact_id, r.field): (r.currency, r.scale) for r in U.common_units(_facts(spark, rows), texts, rates).collect()}
+    assert got[1, "revenue"] == ("RUB", 3) and got[2, "total_assets"] == ("RUB", 6)
+    assert got[3, "revenue"] == ("RUB", 0)  # by way of the second record
+    assert got[4, "revenue"] == ("USD", 6) and got[5, "revenue"] == ("RUB", 6)
+
+
+def _context(spark, texts=()):
+    return spark.createDataFrame(list(texts), "doc_id string, text string"), spark.createDataFrame([("USD", 2020, 70.0), ("EUR", 2020, 80.0)], "currency string, period_year int, rub_per_unit double")
+
+
+def test_statements_of_any_length(spark):
+    texts = {
+        "long": "Показатели отчёта, если прямо не указано иное в соответствующем разделе или примечании к настоящей годовой отчётности, приведены без округления в тысячах долларов США",
+        "second": "Баланс представлен в примечании 5.\nЕдиница измерения: тыс. руб.",
+        "sentence": "Показатели отчёта сопоставимы. Займы превысили миллиард рублей.",
+        "blank": "Показатели отчёта\n\nмиллиард рублей",
+        "very long": "Показатели отчёта " + "и так далее, " * 30000 + "в млн руб.",
+        "short stops": "Единица измерения: млн. Долл. США",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: tuple(r.unit) for r in U.declared_units(df, "doc_id", "text").collect()}
+    assert got == {"long": ("USD", 3), "second": ("RUB", 3), "very long": ("RUB", 6), "short stops": ("USD", 6)}
 
 
 def test_all_statements_of_one_text_count(spark):
