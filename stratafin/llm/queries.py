@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafin.llm import bpe, canonical, language, lexicon, mixing, residue, scan
-from stratafin.sources.tables import newest, table
+from stratafin.sources.tables import once as once_each
+from stratafin.sources.tables import table
 
 
 def report_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(rec_table, rec_id, text) of all blocks and parses; ``once`` leaves re-delivered rows out."""
     blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
     if once:
-        blocks = newest(blocks, "block_id", "ingested_at", "content", "ingested_at")
-        parses = newest(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
+        blocks = once_each(blocks, "block_id", "ingested_at", "content", "ingested_at")
+        parses = once_each(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
     a = blocks.select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), F.col("content").alias("text"))
     return a.union(parses.select(F.lit("parser_result"), "result_id", "plain_text"))
 
@@ -37,31 +38,31 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = table(spark, sf_dir, "recommendations").select("rec_id", "doc_id", "recommendations")
-    judge = residue.fit_judge(recs, "recommendations", "doc_id")
+    judge = residue.fit_judge(recs, "recommendations", "doc_id", "rec_id")
     scored = residue.judge_texts(recs.select("rec_id", "recommendations"), judge, "recommendations")
     return scored.filter(F.col("residue") >= residue.REFUSE).select("rec_id").distinct()
 
 
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record once with its score and whether it is kept as advice (null is not)."""
-    recs = newest(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "doc_id", "model", "recommendations", "created_at")
-    judge = residue.fit_judge(recs, "recommendations", "doc_id")
+    recs = once_each(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "doc_id", "model", "recommendations", "created_at")
+    judge = residue.fit_judge(recs, "recommendations", "doc_id", "rec_id")
     scored = residue.judge_texts(recs.select("rec_id", "recommendations", F.col("recommendations").isNotNull().alias("given")), judge, "recommendations")
     return scored.select("rec_id", "residue", (F.col("given") & (F.col("residue") < residue.REFUSE)).alias("kept"))
 
 
 def p2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of the classifier with the weak labels, over reports the fit did not see."""
+    """The classifier on reports its fit did not see, by whether it was told of the phrases' family."""
     recs = table(spark, sf_dir, "recommendations").select("rec_id", "doc_id", "recommendations")
-    return residue.validate(recs, residue.fit_judge(recs, "recommendations", "doc_id"), "recommendations", "doc_id")
+    return residue.validate(recs, "recommendations", "doc_id", "rec_id")
 
 
 def placed_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """(rec_table, rec_id, doc, page, block_no, text): blocks by report and page, parses as one report each."""
     blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
     if once:
-        blocks = newest(blocks, "block_id", "ingested_at", "doc_id", "page_number", "block_no", "content", "ingested_at")
-        parses = newest(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
+        blocks = once_each(blocks, "block_id", "ingested_at", "doc_id", "page_number", "block_no", "content", "ingested_at")
+        parses = once_each(parses, "result_id", "ingested_at", "plain_text", "ingested_at")
     none = F.lit(None).cast("int")
     a = blocks.select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), "block_no", F.col("content").alias("text"))
     return a.union(parses.select(F.lit("parser_result"), "result_id", F.concat(F.lit("parse "), "result_id"), none, none, "plain_text"))
