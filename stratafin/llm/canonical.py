@@ -1,13 +1,15 @@
 """One form for texts that look the same.
 
-Full-width forms, decomposed letters, invisible characters, odd spaces and
-letters of another alphabet are brought to one spelling.  A word with such
-letters is looked up in a trie of the corpus's own words by an automaton for
-which look-alikes and ignorables are free; the most frequent spelling it reaches
-is taken.  A word it does not reach goes to the alphabet of its letters that
-have no twin, else to that of its text.  A word of twins only, in a text of the
-other alphabet (``c`` for ``с``), is changed if its twin is ``OFTEN`` times as
-frequent in such texts.
+Every word with a sign that may look like another (a letter of another alphabet,
+a wide or styled form, a letter and its mark, an invisible character) is read,
+as it stands, by a weighted automaton over a trie of the corpus's own words:
+such signs are free, letters that are only near to look at cost one each where a
+word mixes alphabets.  The cheapest spelling is taken, of equal ones the most
+frequent.  A word the automaton does not reach, and whatever is no word (spaces,
+digits, signs), goes by table: forms folded, marks composed, ignorables out, the
+letters to the alphabet of those that have no twin, else to that of the text.
+A word of twins only, in a text of the other alphabet (``c`` for ``с``), is
+changed if its twin is ``OFTEN`` times as frequent in such texts.
 
 Defined results: null stays null, empty stays empty; CR LF and CR become LF
 (and are no difference); signs that look different (№, m², «», —) are kept.
@@ -25,13 +27,13 @@ from stratafin.llm import lexicon as X
 
 #: How many times as frequent a twin must be for a whole word to be changed.
 OFTEN = 10
-_SPACE = {ord(c): " " for c in X.SPACES}
+_SPACE = {ord(c): " " for c in X.BLANKS}
 _GONE = {ord(c): None for c in X.IGNORABLE}
-_ODD = re.compile(f"[{X.IGNORABLE}{X.SPACES}！-～]|[^\\W\\d_][̀-ͯ]")
-_TWIN = "".join(X.TWINS)
-#: Pieces that need a look: a Latin and a non-Latin letter, a Greek letter, or twins alone.
-_TOKEN = re.compile(r"[^\W_]+")
-_ALL_TWINS = re.compile(f"[{_TWIN}]+")
+_FORMS = "".join(map(chr, X.COMPATIBLE))
+_ODD = re.compile(f"[{X.IGNORABLE}{_FORMS}]|[^\\W\\d_][\u0300-\u036f]")
+#: Words with what may stand inside them; a word begins with a sign that is seen.
+_TOKEN = re.compile(f"[^\\W_](?:[^\\W_]|[\u0300-\u036f{X.IGNORABLE}])*")
+_ALL_TWINS = re.compile(f"[{''.join(X.TWINS)}]+")
 _MEMO = 400_000
 
 
@@ -44,28 +46,38 @@ class Canon:
         self.plain: dict[str, set[str]] = {"C": set(), "L": set()}
 
     def token(self, t: str, a: str) -> str:
-        """Canonical spelling of one run of letters and digits in a text of alphabet ``a``."""
-        letters = [c for c in t if c.isalpha()]
+        """Canonical spelling of one raw word in a text of alphabet ``a``."""
+        odd = not t.isascii() and _ODD.search(t) is not None
+        shown = table_form(t) if odd else t
+        letters = [c for c in shown if c.isalpha()]
         kinds = {X.script(c) for c in letters} - {""}
         if len(kinds) == 1 and "G" not in kinds:
             own = kinds.pop()
-            if own == a or len(letters) < len(t) or not _ALL_TWINS.fullmatch(t):
-                return t
-            twin = "".join(X.TWINS[c].get(a, "") for c in t)
-            if len(twin) < len(t) or self.words.get((a, twin.lower()), 0) < max(OFTEN, OFTEN * self.words.get((a, t.lower()), 0)):
-                return t
+            if own == a or len(letters) < len(shown) or not _ALL_TWINS.fullmatch(shown):
+                found = [(n, s) for s, n in self.trie[own].zero_cost(t) if X.pure(s)] if odd else []
+                return max(found)[1] if found else shown
+            twin = "".join(X.TWINS[c].get(a, "") for c in shown)
+            if len(twin) < len(shown) or self.words.get((a, twin.lower()), 0) < max(OFTEN, OFTEN * self.words.get((a, shown.lower()), 0)):
+                return shown
             return twin
         if not kinds:
-            return t
-        found = [(n, b == a, s) for b in "CL" for s, n in self.trie[b].zero_cost(t) if X.pure(s)]
+            return shown
+        found = [(-cost, n, b == a, s) for b in "CL" for cost, s, n in self.trie[b].alike(t, 1 + len(letters) // 6) if X.pure(s)]
         if found:
-            return max(found)[2]
+            return max(found)[3]
         fixed = [X.script(c) for c in letters if c not in X.TWINS]
         main = max("CL", key=lambda s: (fixed.count(s), s == a))
-        return "".join(X.TWINS.get(c, {}).get(main, c) for c in t)
+        return "".join(X.TWINS.get(c, {}).get(main, c) for c in shown)
 
     def piece(self, p: str, a: str) -> str:
-        return _TOKEN.sub(lambda m: self.token(m.group(), a), p)
+        """A run of signs between white space: its words by the automaton, the rest by table."""
+        if p.isascii() or not _ODD.search(p):
+            return _TOKEN.sub(lambda m: self.token(m.group(), a), p)
+        out, i = [], 0
+        for m in _TOKEN.finditer(p):
+            out += [table_form(p[i : m.start()]), self.token(m.group(), a)]
+            i = m.end()
+        return "".join([*out, table_form(p[i:])])
 
     def text(self, text: str | None) -> str | None:
         """The canonical form; known plain pieces cost one set difference a text."""
@@ -73,8 +85,8 @@ class Canon:
             return text
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
-        if not text.isascii() and _ODD.search(text):
-            text = X.compose(X.fold_width(text.translate(_SPACE)).translate(_GONE))
+        if not text.isascii() and _BLANK.search(text):
+            text = text.translate(_SPACE)
         a = X.written_in(text)
         plain = self.plain[a]
         unknown = set(text.split()) - plain
@@ -95,7 +107,13 @@ class Canon:
         return text
 
 
+def table_form(text: str) -> str:
+    """Forms folded, ignorables out, marks composed."""
+    return X.compose(X.fold_width(text).translate(_GONE))
+
+
 _PIECE = re.compile(r"\S+")
+_BLANK = re.compile(f"[{X.BLANKS}]")
 _canons: dict[str, Canon] = {}
 
 
@@ -112,7 +130,7 @@ def canonical_texts(df: DataFrame, text: str, words: dict[tuple[str, str], int],
     One narrow stage; the vocabulary (at most ``lexicon.VOCABULARY`` words) is
     broadcast, tries and memos are kept per worker.
     """
-    shared, name = df.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
+    shared, name = df.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
     keep = [c for c in df.columns if c != out]
     at = keep.index(text)
 

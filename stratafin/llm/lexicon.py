@@ -1,19 +1,23 @@
-"""Corpus vocabulary as a trie, and a weighted edit automaton that walks it.
-
-Words are counted over all texts, each in the alphabet its text is written in.
-The counts are pre-aggregated in every task and summed by word, so a frequent
-word costs one row a task.  The ``VOCABULARY`` most frequent words of one
-alphabet go to the driver (a bound that does not grow with the corpus).
+"""Corpus vocabulary as a trie, and weighted edit automata that walk it.
+
+Words are counted over all texts, each in the alphabet its text is written in,
+without what invisible characters and cut marks leave of a word.  The counts are
+pre-aggregated in every task and summed by word, so a frequent word costs one
+row a task.  The ``VOCABULARY`` most frequent words go to the driver (a bound
+that does not grow with the corpus).  The trie is an ordered array of words; a
+node is a range of it, so a worker builds nothing.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,14 @@ ALIKE = (
 )
 SCRIPTS = "LCG"
 TWINS: dict[str, dict[str, str]] = {a: {s: b for s, b in zip(SCRIPTS, g) if b != " "} for g in ALIKE for a in g if a != " "}
+#: Letters of two alphabets that are near to look at; each costs one, and only where a word mixes alphabets.
+NEAR = ("kк", "mм", "tт", "bв", "hн", "nп", "uи", "rг")
+_NEAR: dict[str, str] = {x: y for a, b in NEAR for x, y in ((a, b), (b, a))}
 #: Characters without a width or look of their own.
-IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
-#: Spaces other than the plain one.
+IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0" + "".join(map(chr, (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))))
+#: Spaces other than the plain one, and signs that are blank.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANKS = SPACES + "\u2800"
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -67,7 +75,11 @@ def pure(word: str) -> bool:
 
 
 def count_words(texts: DataFrame, text: str) -> DataFrame:
-    """(alphabet, word, n) of all lower-case words of one alphabet, over all rows of ``texts``."""
+    """(alphabet, word, n) of all lower-case words of one alphabet, over all rows of ``texts``.
+
+    Invisible characters do not part a word; the two ends of a word at a cut
+    mark before white space are no words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {"C": Counter(), "L": Counter()}
@@ -77,7 +89,7 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
             for a, seen in pieces.items():
                 for p, n in seen.items():
                     for w in TOKEN.findall(p):
-                        if w.isalpha() and len(w) <= 64:
+                        if w.isalpha():
                             words[a, w.lower()] += n
                 seen.clear()
 
@@ -90,6 +102,10 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
+                    if not t.isascii() and _UNSEEN.search(t):
+                        t = _UNSEEN.sub("", t)
+                    if any(m in t for m in _ENDS):
+                        t = _FRAGMENTS.sub(" ", t)
                     pieces[written_in(t)].update(t.split())
             if sum(map(len, pieces.values())) > 300_000:
                 settle()
@@ -102,76 +118,129 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     return made.groupBy("alphabet", "word").agg(F.sum("n").alias("n"))
 
 
+#: Marks at which a word is cut.
+MARKS = "-¬–‐=\xad"
+_UNSEEN = re.compile(f"[{IGNORABLE.replace(chr(0xAD), '')}]|\xad(?!\\s)")
+_ENDS = tuple(m + x for m in MARKS for x in " \n\r")
+_FRAGMENTS = re.compile(rf"[^\W_]+[{MARKS}]\s+[^\W_]+")
+
+
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE) -> dict[tuple[str, str], int]:
-    """The words of the highest classes of frequency that together hold at most ``size``.
+    """The ``size`` most frequent words, or all that occur ``rare`` times.
 
-    The classes (sixteen to a doubling) are counted first, so the driver gets a
-    bounded result and no task sorts the vocabulary.
+    The classes of frequency (sixteen to a doubling) are counted first, so the
+    driver gets a bounded result and no task sorts the vocabulary; of the class
+    that does not fit as a whole a part is taken by a hash of the word.
     """
-    counts = stage(counts.filter(F.col("n") >= rare))
-    kind = F.floor(F.log2("n") * 16)
-    classes = sorted(((r.k, r.c) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    total, least = 0, None
+    counts = stage(counts.filter(F.col("n") >= rare)).withColumn("k", F.floor(F.log2("n") * 16))
+    classes = sorted(((r.k, r.c) for r in counts.groupBy("k").agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least, part = 0, -1, 1.0
     for k, c in classes:
         if total + c > size:
+            least, part = k, (size - total) / c
             break
-        total, least = total + c, k
-    if least is None:
-        return {}
-    got = counts.filter(kind >= int(least)).select("alphabet", "word", "n").toArrow()
-    return {(a, w): n for a, w, n in zip(*(got.column(i).to_pylist() for i in range(3)))}
+        total += c
+    slot = F.pmod(F.xxhash64("alphabet", "word"), F.lit(1 << 20)) < int(part * 0.98 * (1 << 20))
+    taken = (F.col("k") > int(least)) | ((F.col("k") == int(least)) & slot)
+    got = counts.filter(taken).select("alphabet", "word", "n").toArrow()
+    return {(a, w): n for a, w, n in sorted(zip(*(got.column(i).to_pylist() for i in range(3))))}
+
+
+def fingerprint(words: dict[tuple[str, str], int]) -> str:
+    """A name of a vocabulary by its content."""
+    return xxhash.xxh128_hexdigest("\n".join(f"{a}{w} {n}" for (a, w), n in sorted(words.items())).encode("utf-8", "replace"))
 
 
 class Trie:
-    """Words by their letters; a node is a dict, its word's count under the empty key."""
+    """Words in order, a node being the range of those with one beginning: (from, to, beginning)."""
 
     def __init__(self, words: Iterable[tuple[str, int]]):
-        self.root: dict = {}
-        for word, n in words:
-            at = self.root
-            for c in word:
-                at = at.setdefault(c, {})
-            at[""] = max(n, at.get("", 0))
-
-    def zero_cost(self, token: str) -> list[tuple[str, int]]:
-        """(spelling, count) of all words that look like the token: twins of a letter
-        and dropped ignorables cost nothing, anything else is not allowed."""
-        states = [(self.root, "")]
-        for c in token:
-            if c in IGNORABLE:
-                continue
-            options = {c, *TWINS.get(c, {}).values()}
-            states = [(node[o.lower()], done + o) for node, done in states for o in options if o.lower() in node]
+        pairs = sorted(words)
+        self.words, self.counts = [w for w, _ in pairs], [n for _, n in pairs]
+        self.root = (0, len(pairs), "")
+        self.longest = max(map(len, self.words), default=0)
+
+    def step(self, node: tuple[int, int, str], c: str) -> tuple[int, int, str] | None:
+        lo, hi, start = node
+        start += c
+        lo = bisect_left(self.words, start, lo, hi)
+        if lo == hi or not self.words[lo].startswith(start):
+            return None
+        return lo, bisect_left(self.words, start[:-1] + chr(ord(start[-1]) + 1), lo, hi), start
+
+    def count(self, node: tuple[int, int, str]) -> int:
+        """How often the word that ends at a node occurs, 0 if none does."""
+        lo, hi, start = node
+        return self.counts[lo] if lo < hi and self.words[lo] == start else 0
+
+    def walk(self, node: tuple[int, int, str] | None, text: str) -> tuple[int, int, str] | None:
+        for c in text:
+            node = node and self.step(node, c)
+        return node
+
+    def alike(self, token: str, budget: int = 0) -> list[tuple[int, str, int]]:
+        """(cost, spelling, count) of the words that look like a raw token.
+
+        Twins of a letter, wide and other compatible forms, marks that compose
+        and ignorables cost nothing; near letters cost one each, up to ``budget``.
+        """
+        states = [(0, self.root, "")]
+        for options in _arcs(token):
+            after: dict[tuple, tuple] = {}
+            for cost, node, done in states:
+                for said, more in options:
+                    if cost + more > budget:
+                        continue
+                    to = self.walk(node, said.lower())
+                    if to is not None and after.get((to, done + said), (9,))[0] > cost + more:
+                        after[to, done + said] = (cost + more, to, done + said)
+            states = list(after.values())
             if not states:
                 return []
-        return [(done, node[""]) for node, done in states if "" in node]
+        return [(cost, done, self.count(node)) for cost, node, done in states if self.count(node)]
 
+    def zero_cost(self, token: str) -> list[tuple[str, int]]:
+        """(spelling, count) of the words that look like the token at no cost."""
+        return [(s, n) for _, s, n in self.alike(token)]
 
-    def noisy(self, token: str, budget: int = 2, count=None) -> list[tuple[int, str, int]]:
+    def noisy(self, token: str, budget: int = 2) -> list[tuple[int, str, int]]:
         """(edits, word, count) of words the token may be a misreading of; each confusion costs one."""
-        states, out = [(self.root, "", 0, 0)], []
+        states, out = [(self.root, 0, 0)], []
         while states:
-            node, done, i, cost = states.pop()
+            node, i, cost = states.pop()
             if i == len(token):
-                if "" in node:
-                    out.append((cost, done, node[""]))
+                if n := self.count(node):
+                    out.append((cost, node[2], n))
                 continue
-            c = token[i]
-            if c in node:
-                states.append((node[c], done + c, i + 1, cost))
+            if to := self.step(node, token[i]):
+                states.append((to, i + 1, cost))
             if cost < budget:
                 for width in (1, 2):
                     for meant in MISREAD.get(token[i : i + width], ()) if i + width <= len(token) else ():
-                        at = node
-                        for m in meant:
-                            at = at.get(m)
-                            if at is None:
-                                break
-                        else:
-                            states.append((at, done + meant, i + width, cost + 1))
+                        if to := self.walk(node, meant):
+                            states.append((to, i + width, cost + 1))
         return out
 
 
+def _arcs(token: str) -> list[list[tuple[str, int]]]:
+    """What each sign of a raw token may stand for, with its cost; ignorables stand for nothing."""
+    out, i = [], 0
+    shown = [c for c in token if c not in _IGNORED]
+    while i < len(shown):
+        j = i + 1
+        while j < len(shown) and "\u0300" <= shown[j] <= "\u036f":
+            j += 1
+        sign = fold_width(unicodedata.normalize("NFC", "".join(shown[i:j])))
+        twins = [] if len(sign) > 1 else [(x, 0) for x in TWINS.get(sign, {}).values() if x != sign]
+        near = _NEAR.get(sign.lower(), "") if len(sign) == 1 else ""
+        out.append([(sign, 0), *twins, *([(near.upper() if sign.isupper() else near, 1)] if near else [])])
+        i = j
+    return out
+
+
+_IGNORED = frozenset(IGNORABLE)
+
+
 #: What stands in a scan for what was printed, in lower case.
 MISREAD: dict[str, tuple[str, ...]] = {
     "0": ("о", "o"), "8": ("в", "b"), "6": ("б",), "4": ("ч",), "3": ("з",), "1": ("i", "l"), "5": ("s",), "9": ("g",), "!": ("i", "l"), "|": ("l", "i"), "$": ("s",),
@@ -183,20 +252,30 @@ DIGIT_LIKE = {"O": "0", "o": "0", "О": "0", "о": "0", "S": "5", "s": "5", "l":
 
 
 def fold_width(text: str) -> str:
-    """Full-width forms to plain ones."""
-    return text.translate(_WIDTH)
+    """Full-width, half-width, styled and joined forms of letters and signs to plain ones."""
+    return text.translate(COMPATIBLE)
 
 
-_WIDTH = {0xFEE0 + i: i for i in range(0x21, 0x7F)} | {0x3000: 0x20}
+def _compatible() -> dict[int, str]:
+    """The plain form of every sign that is only another width or style of it, by the tags of its decomposition.
+
+    Signs that look different (№, ², ½, ™) carry other tags and stay.
+    """
+    out = {0x3000: " "}
+    for first, last in ((0x2100, 0x214F), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x1D400, 0x1D7FF)):
+        for o in range(first, last + 1):
+            tag = unicodedata.decomposition(chr(o)).partition(" ")[0]
+            if tag in ("<wide>", "<narrow>", "<font>") or (tag and tag[0] != "<") or 0xFB00 <= o <= 0xFB06:
+                out[o] = unicodedata.normalize("NFKC", chr(o))
+    return {o: s for o, s in out.items() if chr(o) not in IGNORABLE}
+
+
+COMPATIBLE = _compatible()
 
 
 def compose(text: str) -> str:
     """Letters and combining marks to composed letters where they exist; other characters stay."""
-    out, i = [], 0
-    for m in _MARKED.finditer(text):
-        out += [text[i : m.start()], unicodedata.normalize("NFC", m.group())]
-        i = m.end()
-    return "".join([*out, text[i:]]) if out else text
+    return _MARKED.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
 
 
 _MARKED = re.compile(r"[^\W\d_][\u0300-\u036f]+")

@@ -1,27 +1,33 @@
 """Repair of text from scanned pages: cut words, misread characters, running
 headers and page numbers.
 
-A record is read as the character stream of its lines.  Runs of fragments that
-end in a cut mark are segmented jointly: every join of neighbours is looked up
-in the trie of the corpus's words, where a confusion costs one, and the cheapest
-segmentation of the run is taken; a suspended compound stays because its join is
-no word.  Other tokens are decoded by the same trie: a token is misread if a word
-``RATIO`` times as frequent is within reach of the confusion table.
+A record is read as the character stream of its lines.  Around every token that
+is no settled word (a rare one, one with a frequent word in reach of the
+confusion table, a fragment before a cut mark) a window of the stream is decoded
+as a whole: one dynamic program over it joins any number of fragments (at cut
+marks, line ends or spaces), parts words that ran together and undoes
+confusions, all with one cost, the logarithm of how rare a word is plus what an
+error costs.  The kinds of noise are read off the cheapest path.  A suspended
+compound stays because its join is no word.
 
 What is printed on every page is found over the whole report: each page hands on
 its edge lines in a form in which confusable characters are equal; a line that
 comes back on at least half of a report's pages, and does so in most reports it
-occurs in, is a running header or footer.  Page numbers are the numbers at the
-foot that keep one distance from the file's own count.  Words cut between two
-pages are joined by report and page.
+occurs in, is a running header or footer.  Lines longer than ``HEADER`` are
+handed on by their ends; reports in which those agree are read once more with
+whole lines, so a header has no longest length.  Page numbers are the numbers at
+the foot that keep one distance from the file's own count.  Words cut between
+two pages are joined by report and page.
 
 Defined results: null and empty texts have no noise and stay as they are;
 repeated rows count once; a record has each kind at most once; suspended
-compounds, ranges of years, note numbers in mid-page and codes are kept.
+compounds, ranges of years, note numbers in mid-page and codes are kept; words
+that ran together are parted in the text but are no case.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -38,17 +44,23 @@ from stratafin.session import stage
 RATIO, RATIO_SHORT = 5, 40
 #: Share of a report's pages a header is on; share of the reports with such a line in which it comes back.
 ON_PAGES, IN_REPORTS = 0.5, 0.5
-#: Longest header; characters of a record's two ends that are compared with it.
-HEADER, EDGE = 110, 111
+#: Longest edge line handed on whole; characters of a record's two ends that are; characters by which longer lines are told apart at first.
+HEADER, EDGE, PROBE = 110, 111, 48
+#: Tasks over which one header's reports are spread.
+SPREAD = 16
+#: Costs in the decoding, as powers of ten of likelihood: a cut at a mark, at a space or line end, two words run together, a confusion, a mark left open; an unknown word beyond the whole corpus.
+AT_MARK, AT_SPACE, RUN_ON, CONFUSED, OPEN, UNKNOWN = 0.1, 1.5, 1.0, 0.5, 4.0, 1.5
+#: Shortest settled fragment that is joined without a mark; shortest unknown token that is parted; share of all words from which a word of two letters is a part.
+FRAGMENT, PARTED, FREQUENT = 3, 6, 1e-3
 _MEMO = 400_000
 
-_MARKS = "-¬–‐=\xad"
-_CHAIN = re.compile(rf"[^\W_]+(?:[|!][^\W_]+)*(?:[{_MARKS}]\s+[^\W_]+(?:[|!][^\W_]+)*)+")
-_CUT = re.compile(rf"[{_MARKS}]\s+")
+_MARKS = X.MARKS
 _TOKEN = re.compile(r"[^\W_]+(?:[|!$][^\W_]*)*|[|!$][^\W_]+(?:[|!$][^\W_]*)*")
+_GAP = re.compile(rf"([{_MARKS}]?)(\s+)")
+_DANGLING = re.compile(rf"[{_MARKS}]\s*$")
 _NUMBER = re.compile(r"(?<![\w.,])(?=[^\s]*\d)[\dOoSslI|!BОоЗзб]+(?:[.,][\dOoSslI|!BОоЗзб]+)*(?![\w|!])")
 _PAGE = re.compile(r"\[\[PAGE:(\d+)\]\]")
-_NUMS = re.compile(r"^(?P<pre>[^\d\n]{0,14}?)(?P<n>\d{1,4})(?P<mid>\s*(?:/|из|of)\s*(?P<total>\d{1,4}))?(?P<post>[^\d\n]{0,4})$", re.I)
+_NUMS = re.compile(r"^(?P<pre>[^\d\n]{0,14}?)(?P<n>\d{1,6})(?P<mid>\s*(?:/|из|of)\s*(?P<total>\d{1,6}))?(?P<post>[^\d\n]{0,4})$", re.I)
 #: What may stand before a printed page number.
 _PAGE_WORDS = {"", "-", "—", "–", "[", "с", "с.", "стр", "стр.", "страница", "лист", "л.", "page", "p.", "pg.", "p"}
 
@@ -59,8 +71,12 @@ class Scan:
     def __init__(self, canon: Canon):
         self.canon = canon
         self.memo: dict[tuple[str, str], str | None] = {}
-        self.joins: dict[tuple[str, str], list[str] | None] = {}
+        self.rare: dict[tuple[str, str], bool] = {}
+        self.windows: dict[tuple[str, str, bool], tuple[str, bool, bool]] = {}
         self.clean: dict[str, set[str]] = {"C": set(), "L": set()}
+        self.total = sum(canon.words.values()) + 1
+        self.unknown = math.log10(self.total) + UNKNOWN
+        self.longest = max((t.longest for t in canon.trie.values()), default=0)
 
     def meant(self, token: str, a: str) -> str | None:
         """The word a token is a misreading of, None if it stands as it is."""
@@ -74,7 +90,7 @@ class Scan:
     def _meant(self, token: str, a: str) -> str | None:
         low = token.lower()
         letters = [c for c in low if c.isalpha()]
-        if not letters or len(low) > 40:
+        if not letters:
             return None
         odd = len(letters) < len(low)
         own = 0 if odd else self.canon.words.get((a, low), 0)
@@ -97,72 +113,150 @@ class Scan:
             return _cased(token, fixed) if fixed.isalpha() else None
         return None
 
+    def count(self, word: str, a: str) -> int:
+        low = word.lower()
+        return self.canon.words.get((a, low), 0) or self.canon.words.get(("L", low), 0)
+
     def known(self, word: str, a: str) -> tuple[int, str] | None:
         """(edits, word) if a joined string is a word, perhaps misread."""
-        low = word.lower()
-        n = self.canon.words.get((a, low), 0) or self.canon.words.get(("L", low), 0)
-        if n >= X.RARE:
-            return 0, word
         got = self.meant(word, a)
-        return (1, got) if got and (a, got.lower()) in self.canon.words else None
+        if got and (a, got.lower()) in self.canon.words:
+            return 1, got
+        return (0, word) if self.count(word, a) >= X.RARE else None
 
-    def segment(self, run: str, a: str) -> list[str] | None:
-        """The cheapest segmentation of a run of fragments, None if nothing is joined.
+    def unsettled(self, token: str, a: str) -> bool:
+        """Whether a token makes its surroundings worth decoding: misread, or a rare word that is part of others or made of them."""
+        if self.meant(token, a) is not None:
+            return True
+        return self.is_rare(token, a)
 
-        A join that is a word costs nothing but its edits; a fragment left with
-        its mark costs two, or nothing if it and its mark belong (compounds).
+    def is_rare(self, token: str, a: str) -> bool:
+        key = (a, token)
+        if key not in self.rare:
+            if len(self.rare) > _MEMO:
+                self.rare.clear()
+            self.rare[key] = token.isalpha() and self.count(token, a) < X.RARE
+        return self.rare[key]
+
+    def cost(self, n: int) -> float:
+        return math.log10(self.total / n) if n >= X.RARE else self.unknown
+
+    def parted(self, token: str, a: str) -> tuple[float, list[str]] | None:
+        """(cost, words) of the cheapest segmentation of an unknown token into known words, by walks of the trie."""
+        low, trie = token.lower(), self.canon.trie[a]
+        n = len(low)
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        for i in range(n - 1):
+            if best[i][0] == math.inf:
+                continue
+            node = trie.root
+            for j in range(i + 1, n + 1):
+                node = trie.step(node, low[j - 1])
+                if node is None:
+                    break
+                k = trie.count(node)
+                if k < X.RARE or j - i < 2 or (j - i < FRAGMENT and k < FREQUENT * self.total) or (i == 0 and j == n):
+                    continue
+                cost = best[i][0] + self.cost(k) + (RUN_ON if i else 0.0)
+                if cost < best[j][0]:
+                    best[j] = (cost, i)
+        if best[n][0] == math.inf:
+            return None
+        cuts, j = [], n
+        while j:
+            cuts.append((best[j][1], j))
+            j = best[j][1]
+        return best[n][0], [token[i:j] for i, j in reversed(cuts)]
+
+    def single(self, token: str, a: str, end: bool, open_end: bool) -> tuple[float, str, bool]:
+        """(cost, text, misread) of one token by itself: as it stands, as another word, as several."""
+        if not token.isalpha():
+            if not any(map(str.isalpha, token)):
+                return 0.0, token, False
+            got = self.meant(token, a)
+            return self.cost(self.count(got or "", a)) + (OPEN if open_end else 0.0), got or token, got is not None
+        as_is = self.cost(self.count(token, a)) + (OPEN if open_end else 0.0)
+        if not (end and len(token) < 5) and (got := self.meant(token, a)) is not None:
+            return min(as_is - CONFUSED, self.cost(self.count(got, a)) + CONFUSED), got, True
+        if len(token) >= PARTED and not end and (token.islower() or token.isupper()) and self.is_rare(token, a):
+            parts = self.parted(token, a)
+            if parts and parts[0] < as_is:
+                return parts[0], " ".join(parts[1]), False
+        return as_is, token, False
+
+    def window(self, text: str, a: str, dangling: bool) -> tuple[str, bool, bool]:
+        """(text, any cut word, any misreading): the cheapest reading of a part of the stream.
+
+        ``dangling`` says that the last token stands before an open mark.
         """
-        key = (a, run)
-        if key in self.joins:
-            return self.joins[key]
-        parts = _CUT.split(run)
-        marks = [m.group() for m in _CUT.finditer(run)]
-        n = len(parts)
-        best: list[tuple[float, list[str]]] = [(0, [])] + [(1e9, [])] * n
+        key = (a, text, dangling)
+        if key not in self.windows:
+            if len(self.windows) > _MEMO:
+                self.windows.clear()
+            self.windows[key] = self._window(text, a, dangling)
+        return self.windows[key]
+
+    def _window(self, text: str, a: str, dangling: bool) -> tuple[str, bool, bool]:
+        at = [m.span() for m in _TOKEN.finditer(text)]
+        token = [text[i:j] for i, j in at]
+        gap = [text[i[1] : j[0]] for i, j in zip(at, at[1:])]
+        link = [_GAP.fullmatch(g) for g in gap]  # joinable: a mark and white space, or white space within a paragraph
+        mark = [bool(m and m.group(1)) for m in link]
+        n = len(token)
+        best: list[tuple[float, int, str, bool, bool]] = [(0.0, 0, "", False, False)] + [(math.inf, 0, "", False, False)] * n
         for j in range(1, n + 1):
-            for i in range(max(0, j - 4), j):
-                if j - i == 1:
-                    text, cost = parts[i] + (marks[i] if i < n - 1 else ""), 0.0 if j == n and i == 0 else 2.0
+            open_end = mark[j - 1] if j < n else dangling
+            last = gap[j - 1] if j < n else ""
+            cost, said, bad = self.single(token[j - 1], a, open_end or (j > 1 and mark[j - 2]), open_end)
+            best[j] = (best[j - 1][0] + cost, j - 1, said + last, False, bad)
+            word, marks, spaces = token[j - 1], 0, 0
+            for i in range(j - 2, -1, -1):
+                if link[i] is None or len(token[i]) + len(word) > self.longest + 1:
+                    break
+                word = token[i] + word
+                if mark[i]:
+                    marks += 1
+                elif "\n" in gap[i] and gap[i].count("\n") > 1:
+                    break
                 else:
-                    got = self.known("".join(parts[i:j]), a)
-                    if got is None:
-                        continue
-                    text, cost = got[1] + (marks[j - 1] if j < n else ""), got[0] * 0.5
+                    spaces += 1
+                if spaces and not self._fragments(token[i:j], a):
+                    continue
+                got = self.known(word, a)
+                if got is None or (spaces and got[0]):
+                    continue
+                cost = self.cost(self.count(got[1], a)) + AT_MARK * marks + AT_SPACE * spaces + CONFUSED * got[0]
                 if best[i][0] + cost < best[j][0]:
-                    best[j] = (best[i][0] + cost, [*best[i][1], text])
-        out = best[n][1] if len(best[n][1]) < n else None
-        if len(self.joins) > _MEMO:
-            self.joins.clear()
-        self.joins[key] = out
-        return out
+                    best[j] = (best[i][0] + cost, i, got[1] + last, True, bool(got[0]))
+        out, cut, bad, j = [], False, False, n
+        while j:
+            _, i, said, joined, wrong = best[j]
+            out.append(said)
+            cut, bad, j = cut or joined, bad or wrong, i
+        return "".join(out[::-1]), cut, bad
+
+    def _fragments(self, tokens: list[str], a: str) -> bool:
+        """Whether tokens without a mark between them may be parts of one word: one is no word itself, the others
+        are not too short, and only the first may begin with a capital."""
+        if not all(t.isalpha() for t in tokens) or not any(self.is_rare(t, a) for t in tokens):
+            return False
+        if any(len(t) < FRAGMENT and not self.is_rare(t, a) for t in tokens):
+            return False
+        return all(t.islower() for t in tokens[1:]) or all(t.isupper() for t in tokens)
 
     def repair(self, text: str) -> tuple[str, bool, bool]:
-        """(text with words joined and misreadings undone, any cut word, any misreading)."""
+        """(text with words joined and parted and misreadings undone, any cut word, any misreading)."""
         a = X.written_in(text)
-        cut = bad = False
-        open_ends: set[str] = set()
-
-        def join(m: re.Match) -> str:
-            nonlocal cut, bad
-            got = self.segment(m.group(), a)
-            if got is None:
-                return m.group()
-            cut = True
-            plain = "".join(_CUT.split(m.group()))
-            done = "".join(got)
-            bad = bad or (done != plain and len(got) == 1)
-            return done
-
         clean = self.clean[a]
         unknown = set(text.split()) - clean
         if not unknown:
             return text, False, False
         if len(clean) > _MEMO:
             clean.clear()
-        odd, numeric = set(), False
-        cuts = False
+        odd: set[str] = set()
+        numeric = cuts = False
         for p in unknown:
-            wrong = [t for t in _TOKEN.findall(p) if self.meant(t, a) is not None]
+            wrong = [t for t in _TOKEN.findall(p) if self.unsettled(t, a)]
             lettered = _LETTERED.search(p) is not None
             open_end = p[-1] in _MARKS and len(p) > 1 and p[-2].isalnum()
             odd.update(wrong)
@@ -170,20 +264,9 @@ class Scan:
             cuts |= open_end
             if not (wrong or lettered or open_end) and len(p) < 64:
                 clean.add(p)
-        if cuts:
-            text = _CHAIN.sub(join, text)
-            open_ends = {w for m in _OPEN.finditer(text) for w in (m.group(1), m.group(2)) if w.isalpha() and len(w) < 5}
-
-        def word(m: re.Match) -> str:
-            nonlocal bad
-            t = m.group()
-            if t in open_ends:
-                return t
-            got = self.meant(t, a)
-            if got is None:
-                return t
-            bad = True
-            return got
+        cut = bad = False
+        if odd or cuts:
+            text, cut, bad = self._decode(text, a, odd)
 
         def number(m: re.Match) -> str:
             nonlocal bad
@@ -193,15 +276,34 @@ class Scan:
             bad = True
             return "".join(X.DIGIT_LIKE.get(c, c) for c in t)
 
-        if odd - open_ends:
-            text = _TOKEN.sub(word, text)
         if numeric:
             text = _NUMBER.sub(number, text)
         return text, cut, bad
 
+    def _decode(self, text: str, a: str, odd: set[str]) -> tuple[str, bool, bool]:
+        """The windows of a text decoded: each reaches from an unsettled token or a cut mark to the settled tokens beside it."""
+        at = [m.span() for m in _TOKEN.finditer(text)]
+        link = [_GAP.fullmatch(text, i[1], j[0]) for i, j in zip(at, at[1:])]
+        out, done, cut, bad, k, n = [], 0, False, False, 0, len(at)
+        hot = [text[i:j] in odd for i, j in at]
+        for i, m in enumerate(link):
+            if m and m.group(1):
+                hot[i] = hot[i + 1] = True
+        while k < n:
+            if not hot[k]:
+                k += 1
+                continue
+            first = k - 1 if k and link[k - 1] else k
+            while k + 1 < n and (hot[k + 1] or hot[k]) and link[k]:
+                k += 1
+            end = at[k][1]
+            dangling = k == n - 1 and _DANGLING.match(text, end) is not None
+            said, joined, wrong = self.window(text[at[first][0] : end], a, dangling)
+            out += [text[done : at[first][0]], said]
+            done, cut, bad, k = end, cut or joined, bad or wrong, k + 1
+        return "".join([*out, text[done:]]), cut, bad
+
 
-#: Fragments at an open end: the last of a text or line with its mark, and the first of the next line.
-_OPEN = re.compile(rf"([^\W_]+)[{_MARKS}]\s*(?:\n\s*|$| )([^\W_]*)")
 _LETTERED = re.compile(r"\d(?:[.,]?[OoSslI|!BОоЗзб]|(?<=[OoSslI|!BОоЗзб]\d)|(?<=[OoSslI|!BОоЗзб][.,]\d))")
 
 
@@ -225,7 +327,7 @@ def skeleton(text: str) -> str:
 
 def page_number(line: str) -> tuple[str, int] | None:
     """(form, number) if a line may be a printed page number and nothing else."""
-    if len(line) > _NUM_LINE:
+    if len(line) - line.count(" ") - line.count("\t") > _NUM_LINE:
         return None
     line = " ".join(line.split())
     low = re.sub(r"(?<=\d)[OoSlI]|(?<![^\W\d_])[OoSlI](?=\d)|(?<=[\s/\[.])[OSlI](?=\s|$|\])", lambda m: X.DIGIT_LIKE[m.group()], line)
@@ -241,30 +343,36 @@ def page_number(line: str) -> tuple[str, int] | None:
     return f"{skeleton(pre)}{'/' if total else ''}{post}", int(m["n"])
 
 
-_NUM_LINE = 26
+#: Signs of the longest line the pattern of a page number can match, spaces apart.
+_NUM_LINE = 34
 _PAGE_FORMS = {skeleton(w) for w in _PAGE_WORDS}
 
 PIECES = "rec_table string, rec_id bigint, doc string, page int, block_no int, cut boolean, bad boolean, top string, low string, num_form string, num int, tail string, head string, stop string"
 
 
-def _piece(scan: Scan, text: str) -> tuple:
-    """What one page's part of a record tells: flags, edges, number, open ends, what is glued to the second."""
+def _piece(scan: Scan, text: str, edge: int | None = EDGE) -> tuple:
+    """What one page's part of a record tells: flags, edges, number, open ends, what is glued to the second.
+
+    The edges are ``edge`` characters of the two ends, or the whole first and last lines.
+    """
     fixed, cut, bad = scan.repair(text)
     body = fixed.strip()
     if not body:
         return cut, bad, None, None, None, None, None, None, None
     rest, _, last = body.rpartition("\n")
-    num = page_number(last) if len(last) <= _NUM_LINE else None
+    num = page_number(last)
     if num:
         body = rest.rstrip()
     elif rest:
         rest, _, above = rest.rstrip().rpartition("\n")
-        num = page_number(above) if len(above) <= _NUM_LINE else None
+        num = page_number(above)
         if num:
             body = f"{rest.rstrip()}\n{last}".lstrip()
     if not body:
         return cut, bad, None, None, *num, None, None, None
-    top, low = body[:EDGE], body[-EDGE:]
+    if edge is None:
+        return cut, bad, body.partition("\n")[0].strip(), body.rpartition("\n")[2].strip(), *(num or (None, None)), None, None, None
+    top, low = body[:edge], body[-edge:]
     tail = head = stop = None
     for end in (low, low.rpartition("\n")[0].rstrip()):
         if end[-1:] in _MARKS and end and (m := _TAIL.search(end)):
@@ -333,42 +441,50 @@ def _against(a: str, b: str, full: int) -> float:
     return cost - 0.5 * (b.lstrip()[:1].islower())
 
 
-def clean_text(scan: Scan, text: str, keys: list[str], numbers: bool, ends: Iterable[dict] = ()) -> str:
-    """A record without its headers (``keys``, comparable forms) and page numbers, repaired, in paragraphs.
+def clean_text(scan: Scan, text: str, marks: Iterable[dict] = ()) -> str:
+    """A record without its headers and page numbers, repaired, in paragraphs.
 
-    ``ends`` are its fragments of words cut between pages: ``whole`` is written
-    for one at a page's foot, one at the head (no ``whole``) goes. ``page`` is
-    that of the record's own marks, null if it has none.
+    ``marks`` say what to mend on which page (null for a record without marks of
+    its own): ``header`` and ``footer`` with the comparable form to take from
+    the first or last line, ``number`` for a page number at the foot, ``tail``
+    and ``head`` for the fragments of words cut between pages, of which the
+    first becomes ``whole``. Nothing else is taken away.
     """
-    out, page, ends = [], 0, list(ends)
+    out, page, marks = [], None, list(marks)
     for i, part in enumerate(_PAGE.split(scan.canon.text(text))):
         if i % 2:
             out.append(f"[[PAGE:{part}]]")
             page = int(part)
             continue
+        here = [m for m in marks if m["page"] in (None, page if page is not None else 0)]
         lines = scan.repair(part)[0].split("\n")
         edge = [k for k, x in enumerate(lines) if x.strip()]
-        ends = [e for e in ends if e["page"] not in (None, page) or not _close(lines, edge, e)]
-        for k in edge[-2:]:
-            if numbers and page_number(lines[k]):
-                lines[k] = ""
-        for key in keys:
-            for k in {*edge[:2], *edge[-3:]}:
-                form = skeleton(lines[k])
-                if form == key:
+        for m in here:
+            if m["kind"] in ("tail", "head") and _close(lines, edge, m):
+                marks.remove(m)
+        if any(m["kind"] == "number" for m in here):
+            for k in edge[-1:-3:-1]:
+                if page_number(lines[k]):
                     lines[k] = ""
-                elif form.startswith(key) or form.endswith(key):
-                    lines[k] = _without(lines[k], key, form.startswith(key))
+                    break
+        for m in sorted((m for m in here if m["kind"] in ("header", "footer")), key=lambda m: -len(m["form"])):
+            first = m["kind"] == "header"
+            body = [k for k in edge if lines[k].strip()]
+            if not first and len(body) > 1 and page_number(lines[body[-1]]):
+                body.pop()
+            for k in body[:1] if first else body[-1:]:
+                lines[k] = "" if skeleton(lines[k]) == m["form"] else _without(lines[k], m["form"], first)
         out.append(paragraphs("\n".join(lines)).strip("\n"))
     return "\n".join(x for x in out if x)
 
 
 def _close(lines: list[str], edge: list[int], end: dict) -> bool:
     """Close one open end where ``_piece`` saw it; whether it is there."""
-    for k in edge[:-4:-1] if end["whole"] else edge[:2]:
-        m = _TAIL.search(lines[k]) if end["whole"] else _HEAD.match(lines[k])
-        if m and m.group(1) == end["fragment"]:
-            lines[k] = lines[k][: m.start()] + end["whole"] if end["whole"] else lines[k][m.end() :].lstrip()
+    tail = end["kind"] == "tail"
+    for k in edge[:-4:-1] if tail else edge[:2]:
+        m = _TAIL.search(lines[k]) if tail else _HEAD.match(lines[k])
+        if m and m.group(1) == end["form"]:
+            lines[k] = lines[k][: m.start()] + end["whole"] if tail else lines[k][m.end() :].lstrip()
             return True
     return False
 
@@ -384,24 +500,29 @@ def _without(line: str, key: str, first: bool) -> str:
 
 
 def repair_texts(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
-    """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers, words cut between pages whole on the first."""
+    """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers, words cut between pages whole on the first.
+
+    What ``find_noise`` says of a record's pages is brought to it by its key, a
+    list as long as its pages; texts are moved once.
+    """
     edges = stage(page_edges(stage(read_pieces(texts, words))))
-    keys = running_headers(edges).groupBy("doc").agg(F.collect_set("key").alias("keys"))
     marked = F.col("rec_table") == "parser_result"
-    end = lambda page, fragment, whole: F.struct(F.when(marked, page).alias("page"), F.col(fragment).alias("fragment"), whole.cast("string").alias("whole"))
+    none = F.lit(None).cast("string")
+    told = lambda rec, page, kind, form=none, whole=none: (F.col("rec_table"), F.col(rec).alias("rec_id"), F.struct(F.when(marked, page).alias("page"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), form.alias("form"), whole.alias("whole")).alias("mark"))
+    kind = F.when(F.col("first"), "header").otherwise("footer")
     split = cut_at_pages(edges, words)
-    ends = split.select("rec_table", F.col("one").alias("rec_id"), end(F.col("page"), "tail", F.concat("word", F.coalesce("stop", F.lit("")))).alias("end"))
-    ends = ends.union(split.select("rec_table", "two", end(F.col("page") + 1, "head", F.lit(None))))
-    of_record = page_numbers(edges).select("rec_table", "rec_id", F.lit(True).alias("numbers")).unionByName(ends, allowMissingColumns=True)
-    of_record = of_record.groupBy("rec_table", "rec_id").agg(F.max("numbers").alias("numbers"), F.collect_list("end").alias("ends"))
-    full = texts.join(keys, "doc", "left").join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "keys", "numbers", "ends")
-    shared, name = texts.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
+    marks = header_ends(texts, edges, words).select(*told("rec_id", F.col("page"), kind, F.col("key")))
+    marks = marks.union(page_numbers(edges).select(*told("rec_id", F.col("page"), "number")))
+    marks = marks.union(split.select(*told("one", F.col("page"), "tail", F.col("tail"), F.concat("word", F.coalesce("stop", F.lit(""))))))
+    marks = marks.union(split.select(*told("two", F.col("page") + 1, "head", F.col("head"))))
+    of_record = marks.groupBy("rec_table", "rec_id").agg(F.collect_set("mark").alias("marks"))
+    full = texts.join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "marks")
+    shared, name = texts.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = worker_scan(name, shared.value)
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            done = [clean_text(scan, t, k or [], bool(n), e or ()) if t else t for t, k, n, e in rows]
+            done = [clean_text(scan, t, m or ()) if t else t for t, m in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(done, pa.string())], names=["rec_table", "rec_id", "text"])
 
     return full.mapInArrow(run, "rec_table string, rec_id bigint, text string")
@@ -411,9 +532,9 @@ _TAIL = re.compile(rf"([^\W_]+)[{_MARKS}]\s*$")
 _HEAD = re.compile(r"\s*([^\W\d_]+)((?:-[^\W\d_]+)*[.,;:!?%)\]}»”’\"'…]*)")
 
 
-def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
-    """One row a record and page of (rec_table, rec_id, doc, page, block_no, text); texts stay behind."""
-    shared, name = texts.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
+def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int], edge: int | None = EDGE) -> DataFrame:
+    """One row a record and page of (rec_table, rec_id, doc, page, block_no, text); texts stay behind but for their edges."""
+    shared, name = texts.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
     fields = PIECES.split(", ")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in fields])
 
@@ -426,13 +547,13 @@ def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFram
                     continue
                 text = scan.canon.text(text)
                 if kind != "parser_result":
-                    rows.append((kind, rec, doc, page, no, *_piece(scan, text)))
+                    rows.append((kind, rec, doc, page, no, *_piece(scan, text, edge)))
                     continue
                 parts = _PAGE.split(text)
                 if parts[0].strip():
-                    rows.append((kind, rec, doc, 0, 0, *_piece(scan, parts[0])))
+                    rows.append((kind, rec, doc, 0, 0, *_piece(scan, parts[0], edge)))
                 for i in range(1, len(parts), 2):
-                    rows.append((kind, rec, doc, int(parts[i]), 0, *_piece(scan, parts[i + 1])))
+                    rows.append((kind, rec, doc, int(parts[i]), 0, *_piece(scan, parts[i + 1], edge)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -465,41 +586,88 @@ def page_edges(pieces: DataFrame) -> DataFrame:
     )
 
 
-def comparable(rows: DataFrame, source: dict[str, str], longest: int = EDGE) -> DataFrame:
-    """``rows`` with columns that hold the comparable forms of the named columns' texts of at most ``longest`` characters."""
+def comparable(rows: DataFrame, source: dict[str, str]) -> DataFrame:
+    """``rows`` with columns that hold the comparable forms of the named columns' texts."""
     at = {new: rows.columns.index(old) for new, old in source.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [pa.array([skeleton(x) if x and len(x) <= longest else None for x in batch.column(i).to_pylist()], pa.string()) for i in at.values()]
+            forms = [pa.array([skeleton(x) if x else None for x in batch.column(i).to_pylist()], pa.string()) for i in at.values()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *forms], names=[*batch.schema.names, *at])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(c, StringType()) for c in at)]))
 
 
-def running_headers(edges: DataFrame) -> DataFrame:
-    """(doc, key): lines on at least ``ON_PAGES`` of a report's pages that come back in most reports they are in."""
-    ends = F.array_distinct(F.array_compact(F.array(F.substring_index("first.top", "\n", 1), F.substring_index("last.low", "\n", -1))))
-    lines = comparable(edges.select("doc", "page", F.explode(ends).alias("line")).filter(F.length("line").between(4, HEADER)), {"key": "line"})
-    lines = lines.filter(F.length("key") >= 4).select("doc", "page", "key").distinct()
+def recurring(edges: DataFrame) -> DataFrame:
+    """(doc, key, n, n_pages, long, back): the comparable forms of a report's edge lines by how many pages they are on.
+
+    ``long`` marks those of the probes that stand for lines beyond ``HEADER``;
+    ``back`` says that a form is on the share ``ON_PAGES`` of the pages, two at least.
+    """
+    top, low = F.substring_index("first.top", "\n", 1), F.substring_index("last.low", "\n", -1)
+    line = lambda c, probe: F.when(F.length(c) > HEADER, F.struct(probe.alias("line"), F.lit(True).alias("long"))).when(F.length(c) >= 4, F.struct(c.alias("line"), F.lit(False).alias("long")))
+    ends = F.array_distinct(F.array_compact(F.array(line(top, F.left(top, F.lit(PROBE))), line(low, F.right(low, F.lit(PROBE))))))
+    lines = comparable(edges.select("doc", "page", F.inline(ends)), {"key": "line"})
+    lines = lines.filter(F.length("key") >= 4).select("doc", "page", "key", "long").distinct()
     pages = edges.groupBy("doc").agg(F.count("*").alias("n_pages"))
-    of_doc = lines.groupBy("doc", "key").agg(F.count("*").alias("n")).join(pages, "doc")
-    back = (F.col("n") >= 2) & (F.col("n") >= ON_PAGES * F.col("n_pages"))
-    of_key = of_doc.filter("n_pages >= 2").groupBy("key").agg(F.avg(back.cast("int")).alias("share"))
-    return of_doc.filter(back).join(of_key.filter(F.col("share") >= IN_REPORTS), "key").select("doc", "key")
+    of_doc = lines.groupBy("doc", "key", "long").agg(F.count("*").alias("n")).join(pages, "doc")
+    return of_doc.withColumn("back", (F.col("n") >= 2) & (F.col("n") >= ON_PAGES * F.col("n_pages")))
+
+
+def running_headers(of_doc: DataFrame) -> DataFrame:
+    """(doc, key): the lines of ``recurring`` that come back in most reports they are in.
+
+    One issuer's header may stand in a tenth of all reports, so a key's reports
+    are spread over ``SPREAD`` tasks.
+    """
+    of_key = of_doc.filter("n_pages >= 2").groupBy("key").agg(F.avg(F.col("back").cast("int")).alias("share")).filter(F.col("share") >= IN_REPORTS)
+    of_key = of_key.select("key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    salted = of_doc.filter("back").select("doc", "key", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int").alias("salt"))
+    return salted.join(of_key, ["key", "salt"]).select("doc", "key")
+
+
+def header_ends(texts: DataFrame, edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+    """(rec_table, rec_id, page, first, key): records that begin a page with a running header (``first``) or end it with one.
+
+    Reports in which the probes of long lines come back are read again with
+    whole edge lines, whatever their length.
+    """
+    seen = stage(recurring(edges))
+    out = _ends_with(edges, running_headers(seen.filter("NOT long")))
+    docs = stage(seen.filter("long AND back").select("doc").distinct())
+    if docs.isEmpty():
+        return out
+    whole = stage(page_edges(read_pieces(texts.join(docs, "doc", "left_semi"), words, None)))
+    line = lambda c: F.struct(F.col(c).alias("line"))
+    lines = comparable(whole.select("doc", "page", F.inline(F.array(line("first.top"), line("last.low")))), {"key": "line"}).filter(F.length("line") > HEADER)
+    pages = whole.groupBy("doc").agg(F.count("*").alias("n_pages"))
+    of_doc = lines.select("doc", "page", "key").distinct().groupBy("doc", "key").agg(F.count("*").alias("n")).join(pages, "doc")
+    of_doc = of_doc.withColumn("back", (F.col("n") >= 2) & (F.col("n") >= ON_PAGES * F.col("n_pages")))
+    return out.union(_ends_with(whole, running_headers(of_doc)))
+
+
+def _ends_with(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ends of pages that begin or end with one of their report's keys, alone or joined to other text."""
+    keys = keys.groupBy("doc").agg(F.collect_set("key").alias("keys"))  # a report has a handful
+    heads = edges.join(keys, "doc").select("page", "first", "last", "keys", F.col("first.top").alias("top"), F.col("last.low").alias("low"))
+    heads = comparable(heads, {"top_form": "top", "low_form": "low"})
+    longest = lambda hit: F.array_max(F.transform(F.filter("keys", hit), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
+    top, low = longest(lambda k: F.startswith("top_form", k)), longest(lambda k: F.endswith("low_form", k))
+    row = lambda s, first, hit: F.when(hit.isNotNull(), F.struct(F.col(f"{s}.rec_table").alias("rec_table"), F.col(f"{s}.rec_id").alias("rec_id"), F.col("page"), F.lit(first).alias("first"), hit["key"].alias("key")))
+    return heads.select(F.inline(F.array_compact(F.array(row("first", True, top), row("last", False, low)))))
 
 
 def page_numbers(edges: DataFrame) -> DataFrame:
-    """(rec_table, rec_id) of the numbers at the foot that keep one form and distance from the file's count.
+    """(rec_table, rec_id, page) of the numbers at the foot that keep one form and distance from the file's count.
 
     They must do so on two pages or more and, like headers, on the share
     ``ON_PAGES`` of the report's pages.
     """
-    foot = edges.filter("num IS NOT NULL AND num.block_no >= to_no - 1").select("doc", F.col("num.rec_table").alias("rec_table"), F.col("num.rec_id").alias("rec_id"), F.col("num.num_form").alias("form"), (F.col("num.num") - F.col("page")).alias("ahead"))
+    foot = edges.filter("num IS NOT NULL AND num.block_no >= to_no - 1").select("doc", "page", F.col("num.rec_table").alias("rec_table"), F.col("num.rec_id").alias("rec_id"), F.col("num.num_form").alias("form"), (F.col("num.num") - F.col("page")).alias("ahead"))
     pages = edges.groupBy("doc").agg(F.count("*").alias("n_pages"))
     kept = foot.groupBy("doc", "form", "ahead").agg(F.count("*").alias("n")).filter("n >= 2 AND ahead >= 0")
     kept = kept.join(pages, "doc").filter(F.col("n") >= ON_PAGES * F.col("n_pages")).select("doc", "form", "ahead")
-    return foot.join(kept, ["doc", "form", "ahead"]).select("rec_table", "rec_id")
+    return foot.join(kept, ["doc", "form", "ahead"]).select("rec_table", "rec_id", "page")
 
 
 def find_noise(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
@@ -511,19 +679,11 @@ def find_noise(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame
     pieces = stage(read_pieces(texts, words))
     edges = stage(page_edges(pieces))
     own = pieces.filter("cut OR bad").select("rec_table", "rec_id", F.explode(F.array_compact(F.array(F.when(F.col("cut"), "hyphen"), F.when(F.col("bad"), "misread")))).alias("noise"))
-    ref = lambda s, kind: (F.col(f"{s}.rec_table").alias("rec_table"), F.col(f"{s}.rec_id").alias("rec_id"), F.lit(kind).alias("noise"))
-
-    keys = running_headers(edges).groupBy("doc").agg(F.collect_list("key").alias("keys"))  # a report has a handful
-    heads = edges.join(keys, "doc").select("first", "last", "keys", F.col("first.top").alias("top"), F.col("last.low").alias("low"))
-    heads = comparable(heads, {"top_form": "top", "low_form": "low"})
-    top = heads.filter(F.exists("keys", lambda k: F.startswith("top_form", k))).select(*ref("first", "header"))
-    low = heads.filter(F.exists("keys", lambda k: F.endswith("low_form", k))).select(*ref("last", "header"))
-
+    heads = header_ends(texts, edges, words).select("rec_table", "rec_id", F.lit("header").alias("noise"))
     nums = page_numbers(edges).select("rec_table", "rec_id", F.lit("pageno").alias("noise"))
-
     split = cut_at_pages(edges, words)
     split = split.select("rec_table", F.explode(F.array("one", "two")).alias("rec_id"), F.lit("hyphen").alias("noise"))
-    return own.union(top).union(low).union(nums).union(split).distinct()
+    return own.union(heads).union(nums).union(split).distinct()
 
 
 def cut_at_pages(edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
@@ -536,7 +696,7 @@ def cut_at_pages(edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFra
 
 def joined_words(pairs: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
     """The rows whose ``word`` is one of the corpus, perhaps misread; with the word that is meant."""
-    shared, name = pairs.sparkSession.sparkContext.broadcast(words), f"{len(words)}-{sum(words.values())}"
+    shared, name = pairs.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = worker_scan(name, shared.value)
