@@ -19,13 +19,18 @@ SPACE = r"[\s\p{Z}]"
 _BETWEEN = rf"(?:{INVISIBLE}|[-¬–‐=]{SPACE}{{1,4}})*+"
 
 
+def _options(low: str) -> str:
+    """What may stand for a letter, in both cases."""
+    options = low + VARIANTS.get(low, "")
+    options += "".join(chr(ord(x) + 0xFEE0) for x in options if "!" <= x <= "~")
+    return "".join(dict.fromkeys(options + options.upper()))
+
+
 def _letter(c: str) -> str:
     low = c.lower()
     if low == "й":
         return "(?:[йЙ]|[инИН]\\u0306)"
-    options = low + VARIANTS.get(low, "")
-    options += "".join(chr(ord(x) + 0xFEE0) for x in options if "!" <= x <= "~")
-    options = "".join(dict.fromkeys(options + options.upper()))
+    options = _options(low)
     marked = "\\u0308?" if low in "ёе" else ""
     group = {"m": "rn", "w": "vv", "d": "cl"}.get(low)
     body = "[" + "".join("\\" + x if x in "\\^]-[&|$" else x for x in options) + "]"
@@ -51,3 +56,11 @@ def loose(words: str) -> str:
 
 def any_of(*words: str) -> str:
     return "(?:" + "|".join(map(loose, words)) + ")"
+
+
+def begins(*starts: str) -> str:
+    """A look ahead: whether a word with one of these two first letters may stand here (a first letter is tried once)."""
+    by_first: dict[str, list[str]] = {}
+    for first, second in starts:
+        by_first.setdefault(first, []).append(_letter(second))
+    return "(?=" + "|".join(f"{_letter(c)}{_BETWEEN}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"

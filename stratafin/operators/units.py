@@ -25,11 +25,12 @@ count once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.functions.loose import SPACE, any_of, loose
+from stratafin.functions.loose import SPACE, any_of, begins, loose
 from stratafin.session import stage
 from stratafin.sources.tables import newest
 
@@ -54,7 +55,9 @@ OPENERS = (
 )
 #: A statement: an opener and what follows up to the end of the sentence (a stop after a whole word and before a capital), a blank line or the first number (an OKEI code or ``000`` belongs to it).
 _RUN = r"[^\d０-９)）.!?\n]++|(?!(?<=\p{L}{5})[.!?][\s\p{Z}]++\p{Lu})[.!?]|\n(?![^\S\n]*\n)|[0-9](?=[A-Za-zА-Яа-яЁё])|(?<=[A-Za-zА-Яа-яЁё])[0-9](?![0-9])"
-STATEMENT = rf"(?<![A-Za-zА-Яа-яЁё])(?:{'|'.join(OPENERS)})(?:{_RUN})*+(?:'?[0０OО][0０OО][0０OО]|[3３З][8８BВ][3-5３-５ЗS])?"
+#: How the openers begin: looked at first, so that most words of a text cost one look. An opening bracket is one of them.
+_FIRST = begins("ед", "ва", "по", "пр", "су", "со", "ок", "вы", "ук", "un", "pr", "re", "al", "am", "fi", "ex", "st")[:-1] + "|[(（])"
+STATEMENT = rf"(?<![A-Za-zА-Яа-яЁё]){_FIRST}(?:{'|'.join(OPENERS)})(?:{_RUN})*+(?:'?[0０OО][0０OО][0０OО]|[3３З][8８BВ][3-5３-５ЗS])?"
 
 #: Words and signs of scales (powers of ten) and currencies.
 SCALES = (
@@ -170,13 +173,25 @@ def source_graph(facts: DataFrame, entity: str, key: str = "fact_id") -> DataFra
     rows = facts.filter(F.col(entity).isNotNull()).select(entity, source_of("strategy").alias("_s"), F.struct(filled, -F.col(key)).alias("_o"), record.alias("_r"))
     best = [F.max_by("_r", F.when(F.col("_s") == i, F.col("_o"))).alias(f"_{i}") for i in range(len(SOURCES))]
     out = rows.groupBy(entity).agg(*best).select(entity, F.array(*[f"_{i}" for i in range(len(SOURCES))]).alias("sources"))
-    matrix = F.transform("sources", lambda a: F.transform("sources", lambda b: F.when(a["filled"] > 0, factor(a["values"], b["values"]))))
-    out = out.select(entity, "sources", matrix.alias("factors"))
-    for _ in range(2):  # paths of two, then of up to four links
-        n = F.sequence(F.lit(0), F.lit(len(SOURCES) - 1))
-        over = lambda i, j: F.get(F.filter(F.transform(n, lambda k: F.get(F.get("factors", i), k) * F.get(F.get("factors", k), j)), lambda f: f.isNotNull()), F.lit(0))
-        out = out.withColumn("factors", F.transform(n, lambda i: F.transform(n, lambda j: F.coalesce(F.get(F.get("factors", i), j), over(i, j)))))
-    return out
+    at = lambda i: F.get("sources", F.lit(i))
+    n = range(len(SOURCES))
+    both = {(i, j): at(i)["filled"].isNotNull() & at(j)["filled"].isNotNull() for i in n for j in n if i < j}
+    out = out.select(entity, "sources", *[F.when(there, factor(at(i)["values"], at(j)["values"])).alias(f"_{i}{j}") for (i, j), there in both.items()])
+    cell = lambda i, j: F.col(f"_{i}{j}") if i < j else F.lit(1.0) if i == j else 1 / F.col(f"_{j}{i}")
+    direct = F.array(*[F.array(*[cell(i, j) for j in n]) for i in n])
+    gaps = reduce(Column.__or__, [there & F.col(f"_{i}{j}").isNull() for (i, j), there in both.items()])
+    return out.select(entity, "sources", F.when(gaps, _paths(_paths(direct))).otherwise(direct).alias("factors"))
+
+
+def _paths(factors: Column) -> Column:
+    """A matrix of factors with its gaps filled by paths of twice as many links."""
+    n = F.sequence(F.lit(0), F.lit(len(SOURCES) - 1))
+
+    def closed(m: Column) -> Column:
+        by = lambda i, j: F.get(F.filter(F.transform(n, lambda k: F.get(F.get(m, i), k) * F.get(F.get(m, k), j)), lambda f: f.isNotNull()), F.lit(0))
+        return F.transform(n, lambda i: F.transform(n, lambda j: F.coalesce(F.get(F.get(m, i), j), by(i, j))))
+
+    return F.get(F.transform(F.array(factors), closed), F.lit(0))
 
 
 def source_of(strategy: str) -> Column:
@@ -220,14 +235,17 @@ def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Se
     linked = facts.filter("doc_id IS NOT NULL").join(told.hint("merge"), "doc_id").unionByName(facts.filter("doc_id IS NULL"), allowMissingColumns=True)
     linked = linked.join(yearly(rates), "period_year", "left").withColumn("_i", source_of("strategy"))
     own = F.get("sources", F.col("_i"))
-    linked = linked.withColumn("_own", factor(F.array(*FACTS), own["values"])).withColumn("_row", F.get("factors", F.col("_i")))
+    values = F.array(*FACTS)
+    linked = linked.withColumn("_own", F.when(values.eqNullSafe(own["values"]), 1.0).otherwise(factor(values, own["values"]))).withColumn("_row", F.get("factors", F.col("_i")))
     n = F.sequence(F.lit(0), F.lit(len(SOURCES) - 1))
     fullest = F.array_position(F.transform("sources", lambda s: s["filled"]), F.array_max(F.transform("sources", lambda s: s["filled"]))).cast("int") - 1
     cells = []
     for f in FIELDS:
         agrees = F.get(F.filter(n, lambda k: F.get("sources", k)[f] == F.col("_said")), F.lit(0))
         by_link = F.filter(F.transform(n, lambda k: F.struct(F.get("sources", k)[f].alias("u"), unit_along(F.get("sources", k)[f], F.col("_own") * F.get("_row", k), F.col("_rates")).alias("v"))), lambda x: x["v"].isNotNull() & (x["v"] != x["u"]))
-        cells.append(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), label_unit(F.col("unit_label"), f).alias("label"), F.coalesce(agrees, fullest).alias("pin"), F.get(F.transform(by_link, lambda x: x["v"]), F.lit(0)).alias("by_link")))
+        alone = F.col("_said").isNull() & F.col(f"_label_{f}").isNull()
+        cells.append(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_label_{f}").alias("label"), F.coalesce(agrees, fullest).alias("pin"), F.when(alone, F.get(F.transform(by_link, lambda x: x["v"]), F.lit(0))).alias("by_link")))
+    linked = linked.withColumns({f"_label_{f}": label_unit(F.col("unit_label"), f) for f in FIELDS})
     rows = linked.select("fact_id", "_said", "_own", "_row", "_rates", F.inline(F.array(*cells))).filter("value IS NOT NULL")
     along = F.coalesce(unit_along(F.col("_said"), F.col("_own") * F.get("_row", F.col("pin")), F.col("_rates")), F.col("_said"))
     default = F.struct(F.lit(CURRENCY).alias("currency"), F.lit(SCALE).alias("scale"))
