@@ -69,15 +69,29 @@ def with_year_context(df: DataFrame, key: str = "doc_id", reset_per_page: str |
     A header replaces the context by its years that were not in it, so the same
     header again clears it; a page line clears it and is itself read without.
     ``reset_per_page`` names a column whose change also clears it.
+
+    Only header and page lines are folded, once a document; what each leaves in
+    force joins the lines as a row of its own and is carried forward, so the
+    work grows with the lines and not with lines times headers.
     """
     line = F.col("line")
     rows = df.withColumn("years", T.years(line)).withColumn("numbers", T.numbers(line))
     rows = rows.withColumn("is_header", T.is_year_header(line, F.col("years"), F.col("numbers")))
     event = F.when(F.col("is_header"), F.col("years")).when(T.is_page_break(line), F.array().cast("array<int>"))
     keys = [key, reset_per_page] if reset_per_page else [key]
-    so_far = F.collect_list(event).over(Window.partitionBy(*keys).orderBy("line_no"))
-    fold = F.aggregate(so_far, F.array().cast("array<int>"), lambda now, e: F.filter(e, lambda y: ~F.array_contains(now, y)))
-    return rows.withColumn("context", fold)
+    events = rows.withColumn("_e", event).filter("_e IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "_e"))).alias("_es"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("now"), F.array().cast("array<struct<line_no:bigint,context:array<int>>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        kept = F.filter(e["_e"], lambda y: ~F.array_contains(acc["now"], y))
+        return F.struct(kept.alias("now"), F.concat(acc["out"], F.array(F.struct(e["line_no"].cast("bigint").alias("line_no"), kept.alias("context")))).alias("out"))
+
+    folded = events.select(*keys, F.inline(F.aggregate("_es", start, step, lambda acc: acc["out"])))
+    both = rows.withColumn("_told", F.lit(None).cast("array<int>")).unionByName(folded.select(*keys, F.col("line_no").cast(df.schema["line_no"].dataType), F.col("context").alias("_told")), allowMissingColumns=True)
+    ordered = Window.partitionBy(*keys).orderBy("line_no", F.col("_told").isNull())
+    in_force = F.last("_told", ignorenulls=True).over(ordered)
+    return both.withColumn("context", F.coalesce(in_force, none)).filter("_told IS NULL").drop("_told")
 
 
 def value_by_column(line: Column, context: Column) -> Column:
@@ -125,3 +139,15 @@ def extract_facts(df: DataFrame, key: str = "doc_id", count: str | None = None,
     speaks = lambda f: F.when(matches(F.col("line"), f) & F.col("value").isNotNull(), F.col("line_no"))
     more = [F.count("*").alias(count)] if count else []
     return rows.groupBy(key).agg(*more, *[F.max_by("value", speaks(f)).alias(f) for f in FIELDS])
+
+
+def preview_lines(df: DataFrame, n: int = 80) -> DataFrame:
+    """The first ``n`` lines of every document, by their number."""
+    return df.filter(F.col("line_no") <= n)
+
+
+def record_lines(records: DataFrame, key: str = "result_id") -> DataFrame:
+    """(key, line_no, line): the lines of ``nested.unnest``'s blocks in the order of the document, counted from 1."""
+    place = F.split("b.path", r"\.").cast("array<int>")
+    rows = records.select(key, F.explode("block_rows").alias("b")).filter("b.content IS NOT NULL").select(key, place.alias("_p"), F.md5("b.content").alias("_c"), F.col("b.content").alias("content"))
+    return numbered_lines(rows, key, "content", ["_p", "_c"])  # objects that are no array's share a place

@@ -2,8 +2,56 @@
 
 from __future__ import annotations
 
-from stratafin.operators import pages, ratios, report, statements
-from stratafin.operators.statements import FIELDS, PHRASES
+#: Fixed values, written down here once more so that the SQL does not rest on what it tests.
+PHRASES = {
+    "revenue": ("выручка", "revenue", "выручка от реализации"),
+    "net_profit": ("чистая прибыль", "прибыль за год", "net profit"),
+    "profit_from_sales": ("операционная прибыль", "прибыль от продаж", "прибыль от основной", "operating profit"),
+    "total_assets": ("итого активы", "всего активов", "total assets", "активы всего"),
+    "equity": ("капитал и резервы", "собственный капитал", "итого капитал", "total equity"),
+    "current_assets": ("оборотные активы", "current assets"),
+    "current_liabilities": ("краткосрочные обязательства", "краткосрочные пассивы", "current liabilities"),
+    "inventories": ("запасы", "inventories"),
+    "cash_and_short_term_investments": ("денежные средства", "денежные средства и их эквиваленты", "краткосрочные финансовые вложения"),
+    "total_liabilities": ("итого обязательства", "итого пассивы", "total liabilities"),
+    "accounts_receivable": ("дебиторская задолженность", "accounts receivable"),
+    "capex": ("приобретение основных средств", "приобретение внеоборотных активов", "покупка основных средств", "capex"),
+}
+FIELDS = tuple(PHRASES)
+#: Key, title, formula, unit, hint, bounds of ok and warn, whether less is better.
+RATIOS = (
+    ("ros", "Рентабельность продаж", "Прибыль от продаж / Выручка", "%", "Доля операционной прибыли в выручке.", 0.15, 0.05, False),
+    ("net_margin", "Рентабельность чистой прибыли", "Чистая прибыль / Выручка", "%", "Сколько чистой прибыли с рубля выручки.", 0.1, 0.03, False),
+    ("roa", "ROA", "Чистая прибыль / Активы", "%", "Эффективность использования активов.", 0.08, 0.03, False),
+    ("roe", "ROE", "Чистая прибыль / Собственный капитал", "%", "Доходность капитала для владельцев.", 0.08, 0.03, False),
+    ("current_ratio", "Текущая ликвидность", "Оборотные активы / Краткосрочные обязательства", "раз", "Покрытие краткосрочных долгов оборотными активами.", 1.5, 1.0, False),
+    ("quick_ratio", "Быстрая ликвидность", "(Оборотные активы − Запасы) / Краткосрочные обязательства", "раз", "Ликвидность без запасов.", 1.0, 0.7, False),
+    ("cash_ratio", "Денежная ликвидность", "(Деньги + краткоср. вложения) / Краткосрочные обязательства", "раз", "Мгновенная платёжеспособность.", 0.2, 0.1, False),
+    ("autonomy", "Автономия", "Собственный капитал / Активы", "доля", "Доля собственных средств в активах.", 0.5, 0.33, False),
+    ("leverage", "Финансовый леверидж", "Обязательства / Собственный капитал", "раз", "Долг на рубль собственного капитала.", 1.0, 2.5, True),
+    ("dso", "Оборачиваемость дебиторки (дни)", "(Дебиторка / Выручка) × 365", "дни", "Средний срок погашения дебиторки.", 45.0, 90.0, True),
+    ("asset_turnover", "Оборачиваемость активов", "Выручка / Активы", "раз", "Выручка на рубль активов.", 0.5, 0.3, False),
+    ("capex_revenue", "CAPEX / Выручка", "Приобретение ОС / Выручка", "%", "Доля инвестиций в основные средства от выручки.", 0.25, 0.4, True),
+)
+#: The texts of warnings and signs of statuses.
+MISSING = "Нет показателя «{}» — часть метрик будет пропущена. Добавьте строку в отчёт или введите вручную."
+NO_LIABILITIES = "Для ликвидности нужны краткосрочные обязательства."
+NO_SALES_PROFIT = "Нет «прибыль от продаж / операционная прибыль» — рентабельность продаж не посчитана."
+NO_INVENTORIES = "Нет строки «Запасы» — быстрая ликвидность не посчитана."
+SIGNS = {"ok": "🟢", "warn": "🟡", "risk": "🔴"}
+#: Phrases that make a page worth reading; words that speak against it and their weight.
+KEYWORDS = (
+    "выручка", "доход от реализации", "revenue", "sales", "чистая прибыль", "убыток за период", "net income", "net profit",
+    "итого активы", "совокупные активы", "total assets", "капитал", "собственный капитал", "total equity", "shareholders' equity", "оборотные активы",
+    "current assets", "краткосрочные обязательства", "current liabilities", "дебиторская задолженность", "accounts receivable", "receivables", "денежные средства и их эквиваленты", "cash and cash equivalents",
+    "запасы", "inventories", "stock", "операционная прибыль", "operating profit", "ebit", "капитальные вложения", "capex",
+    "приобретение основных средств", "capital expenditure", "себестоимость", "cost of sales", "cost of goods sold", "cogs",
+)
+PENALTY, PENALTY_WORDS = 5, ("вознаграждение", "руководящего персонала")
+#: Headings of the report and the row a preview puts first.
+TITLE = "Финансовый отчёт (автоанализ)"
+HEADS = ("Статус", "Показатель", "Значение", "Формула")
+BALANCE = ("balance", "Баланс", "активы = пасивы", "", "ok")
 
 #: White space of Unicode in the syntax of the SQL engine's patterns.
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -34,22 +82,23 @@ _PARTS = {
 
 def _metrics() -> str:
     rows = []
-    for i, (k, title, formula, unit, hint, ok, warn, smaller) in enumerate(ratios.RATIOS, 1):
+    for i, (k, title, formula, unit, hint, ok, warn, smaller) in enumerate(RATIOS, 1):
         op = "<=" if smaller else ">="
         status = f"CASE WHEN v IS NULL THEN 'na' WHEN v {op} {ok} THEN 'ok' WHEN v {op} {warn} THEN 'warn' ELSE 'risk' END"
         number = "printf('%.2f%%', v * 100)" if unit == "%" else "printf('%.0f дн.', v)" if k == "dso" else "printf('%.2f', v)"
         rows.append(f"SELECT doc_id, {i} AS ord, {_q(k)} AS metric, {_q(title)} AS title, {_q(formula)} AS formula, {_q(unit)} AS unit, {_q(hint)} AS hint, v AS value, {status} AS status, coalesce({number}, '—') AS display FROM (SELECT doc_id, {_PARTS[k]} AS v FROM best)")
-    return f"{BEST}, metrics AS ({' UNION ALL '.join(rows)})"
+    return f"metrics AS ({' UNION ALL '.join(rows)})"
 
 
-METRICS = _metrics()
-_rules = [f"CASE WHEN {f} IS NULL THEN {_q(ratios.MISSING.format(f))} END" for f in ratios.CORE] + [
-    f"CASE WHEN current_assets IS NOT NULL AND current_liabilities IS NULL THEN {_q(ratios.NO_LIABILITIES)} END",
-    f"CASE WHEN profit_from_sales IS NULL THEN {_q(ratios.NO_SALES_PROFIT)} END",
-    f"CASE WHEN current_assets IS NOT NULL AND current_liabilities IS NOT NULL AND inventories IS NULL THEN {_q(ratios.NO_INVENTORIES)} END",
+METRIC_ROWS = _metrics()
+METRICS = f"{BEST}, {METRIC_ROWS}"
+_rules = [f"CASE WHEN {f} IS NULL THEN {_q(MISSING.format(f))} END" for f in ("revenue", "net_profit", "total_assets", "equity")] + [
+    f"CASE WHEN current_assets IS NOT NULL AND current_liabilities IS NULL THEN {_q(NO_LIABILITIES)} END",
+    f"CASE WHEN profit_from_sales IS NULL THEN {_q(NO_SALES_PROFIT)} END",
+    f"CASE WHEN current_assets IS NOT NULL AND current_liabilities IS NOT NULL AND inventories IS NULL THEN {_q(NO_INVENTORIES)} END",
 ]
 WARNINGS = f"warned AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS ord, unnest(w) AS warning FROM (SELECT doc_id, list_filter([{', '.join(_rules)}], lambda x: x IS NOT NULL) AS w FROM best))"
-_sign = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ratios.SIGNS.items()) + " ELSE '⚪' END"
+_sign = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNS.items()) + " ELSE '⚪' END"
 
 _BREAK = r"\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}\x1C-\x1E]"
 LINES = f"""split AS (SELECT result_id AS doc_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT result_id, regexp_split_to_array(plain_text, '{_BREAK}') AS p FROM {_newest("parser_result", "result_id")} WHERE plain_text IS NOT NULL)),
@@ -88,22 +137,26 @@ flat AS (SELECT *, list_filter(cells, lambda v: v IS NOT NULL) AS known, CASE WH
 valued AS (SELECT doc_id, line_no, low, coalesce(CASE WHEN len(cols) >= 2 AND len(known) > 0 THEN coalesce(CASE WHEN len(ctx) > 0 AND len(ctx) <= len(cells) THEN cells[pos] END, known[-1]) END, CASE WHEN len(ctx) > 0 THEN kept[pos] END, kept[1]) AS value FROM flat)"""
 
 
+_last = ", ".join("arg_max(value, line_no) FILTER (WHERE value IS NOT NULL AND (" + " OR ".join(f"contains(low, {_q(p)})" for p in PHRASES[f]) + f")) AS {f}" for f in FIELDS)
+#: Facts of every document of ``lines``, with its number of lines.
+FACTS = f"{CONTEXT}, {_VALUE}, facts AS (SELECT d.doc_id, d.n_lines, {', '.join('b.' + f for f in FIELDS)} FROM (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) d LEFT JOIN (SELECT doc_id, {_last} FROM valued GROUP BY doc_id) b USING (doc_id))"
+
+
 def _facts_of(lines: str) -> str:
-    best = ", ".join("arg_max(value, line_no) FILTER (WHERE value IS NOT NULL AND (" + " OR ".join(f"contains(low, {_q(p)})" for p in PHRASES[f]) + f")) AS {f}" for f in FIELDS)
-    return f"WITH RECURSIVE {lines}, {CONTEXT}, {_VALUE} SELECT d.doc_id, {', '.join('b.' + f for f in FIELDS)} FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN (SELECT doc_id, {best} FROM valued GROUP BY doc_id) b USING (doc_id)"
+    return f"WITH RECURSIVE {lines}, {FACTS} SELECT * EXCLUDE (n_lines) FROM facts"
 
 
 _METHOD = "CASE WHEN method IN ('surya_ocr', 'pdfplumber', 'pymupdf') THEN method WHEN method = 'surya' THEN 'surya_ocr' ELSE 'fallback' END"
 _FILLED = "length(trim(text)) > 0"
 PAGES = f"""cand AS (SELECT doc_id, page_number, {_METHOD} AS method, coalesce(string_agg(content, chr(10) ORDER BY block_no, block_id), '') AS text FROM {_newest("blocks", "block_id")} WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3),
 conf AS (SELECT *, CASE method WHEN 'pdfplumber' THEN CASE WHEN {_FILLED} THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END WHEN 'pymupdf' THEN CASE WHEN {_FILLED} THEN 0.75::DOUBLE ELSE 0.2::DOUBLE END ELSE 0.6::DOUBLE + 0.0371::DOUBLE * (page_number % 5) END AS confidence FROM cand),
-ranked AS (SELECT *, CASE WHEN method = 'surya_ocr' AND {_FILLED} AND confidence >= {pages.MIN_CONFIDENCE} THEN 0 WHEN method = 'pdfplumber' AND {_FILLED} THEN 1 WHEN method = 'pymupdf' AND {_FILLED} THEN 2 WHEN {_FILLED} THEN 3 ELSE 9 END AS r FROM conf),
-pages AS (SELECT doc_id, page_number, CASE WHEN r < 9 THEN method ELSE 'fallback' END AS method, CASE WHEN r < 9 THEN text ELSE '' END AS text, CASE WHEN r < 9 THEN confidence ELSE 0 END AS confidence, r < 9 AS extracted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY r, confidence DESC, method) AS k FROM ranked) WHERE k = 1)"""
-_pagescore = " + ".join(f"contains(t, {_q(k)})::INTEGER" for k in pages.KEYWORDS) + " - CASE WHEN " + " OR ".join(f"contains(t, {_q(w)})" for w in pages.PENALTY_WORDS) + f" THEN {pages.PENALTY} ELSE 0 END"
+ranked AS (SELECT *, CASE WHEN NOT {_FILLED} THEN 9 WHEN method = 'surya_ocr' THEN CASE WHEN confidence >= 0.7 THEN 0 ELSE 9 END WHEN method = 'pdfplumber' THEN 1 WHEN confidence >= 0.85 THEN 2 ELSE 3 END AS r FROM conf),
+pages AS (SELECT doc_id, page_number, CASE WHEN r < 9 THEN method ELSE 'fallback' END AS method, CASE WHEN r < 9 THEN text ELSE '' END AS text, CASE WHEN r < 9 THEN confidence ELSE 0 END AS confidence, r < 9 AS extracted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY r, confidence DESC, CASE method WHEN 'pymupdf' THEN 1 ELSE 2 END, method) AS k FROM ranked) WHERE k = 1)"""
+_pagescore = " + ".join(f"contains(t, {_q(k)})::INTEGER" for k in KEYWORDS) + " - CASE WHEN " + " OR ".join(f"contains(t, {_q(w)})" for w in PENALTY_WORDS) + f" THEN {PENALTY} ELSE 0 END"
 _known = ("profit_from_sales", "revenue", "net_profit", *FIELDS[3:])
 _keyword = " UNION ALL ".join(f"SELECT doc_id, {_q(f)} AS field FROM lines WHERE " + " OR ".join(f"contains(lower(line), {_q(p)})" for p in PHRASES[f]) for f in FIELDS)
 _inner = "regexp_replace(CASE WHEN regexp_full_match(w, '\\(.*\\)|\\[.*\\]', 's') THEN substr(w, 2, length(w) - 2) ELSE w END, '" + _WS + "+', '', 'g')"
-_bal = report.BALANCE
+_bal = BALANCE
 
 _MEMBERS = "CASE json_type(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda x: '$[' || x || ']') WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: '$.\"' || k || '\"') ELSE []::VARCHAR[] END"
 _NODE = "v, path, parent, arr, json_type(v) = 'OBJECT' AND (json_type(v, '$.type') IS NOT NULL OR json_type(v, '$.content') IS NOT NULL) AS block"
@@ -118,6 +171,24 @@ SELECT result_id, {_NODE} FROM (SELECT result_id, json_extract(v, p) AS v, own |
 FROM (SELECT *, CASE WHEN block AND NOT arr THEN path || '.0' ELSE path END AS own, unnest({_MEMBERS}) AS p FROM walk))),
 seen AS (SELECT *, CASE WHEN block AND NOT arr THEN path || '.0' ELSE path END AS own, arr AND json_type(v) = 'VARCHAR' AS bare FROM walk)"""
 
+NODE_LINES = f"""nodes AS ({NODES} SELECT result_id, list_transform(string_split(own, '.'), lambda x: x::INTEGER) AS place, CASE WHEN block THEN v->>'$.content' ELSE v->>'$' END AS content FROM seen WHERE block OR bare),
+node_split AS (SELECT result_id, place, content, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT *, regexp_split_to_array(content, '{_BREAK}') AS p FROM nodes WHERE content IS NOT NULL)),
+node_lines AS (SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY place, md5(content), i) AS line_no, line FROM (SELECT *, {_strip("raw")} AS line FROM node_split) WHERE line <> '')"""
+#: Both readings of every report: lines by reading and document, facts, scores, the choice.
+CHOSEN = f"""{NODE_LINES},
+parses AS {_newest("parser_result", "result_id")},
+text_split AS (SELECT result_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT result_id, regexp_split_to_array(plain_text, '{_BREAK}') AS p FROM parses WHERE plain_text IS NOT NULL)),
+flat_split AS (SELECT doc_id, page_number, block_no, block_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw FROM (SELECT *, regexp_split_to_array(content, '{_BREAK}') AS p FROM {_newest("blocks", "block_id")} WHERE content IS NOT NULL AND doc_id IS NOT NULL)),
+lines AS (SELECT 's parse ' || result_id AS doc_id, line_no, line FROM node_lines
+UNION ALL SELECT 'p parse ' || result_id, row_number() OVER (PARTITION BY result_id ORDER BY i), line FROM (SELECT *, {_strip("raw")} AS line FROM text_split) WHERE line <> ''
+UNION ALL SELECT 's ' || doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_no, block_id, i), line FROM (SELECT *, {_strip("raw")} AS line FROM flat_split) WHERE line <> ''),
+{FACTS}, counted AS (SELECT *, ({_score})::INTEGER AS score FROM facts),
+latest AS (SELECT doc_id, 'parse ' || result_id AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(success, false) DESC, ingested_at DESC, result_id DESC) AS _n FROM parses WHERE doc_id IS NOT NULL) WHERE _n = 1),
+docs AS (SELECT doc_id, k FROM latest UNION ALL SELECT DISTINCT doc_id, doc_id FROM blocks WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM latest)),
+paired AS (SELECT d.doc_id, coalesce(s.score, p.score, 0) AS score_structured, coalesce(p.score, 0) AS score_plain, coalesce(s.n_lines, p.n_lines, 0) AS rows_structured, coalesce(p.n_lines, 0) AS rows_plain, s.doc_id AS sk, p.doc_id AS pk FROM docs d LEFT JOIN counted s ON s.doc_id = 's ' || k LEFT JOIN counted p ON p.doc_id = 'p ' || k),
+best AS (SELECT c.doc_id, CASE WHEN score_plain > score_structured THEN 'plain' ELSE 'structured' END AS strategy, CASE WHEN score_plain > score_structured THEN rows_plain ELSE rows_structured END AS line_count, score_structured, score_plain, rows_structured, rows_plain, {", ".join("f." + f for f in FIELDS)}
+FROM paired c LEFT JOIN counted f ON f.doc_id = CASE WHEN score_plain > score_structured THEN pk ELSE coalesce(sk, pk) END)"""
+
 ORACLES: dict[str, str] = {
     "strategy_pick": f"WITH {BEST} SELECT doc_id, strategy, score, fact_id FROM best",
     "report_metrics": f"WITH {METRICS} SELECT doc_id, metric, value, status FROM metrics",
@@ -127,8 +198,8 @@ ORACLES: dict[str, str] = {
     "facts_summary": f"WITH {BEST} SELECT doc_id, coalesce(nullif(concat_ws('; ', {', '.join(f'{_q(f + chr(61))} || {f}::VARCHAR' for f in _known)}), ''), 'данные не извлечены') AS summary FROM best",
     "metrics_prompt": f"WITH {METRICS} SELECT doc_id, string_agg('- ' || title || ': ' || display || ' (' || status || ') — ' || hint, chr(10) ORDER BY ord) AS prompt FROM metrics GROUP BY doc_id",
     "report_rows": f"""WITH {METRICS}, {WARNINGS}, docs AS (SELECT b.doc_id, coalesce(f.file_name, '—') AS file_name FROM best b LEFT JOIN {_newest("filings", "doc_id")} f USING (doc_id))
-SELECT doc_id, 1 AS section, 0 AS ord, {_q(report.TITLE)} AS text FROM docs UNION ALL SELECT doc_id, 2, 0, 'Файл: ' || file_name FROM docs UNION ALL SELECT doc_id, 2, 1, 'Дата: 2026-01-01' FROM docs
-UNION ALL SELECT DISTINCT doc_id, 3, 0, 'Предупреждения' FROM warned UNION ALL SELECT doc_id, 3, ord + 1, '• ' || warning FROM warned UNION ALL SELECT doc_id, 4, 0, {_q(' | '.join(report.HEADS))} FROM docs
+SELECT doc_id, 1 AS section, 0 AS ord, {_q(TITLE)} AS text FROM docs UNION ALL SELECT doc_id, 2, 0, 'Файл: ' || file_name FROM docs UNION ALL SELECT doc_id, 2, 1, 'Дата: 2026-01-01' FROM docs
+UNION ALL SELECT DISTINCT doc_id, 3, 0, 'Предупреждения' FROM warned UNION ALL SELECT doc_id, 3, ord + 1, '• ' || warning FROM warned UNION ALL SELECT doc_id, 4, 0, {_q(' | '.join(HEADS))} FROM docs
 UNION ALL SELECT doc_id, 4, ord, {_sign} || ' | ' || title || ' | ' || display || ' | ' || formula FROM metrics""",
     "preview_rows": f"WITH {METRICS} SELECT doc_id, ord, title, display FROM metrics UNION ALL SELECT doc_id, 0, {_q(_bal[1])}, {_q(_bal[3])} FROM best",
     "parse_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines",
@@ -141,6 +212,10 @@ SELECT doc_id, count(*) FILTER (WHERE len(y) >= 2 AND (len(n)::INT - len(y)::INT
     "year_context": f"WITH RECURSIVE {LINES}, {CONTEXT} SELECT doc_id, line_no, array_to_string(ctx, ',') AS context FROM placed",
     "plain_facts": _facts_of(LINES),
     "structured_facts": _facts_of(BLOCK_LINES),
+    "analysis": f"""WITH RECURSIVE {CHOSEN}, {METRIC_ROWS}, {WARNINGS} SELECT b.doc_id, n.file_name, '2026-01-01' AS date, m.n_coefficients, coalesce(w.warnings, '') AS warnings, m.statuses, b.strategy, 'parse_financial_pdf' AS processor, b.line_count, b.score_structured, b.score_plain, -1 AS score_direct, b.rows_structured, b.rows_plain, {", ".join("b." + f for f in FIELDS)}
+FROM best b JOIN (SELECT doc_id, count(value)::INTEGER AS n_coefficients, string_agg(status, ',' ORDER BY ord) AS statuses FROM metrics GROUP BY doc_id) m USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(warning, chr(10) ORDER BY ord) AS warnings FROM warned GROUP BY doc_id) w USING (doc_id) LEFT JOIN {_newest("filings", "doc_id")} n USING (doc_id)""",
+    "record_lines": f"WITH RECURSIVE {NODE_LINES} SELECT * FROM node_lines",
+    "preview_lines": f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE line_no <= 80",
     "block_kinds": f"SELECT block_id, CASE WHEN length(content) < 100 AND upper(content) = content AND lower(content) <> content THEN 'heading' WHEN contains(content, '### TABLE') OR contains(content, '|') THEN 'table' ELSE 'text' END AS kind FROM {_newest('blocks', 'block_id')} WHERE content IS NOT NULL",
     "plain_markup": r"SELECT doc_id, regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?i)<br\s*/?>', ' ', 'g'), '</?[\p{L}\p{N}\p{M}\p{Pc}]+[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' {2,}', ' ', 'g') AS text FROM documents",
     "text_chunks": "SELECT doc_id, (i // 500)::INTEGER AS chunk_idx, substring(text, i + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS i FROM documents WHERE length(text) > 0)",
@@ -148,7 +223,7 @@ SELECT doc_id, count(*) FILTER (WHERE len(y) >= 2 AND (len(n)::INT - len(y)::INT
     "page_summary": f"""WITH {PAGES} SELECT doc_id, count(*)::INTEGER AS total_pages, count(*) FILTER (WHERE extracted)::INTEGER AS extracted_pages, round(count(*) FILTER (WHERE extracted) * 100.0::DOUBLE / count(*), 1) AS coverage_percent, coalesce(string_agg(DISTINCT method, ',' ORDER BY method) FILTER (WHERE extracted), '') AS methods,
 sum(CASE WHEN extracted THEN length(text) ELSE 0 END)::BIGINT AS total_chars, sum(CASE WHEN extracted THEN len(regexp_extract_all(text, '### TABLE')) ELSE 0 END)::BIGINT AS total_tables, round(coalesce(avg(confidence) FILTER (WHERE extracted), 0), 2) AS avg_confidence FROM pages GROUP BY doc_id""",
     "joined_pages": f"WITH {PAGES} SELECT doc_id, string_agg('[[PAGE:' || page_number || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY page_number) AS text FROM pages GROUP BY doc_id",
-    "page_ranking": f"WITH {PAGES}, s AS (SELECT doc_id, page_number, ({_pagescore})::INTEGER AS score FROM (SELECT *, lower(text) AS t FROM pages)), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number)::INTEGER AS rank FROM s WHERE score > 0) SELECT doc_id, page_number, score, rank FROM k WHERE rank <= 5",
+    "page_ranking": f"WITH s AS (SELECT doc_id, page_number, ({_pagescore})::INTEGER AS score FROM (SELECT doc_id, page_number, lower(string_agg(content, ' ' ORDER BY block_no, content)) AS t FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY 1, 2)), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number)::INTEGER AS rank FROM s WHERE score > 0) SELECT doc_id, page_number, score, rank FROM k WHERE rank <= 5",
     "table_regions": f"""WITH l AS (SELECT block_id, (unnest(generate_series(1, len(p))) - 1)::INTEGER AS line_no, regexp_replace(unnest(p), '[^0-9 .,()|=\\-]', '', 'g') AS line FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM {_newest("blocks", "block_id")} WHERE content IS NOT NULL)),
 f AS (SELECT *, regexp_matches(translate(line, '|-=', '   '), '[0-9]') AS is_row FROM l), g AS (SELECT *, line_no - sum(is_row::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS island FROM f),
 r AS (SELECT block_id, line_no, min(line_no) OVER w AS region, count(*) OVER w AS n FROM g WHERE is_row WINDOW w AS (PARTITION BY block_id, island)) SELECT block_id, line_no, region FROM r WHERE n >= 2""",

@@ -156,13 +156,41 @@ def structured_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.extract_facts(_block_lines(spark, sf_dir))
 
 
+def chosen_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every report with the facts of its better reading.
+
+    A report held in ``parser_result`` is read from the nested blocks of its
+    latest successful parse (its plain text where there are none); one that
+    arrived as flat rows from those. Both readings are made by parse, and the
+    parse is chosen among narrow rows.
+    """
+    parses = _parses(spark, sf_dir, "plain_text", "pages")
+    whole = parses.select(F.concat(F.lit("parse "), "result_id").alias("doc_id"), "plain_text", "pages")
+    nested_lines = statements.record_lines(nested.unnest(whole, "doc_id", "pages", None), "doc_id")
+    plain = statements.numbered_lines(whole.withColumn("_p", F.lit(0)), "doc_id", "plain_text", ["_p"])
+    flat = _block_lines(spark, sf_dir)
+    latest = F.max_by("result_id", F.struct(F.coalesce("success", F.lit(False)), "ingested_at", "result_id"))
+    of_parse = table(spark, sf_dir, "parser_result").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(latest.alias("_id")).select(F.col("doc_id").alias("report"), F.concat(F.lit("parse "), "_id").alias("doc_id"))
+    of_rows = table(spark, sf_dir, "blocks").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("report"), "doc_id").distinct()
+    documents = of_parse.union(of_rows.join(of_parse.select("report"), "report", "left_anti").select("report", "doc_id"))
+    return pipeline.strategies(documents, nested_lines.union(flat), plain).drop("doc_id").withColumnRenamed("report", "doc_id")
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports from their own lines: flat blocks as structured, parses as plain, the better one analysed."""
-    plain = _parses(spark, sf_dir, "doc_id", "plain_text").filter("doc_id IS NOT NULL")
-    plain = statements.numbered_lines(plain, "doc_id", "plain_text", ["result_id"])
-    both = pipeline.facts_by_strategy({"structured": _block_lines(spark, sf_dir), "plain": plain})
+    """The analysis of every report, its nested parts as plain columns."""
     files = newest(table(spark, sf_dir, "filings"), "doc_id", "ingested_at", "file_name", "ingested_at")
-    return pipeline.analyze(both, files, REPORT_DATE)
+    out = pipeline.analyze(chosen_strategies(spark, sf_dir), files, REPORT_DATE)
+    statuses = F.array_join(F.transform("metrics", lambda m: m["status"]), ",")
+    return out.select("doc_id", "file_name", "date", F.size("coefficients").alias("n_coefficients"), F.array_join("warnings", "\n").alias("warnings"), statuses.alias("statuses"), "parse_meta.strategy", "parse_meta.processor", "parse_meta.line_count", *[f"parse_meta.details.{c}" for c in pipeline.DETAILS], "facts.*")
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every parse's nested blocks."""
+    return statements.record_lines(nested.unnest(table(spark, sf_dir, "parser_result")))
+
+
+def preview_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.preview_lines(_parse_lines(spark, sf_dir))
 
 
 def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +219,8 @@ def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.rank_pages(pages.resolve_pages(_candidates(spark, sf_dir))).select("doc_id", "page_number", "score", "rank")
+    blocks = _blocks(spark, sf_dir, "doc_id", "page_number", "block_no", "content").filter("doc_id IS NOT NULL")
+    return pages.rank_pages(pages.page_texts(blocks)).select("doc_id", "page_number", "score", "rank")
 
 
 def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +305,7 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REFERENCE = (
     strategy_pick, report_metrics, metric_displays, report_warnings, report_coefficients, facts_summary, metrics_prompt, report_rows, preview_rows, parse_lines, line_numbers, line_years, line_columns, keyword_lines,
-    year_headers, year_context, plain_facts, structured_facts, analysis, block_kinds, plain_markup, text_chunks, resolved_pages, page_summary, joined_pages, page_ranking, table_regions, repaired_tables, reading_order,
+    year_headers, year_context, plain_facts, structured_facts, analysis, record_lines, preview_lines, block_kinds, plain_markup, text_chunks, resolved_pages, page_summary, joined_pages, page_ranking, table_regions, repaired_tables, reading_order,
     grouped_lines, json_replies, first_wins, last_wins, distinct_sources, display_numbers, mixed_numbers, recommendation_texts, extracted_keys,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REFERENCE} | {

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratafin.operators import nested
 from stratafin.operators import ratios as R
 from stratafin.operators import statements as S
 from stratafin.plans import pipeline
@@ -77,9 +78,37 @@ def test_zero_denominator_and_quick(spark):
 
 
 def test_analysis(spark):
-    plain = ["Выручка 5", "Запасы 6", "Чистая прибыль 1", "Оборотные активы 9", "Собственный капитал 3"]
-    both = pipeline.facts_by_strategy({"structured": frame(spark, LINES), "plain": frame(spark, plain)})
-    files = spark.createDataFrame([("D", "d.pdf")], "doc_id string, file_name string")
-    r = pipeline.analyze(both, files, "2026-01-01").first()
-    assert r.parse_meta.strategy == "plain" and r.parse_meta.line_count == 5 and r.parse_meta.details.rows_structured == 6
-    assert r.facts.revenue == 5.0 and len(r.metrics) == 12 and r.file_name == "d.pdf" and r.metrics[0].metric == "ros"
+    few = ["Выручка 5", "Запасы 6", "Чистая прибыль 1"]
+    more = ["Выручка 5", "Запасы 6", "Чистая прибыль 1", "Оборотные активы 9", "Собственный капитал 3"]
+    docs = {"even": (few, few, few), "plain": (few, more, more), "direct": (few, few, more), "none": ([], [], None), "fall back": ([], few, None), "all": (more, few, None)}
+    lines = lambda i: spark.createDataFrame([(d, n, x) for d, v in docs.items() for n, x in enumerate(v[i] or [], 1)], "doc_id string, line_no long, line string")
+    files = spark.createDataFrame([(d, f"{d}.pdf") for d in docs], "doc_id string, file_name string")
+    chosen = pipeline.strategies(files.select("doc_id"), lines(0), lines(1), lines(2))
+    got = {r.doc_id: r for r in pipeline.analyze(chosen, files, "2026-01-01").collect()}
+    scores = {d: tuple(r.parse_meta.details)[:5] for d, r in got.items()}
+    assert scores == {"even": (3, 3, 3, 3, 3), "plain": (3, 5, 5, 3, 5), "direct": (3, 3, 5, 3, 3), "none": (0, 0, -1, 0, 0), "fall back": (3, 3, -1, 3, 3), "all": (5, 3, -1, 5, 3)}
+    picked = {d: (r.parse_meta.strategy, r.parse_meta.line_count, r.parse_meta.details.candidate) for d, r in got.items()}
+    assert picked == {"even": ("structured", 3, "structured"), "plain": ("plain", 5, "plain"), "direct": ("direct", 0, "direct"), "none": ("structured", 0, "structured"), "fall back": ("structured", 3, "structured"), "all": ("structured", 5, "structured")}
+    r = got["none"]
+    assert set(r.facts) == {None} and [m.status for m in r.metrics] == ["na"] * 12 and r.coefficients == {} and len(r.warnings) == 5
+    assert got["plain"].facts.revenue == 5.0 and got["plain"].file_name == "plain.pdf" and r.parse_meta.processor == pipeline.PROCESSOR
+
+
+def test_context_work_is_linear(spark):
+    """Many headers in one document: the fold is made once, not once a line."""
+    lines = [f"a {2000 + i % 90} {2001 + i % 90}" if i % 2 else "Выручка 5" for i in range(20000)]
+    now, want = [], {}
+    for i, x in enumerate(lines, 1):
+        if i % 2 == 0:
+            now = [y for y in (int(w) for w in x.split()[1:]) if y not in now]
+        want[i] = now
+    rows = S.with_year_context(frame(spark, lines)).select("line_no", "context").collect()
+    assert {r.line_no: r.context for r in rows} == want
+
+
+def test_record_lines_and_preview(spark):
+    pages = '{"pages": [{"blocks": [{"content": "b1\\n b2 ", "type": "t", "rows": [{"content": "inner"}]}, {"content": null}]}, "bare\\nline", {"x": [{"content": "c"}, "s"]}]}'
+    df = spark.createDataFrame([(1, pages), (2, "junk"), (3, None)], "result_id long, pages string")
+    rows = S.record_lines(nested.unnest(df, at=None))
+    assert [(r.result_id, r.line_no, r.line) for r in rows.orderBy("line_no").collect()] == [(1, i, x) for i, x in enumerate(["b1", "b2", "inner", "bare", "line", "c", "s"], 1)]
+    assert S.preview_lines(rows, 2).count() == 2
