@@ -88,6 +88,8 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
         def settle() -> None:  # a piece is taken apart once, however often it stands
             for a, seen in pieces.items():
                 for p, n in seen.items():
+                    if not p.isascii() and _UNSEEN.search(p):
+                        p = _UNSEEN.sub("", p)
                     for w in TOKEN.findall(p):
                         if w.isalpha():
                             words[a, w.lower()] += n
@@ -102,11 +104,12 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    if not t.isascii() and _UNSEEN.search(t):
-                        t = _UNSEEN.sub("", t)
-                    if any(m in t for m in _ENDS):
-                        t = _FRAGMENTS.sub(" ", t)
-                    pieces[written_in(t)].update(t.split())
+                    parts = t.split()
+                    if "-" in t or "¬" in t or "–" in t or "‐" in t or "=" in t or "\xad" in t:
+                        for i in [i for i, p in enumerate(parts) if p[-1] in MARKS and len(p) > 1][::-1]:
+                            if parts[i + 1 : i + 2] == [] or parts[i + 1].lower() not in SUSPENDED:
+                                del parts[i : i + 2]
+                    pieces[written_in(t)].update(parts)
             if sum(map(len, pieces.values())) > 300_000:
                 settle()
                 if len(words) > 300_000:
@@ -120,9 +123,9 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
 
 #: Marks at which a word is cut.
 MARKS = "-¬–‐=\xad"
-_UNSEEN = re.compile(f"[{IGNORABLE.replace(chr(0xAD), '')}]|\xad(?!\\s)")
-_ENDS = tuple(m + x for m in MARKS for x in " \n\r")
-_FRAGMENTS = re.compile(rf"[^\W_]+[{MARKS}]\s+[^\W_]+")
+#: Words that follow a suspended compound, whose first part is a word.
+SUSPENDED = {"и", "или", "and", "or", "und", "oder", "et", "ou", "та", "і", "және"}
+_UNSEEN = re.compile(f"[{IGNORABLE}]")
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE) -> dict[tuple[str, str], int]:

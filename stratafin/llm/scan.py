@@ -418,13 +418,11 @@ def _joined(lines: list[str]) -> str:
     text = lines[0].strip()
     for x in lines[1:]:
         x = x.strip()
-        own = text[-1:] == "-" and text[-2:-1].isalnum() and x[:1].isalnum() and x.split()[0].lower() not in SUSPENDED
+        own = text[-1:] == "-" and text[-2:-1].isalnum() and x[:1].isalnum() and x.split()[0].lower() not in X.SUSPENDED
         text += x if own else " " + x
     return text
 
 
-#: Words that follow a suspended compound.
-SUSPENDED = {"и", "или", "and", "or", "und", "oder", "et", "ou", "та", "і", "және"}
 _APART = re.compile(r"\s*(?:$|\||#|\[\[PAGE)|.*\S(?:  |\t)\s*\S")
 
 
