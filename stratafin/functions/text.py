@@ -145,6 +145,12 @@ def markdown_table(rows: Column, title: Column) -> Column:
     return F.when(F.size(kept) > 0, out).otherwise("")
 
 
+def markdown_tables(tables: Column) -> Column:
+    """All tables of a page, numbered from 1; those without a filled cell leave their number out."""
+    each = F.transform(tables, lambda t, i: markdown_table(t, F.concat(F.lit("### TABLE "), (i + 1).cast("string"))))
+    return F.array_join(F.filter(each, lambda x: x != ""), "\n")
+
+
 def block_kind(content: Column) -> Column:
     """heading for short upper-case text, table for a table mark or a pipe, else text."""
     heading = (F.length(content) < 100) & (F.upper(content) == content) & (F.lower(content) != content)

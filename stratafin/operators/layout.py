@@ -56,6 +56,29 @@ def group_lines(items: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.posexplode("_l").alias("_n", "_x")).select(*keys, (F.col("_n") + 1).alias("line_no"), "_x.text", "_x.y")
 
 
+def single_page_text(items: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """(keys, text): the items of a page (pos, y, x, text) as lines, for pages that are read one by one.
+
+    Ordered by exact height, then x; parts of a line stand one space apart and
+    no columns are told apart; items without a box come last, each a line.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<string>").alias("parts"), F.array().cast("array<string>").alias("done"))
+    flushed = lambda s: F.when(F.size(s["parts"]) > 0, F.concat(s["done"], F.array(F.array_join(s["parts"], " ")))).otherwise(s["done"])
+
+    def step(s: Column, i: Column) -> Column:
+        first = F.size(s["parts"]) == 0
+        same = F.coalesce(first | (F.abs(i["y"] - s["y"]) <= LINE), F.lit(False))
+        moved = F.when(first, i["y"]).otherwise(s["y"] * (1 - WEIGHT) + i["y"] * WEIGHT)
+        joined = F.struct(moved.alias("y"), F.concat(s["parts"], F.array(i["text"])).alias("parts"), s["done"].alias("done"))
+        return F.when(same, joined).otherwise(F.struct(i["y"].alias("y"), F.array(i["text"]).alias("parts"), flushed(s).alias("done")))
+
+    said = items.withColumn("text", T.strip(F.col("text"))).filter("text <> ''")
+    item = F.struct(F.col("y").isNull().alias("last"), "y", "x", pos, "text")
+    lines = F.aggregate(F.array_sort(F.collect_list(item)), start, step, flushed)
+    text = F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"[ \t]{2,}", " "), F.lit(T.WHITE))
+    return said.groupBy(*keys).agg(F.regexp_replace(text, r"<br ?/?>", " ").alias("text"))
+
+
 def table_regions(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``lines`` (keys, line_no, line) with ``region``: the first line of the run of table rows a line is in, null outside runs of two or more."""
     row = T.is_table_row(F.col("line"))

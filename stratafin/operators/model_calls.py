@@ -2,8 +2,9 @@
 
 Only the call itself is Python: prompts go out and replies come back in Arrow
 batches; cutting, prompting, reading of replies and merging are expressions.
-Providers are objects with ``ask(prompt) -> str``; the one shipped answers
-offline and deterministically.
+Providers are objects with ``ask(prompt) -> str``. ``Offline`` answers without
+a network, deterministically; the others speak HTTP through a transport that may
+be replaced.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
+from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafin.functions import jsons
@@ -52,6 +55,72 @@ class Offline:
         return json.dumps({k: m and m.group(1).replace(",", ".") for k, m in found.items()}, ensure_ascii=False)
 
 
+def http_json(url: str, method: str = "GET", headers: dict[str, str] | None = None, payload: Any = None, timeout: float = 60) -> Any:
+    """The JSON a server answers with, {} for an empty answer; an error tells the code and the first 2000 characters of its body."""
+    body = None if payload is None else json.dumps(payload, ensure_ascii=False).encode("utf-8")
+    asked = urllib.request.Request(url, data=body, method=method.upper(), headers={"Content-Type": "application/json", **(headers or {})})
+    try:
+        with urllib.request.urlopen(asked, timeout=timeout) as answer:  # noqa: S310
+            text = answer.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        said = f"HTTP {e.code} calling {url}. Body: {e.read().decode('utf-8', 'replace')[:2000]}"
+        raise (TooMany if e.code == 429 else RuntimeError)(said) from e
+    return json.loads(text) if text else {}
+
+
+class Chat:
+    """A provider that answers a list of messages (two of the known ones share this form)."""
+
+    def __init__(self, url: str, key: str, model: str, settings: dict[str, Any], headers: dict[str, str] | None = None, transport: Callable[..., Any] = http_json):
+        self.url, self.transport = url, transport
+        self.headers = {"Authorization": f"Bearer {key}", **(headers or {})}
+        self.settings = {"model": model, **settings}
+
+    def ask(self, prompt: str) -> str:
+        got = self.transport(self.url, "POST", self.headers, {**self.settings, "messages": [{"role": "user", "content": prompt}]})
+        if not got.get("choices"):
+            raise RuntimeError(got.get("error", {}).get("message", "Unknown error"))
+        return got["choices"][0]["message"]["content"]
+
+
+def groq(key: str, model: str = "qwen/qwen3-32b", **how) -> Chat:
+    return Chat("https://api.groq.com/openai/v1/chat/completions", key, model, {"temperature": 0.6, "top_p": 0.95, "max_tokens": 4096}, **how)
+
+
+def openrouter(key: str, model: str = "mistralai/mixtral-8x7b-instruct", **how) -> Chat:
+    return Chat("https://openrouter.ai/api/v1/chat/completions", key, model, {"temperature": 0.7, "max_tokens": 300}, {"HTTP-Referer": "http://localhost", "X-Title": "fallback-app"}, **how)
+
+
+class Google:
+    def __init__(self, key: str, model: str = "gemini-2.5-flash", transport: Callable[..., Any] = http_json):
+        self.key, self.model, self.transport = key, model, transport
+
+    def ask(self, prompt: str) -> str:
+        got = self.transport(f"https://generativelanguage.googleapis.com/v1beta/models/{self.model}:generateContent", "POST", {"x-goog-api-key": self.key}, {"contents": [{"parts": [{"text": prompt}]}]})
+        return "".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"])
+
+
+class Local:
+    """A server of models on this machine; a model it does not hold is an error before anything is asked."""
+
+    def __init__(self, model: str, system: str = "", temperature: float = 0.3, host: str = "http://localhost:11434", transport: Callable[..., Any] = http_json):
+        self.model, self.system, self.temperature, self.host, self.transport = model, system, temperature, host, transport
+
+    def ask(self, prompt: str) -> str:
+        held = {m["name"] for m in self.transport(f"{self.host}/api/tags").get("models", [])}
+        if not held & {self.model, f"{self.model}:latest"}:
+            raise RuntimeError(f"no model {self.model} here")
+        got = self.transport(f"{self.host}/api/generate", "POST", None, {"model": self.model, "prompt": prompt, "system": self.system, "stream": False, "options": {"temperature": self.temperature}})
+        if "response" not in got:
+            raise RuntimeError("empty answer")
+        return got["response"]
+
+
+def provider(name: str, key: str, model: str, **how) -> Provider:
+    """The provider of a name in any known spelling."""
+    return {"groq": groq, "openrouter": openrouter, "google": Google}[provider_name(name)](key, model, **how)
+
+
 class Fallback:
     """The first of several providers that answers; each may refuse ``TRIES`` times."""
 
@@ -129,6 +198,25 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return docs.select(key, F.posexplode(T.chunks(F.col(text), size)).alias("chunk_idx", "chunk"))
 
 
+def value_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_idx, chunk): each value at the top of a JSON object, in its order; none for other texts."""
+    values = F.map_values(F.from_json(F.col(text), "map<string,string>"))
+    return docs.select(key, F.posexplode(values).alias("chunk_idx", "chunk"))
+
+
+def block_chunks(blocks: DataFrame, key: str = "doc_id", order: Sequence[str] = ("page_number", "block_no"), content: str = "content") -> DataFrame:
+    """(key, chunk_idx, chunk): each block's content, numbered from 0 in the given order."""
+    w = Window.partitionBy(key).orderBy(*order)
+    said = blocks.filter(F.col(content).isNotNull())
+    return said.select(key, (F.row_number().over(w) - 1).alias("chunk_idx"), F.col(content).alias("chunk"))
+
+
+def joined_contents(blocks: DataFrame, key: str = "doc_id", order: Sequence[str] = ("page_number", "block_no"), content: str = "content") -> DataFrame:
+    """(key, text): the contents of a document's blocks in order, a space between."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, content)))
+    return blocks.filter(F.col(content).isNotNull()).groupBy(key).agg(F.array_join(F.transform(listed, lambda b: b[content]), " ").alias("text"))
+
+
 def extract_keys(docs: DataFrame, keys: Sequence[str], provider: Provider | None = None, key: str = "doc_id", text: str = "text", size: int = CHUNK, last_wins: bool = False) -> DataFrame:
     """(key, name, value): what the replies to a document's chunks say; the first known value counts (or the last)."""
     parts = chunked(docs, key, text, size)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.functions import text as T
-from stratafin.operators.ratios import status_sign
+from stratafin.operators import ratios
 
 #: Headings of the report, the row a preview puts first.
 TITLE = "Финансовый отчёт (автоанализ)"
@@ -25,30 +25,23 @@ def with_balance_first(metrics: DataFrame, key: str = "doc_id") -> DataFrame:
     return metrics.select(*row.columns).unionByName(row)
 
 
-def report_rows(documents: DataFrame, warnings: DataFrame, metrics: DataFrame, recommendations: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, section, ord, cells): a report as ordered rows, ready for a writer.
+def report_rows(reports: DataFrame, recommendations: str | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, section, ord, cells): reports as ordered rows, ready for a writer.
 
-    ``documents`` holds key, file_name and date; ``warnings`` key, ord, warning;
-    ``metrics`` displayed metrics; ``recommendations`` key and text.
+    ``reports`` holds one row a document: key, file_name, date, the facts and
+    perhaps a text of recommendations. Its rows are made as one array and come
+    out by one inline; nothing is shuffled.
     """
-    row = lambda df, section, ord_, *cells: df.select(key, F.lit(section).alias("section"), ord_.cast("int").alias("ord"), F.array(*cells).alias("cells"))
-    parts = [
-        row(documents, 1, F.lit(0), F.lit(TITLE)),
-        row(documents, 2, F.lit(0), F.concat(F.lit("Файл: "), F.col("file_name"))),
-        row(documents, 2, F.lit(1), F.concat(F.lit("Дата: "), F.col("date"))),
-        row(warnings.select(key).distinct(), 3, F.lit(0), F.lit("Предупреждения")),
-        row(warnings, 3, F.col("ord") + 1, F.concat(F.lit("• "), F.col("warning"))),
-        row(documents, 4, F.lit(0), *map(F.lit, HEADS)),
-        row(metrics, 4, F.col("ord"), status_sign(F.col("status")), F.col("title"), F.col("display"), F.col("formula")),
-    ]
-    if recommendations is not None:
-        lines = F.filter(F.transform(F.split(T.xml_escaped(F.col("text")), "\n"), T.strip), lambda x: x != "")
-        told = recommendations.filter(F.length("text") > 0).select(key, F.posexplode(lines).alias("ord", "line"))
-        parts += [row(told.select(key).distinct(), 5, F.lit(0), F.lit("Рекомендации")), row(told, 5, F.col("ord") + 1, F.col("line"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    row = lambda section, ord_, *cells: F.struct(F.lit(section).alias("section"), ord_.cast("int").alias("ord"), F.array(*cells).alias("cells"))
+    told = ratios.warning_texts()
+    head = [row(1, F.lit(0), F.lit(TITLE)), row(2, F.lit(0), F.concat(F.lit("Файл: "), F.col("file_name"))), row(2, F.lit(1), F.concat(F.lit("Дата: "), F.col("date"))), row(4, F.lit(0), *map(F.lit, HEADS))]
+    listed = lambda section, title, texts, mark: F.when(F.size(texts) > 0, F.concat(F.array(row(section, F.lit(0), F.lit(title))), F.transform(texts, lambda x, i: row(section, i + 1, F.concat(F.lit(mark), x)))))
+    none = F.slice(F.array(head[0]), 1, 0)
+    parts = [F.array(*head), F.coalesce(listed(3, "Предупреждения", told, "• "), none), F.transform("_metrics", lambda m: row(4, m["ord"], ratios.status_sign(m["status"]), m["title"], m["display"], m["formula"]))]
+    if recommendations:
+        lines = F.filter(F.transform(F.split(T.xml_escaped(F.col(recommendations)), "\n"), T.strip), lambda x: x != "")
+        parts.append(F.coalesce(listed(5, "Рекомендации", lines, ""), none))
+    return ratios.shown_metrics(reports, "_metrics").select(key, F.inline(F.concat(*parts)))
 
 
 def recommendation_text(raw: Column) -> Column:

@@ -236,6 +236,16 @@ r AS (SELECT block_id, line_no, min(line_no) OVER w AS region, count(*) OVER w A
     "mixed_numbers": f"""WITH {LINES}, w AS (SELECT doc_id, line_no, regexp_extract(line, '([^\\t-\\r ]+)$', 1) AS w FROM lines), i AS (SELECT *, {_inner} AS s FROM w),
 m AS (SELECT *, CASE WHEN s LIKE '%,%' AND s LIKE '%.%' THEN CASE WHEN strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '') END ELSE replace(s, ',', '.') END AS t FROM i)
 SELECT doc_id, line_no, CASE WHEN regexp_full_match(t, '{_PLAIN}') THEN CASE WHEN regexp_full_match(w, '\\(.*\\)|\\[.*\\]') THEN -try_cast(t AS DOUBLE) ELSE try_cast(t AS DOUBLE) END END AS value FROM m""",
+    "recommendation_texts": f"""WITH r AS (SELECT rec_id, recommendations AS t, CASE WHEN json_valid(recommendations) AND json_type(recommendations) = 'ARRAY' THEN json_extract(recommendations, '$[*]') END AS a FROM {_newest("recommendations", "rec_id", "created_at")})
+SELECT rec_id, CASE WHEN a IS NULL THEN t WHEN json_type(a[1]) = 'OBJECT' THEN array_to_string(list_transform(a, lambda x, i: i || '. ' || coalesce(x->>'параметр', 'Рекомендация ' || i) || chr(10) || '   Рекомендация: ' || coalesce(x->>'рекомендация', '') || chr(10)
+|| CASE WHEN coalesce(x->>'значение', '') <> '' THEN '   Текущее значение: ' || (x->>'значение') || chr(10) ELSE '' END || CASE WHEN coalesce(x->>'норма', '') <> '' THEN '   Норма: ' || (x->>'норма') || chr(10) ELSE '' END), chr(10)) ELSE array_to_string(list_transform(a, lambda x: x->>'$'), chr(10)) END AS text FROM r""",
+    "merged_replies": f"""WITH r AS (SELECT rec_id, recommendations AS t, regexp_extract(recommendations, '(?s)(\\{{.*\\}}|\\[.*\\])', 1) AS s FROM {_newest("recommendations", "rec_id", "created_at")}), v AS (SELECT rec_id, CASE WHEN json_valid(t) THEN t WHEN json_valid(s) THEN s END AS v FROM r),
+o AS (SELECT rec_id, CASE json_type(v) WHEN 'OBJECT' THEN [v::JSON] WHEN 'ARRAY' THEN list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) = 'OBJECT') ELSE [] END AS o FROM v)
+SELECT rec_id, len(list_distinct(flatten(list_transform(o, lambda x: json_keys(x)))))::INTEGER AS n, list_filter(o, lambda x: json_exists(x, '$."параметр"'))[-1]->>'параметр' AS parameter, list_filter(o, lambda x: json_exists(x, '$."норма"'))[-1]->>'норма' AS norm FROM o""",
+    "extracted_keys": "WITH c AS (SELECT doc_id, i, substring(text, i + 1, 6000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 6000)) AS i FROM documents WHERE length(text) > 0)), k AS (SELECT doc_id, i, name, replace(nullif(regexp_extract(chunk, '(?i)' || name || '[^0-9]{0,20}?([0-9]+(?:[.,][0-9]+)?)', 1), ''), ',', '.') AS v FROM c, (SELECT unnest(['EBITDA', 'выручка', 'net profit']) AS name)) SELECT doc_id, name, arg_min(v, i) FILTER (WHERE v IS NOT NULL) AS value FROM k GROUP BY 1, 2",
+    "page_texts": f"SELECT doc_id, page_number, string_agg(content, ' ' ORDER BY block_no, content) AS text FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY 1, 2",
+    "block_chunks": f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_no, block_id) - 1)::INTEGER AS chunk_idx, content AS chunk FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL AND content IS NOT NULL",
+    "joined_contents": f"SELECT doc_id, string_agg(content, ' ' ORDER BY page_number, block_no, block_id) AS text FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY 1",
     "p5_found": NODES + " SELECT result_id, i::VARCHAR AS node_path, '' AS parent_path, 'page' AS node_kind FROM page UNION ALL SELECT DISTINCT result_id, own, parent, 'block' FROM seen WHERE block OR bare",
     "p5_pages": NODES + """ SELECT result_id, i::VARCHAR AS node_path, (v->>'$.page_number')::INTEGER AS page_number, v->>'$.method' AS method, (v->>'$.confidence')::DOUBLE AS confidence, (v->>'$.char_count')::BIGINT AS char_count, v->>'$.error' AS error FROM page""",
     "p5_blocks": NODES + """ SELECT result_id, own AS node_path, parent AS parent_path, split_part(own, '.', 1) AS page_path, CASE WHEN block THEN v->>'$.type' END AS type, CASE WHEN block THEN v->>'$.content' ELSE v->>'$' END AS content, CASE WHEN block THEN (v->>'$.y')::DOUBLE END AS y FROM seen WHERE block OR bare""",

@@ -104,11 +104,9 @@ def metrics_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _best(spark, sf_dir)
     names = newest(table(spark, sf_dir, "filings"), "doc_id", "ingested_at", "file_name", "ingested_at")
-    documents = best.select("doc_id").join(names, "doc_id", "left").select("doc_id", F.coalesce("file_name", F.lit("—")).alias("file_name"), F.lit(REPORT_DATE).alias("date"))
-    rows = report.report_rows(documents, ratios.warnings(best), ratios.displayed(ratios.metrics(best)))
-    return rows.select("doc_id", "section", "ord", F.array_join("cells", " | ").alias("text"))
+    reports = _best(spark, sf_dir).join(names, "doc_id", "left").withColumns({"file_name": F.coalesce("file_name", F.lit("—")), "date": F.lit(REPORT_DATE)})
+    return report.report_rows(reports).select("doc_id", "section", "ord", F.array_join("cells", " | ").alias("text"))
 
 
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +276,32 @@ def extracted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_calls.extract_keys(docs, ["EBITDA", "выручка", "net profit"])
 
 
+def merged_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations read as replies that may be lists: the members of their objects merged."""
+    recs = once(table(spark, sf_dir, "recommendations"), "rec_id", "created_at", "recommendations")
+    m = jsons.merged_value(F.col("recommendations"))
+    return recs.withColumn("m", m).select("rec_id", F.size("m").alias("n"), F.try_element_at("m", F.lit("параметр")).alias("parameter"), F.try_element_at("m", F.lit("норма")).alias("norm"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(_blocks(spark, sf_dir, "doc_id", "page_number", "block_no", "content").filter("doc_id IS NOT NULL AND content IS NOT NULL"))
+
+
+def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir, "doc_id", "page_number", "block_no", "content").filter("doc_id IS NOT NULL")
+    return model_calls.block_chunks(blocks, order=("page_number", "block_no", "block_id"))
+
+
+def joined_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir, "doc_id", "page_number", "block_no", "content").filter("doc_id IS NOT NULL")
+    return model_calls.joined_contents(blocks, order=("page_number", "block_no", "block_id"))
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read one by one: their items as lines by exact height."""
+    return layout.single_page_text(_items(spark, sf_dir), ["doc_id", "page_number"])
+
+
 def report_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the converted fields with its unit and in million roubles."""
     blocks, parses = table(spark, sf_dir, "blocks"), table(spark, sf_dir, "parser_result")
@@ -306,7 +330,7 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REFERENCE = (
     strategy_pick, report_metrics, metric_displays, report_warnings, report_coefficients, facts_summary, metrics_prompt, report_rows, preview_rows, parse_lines, line_numbers, line_years, line_columns, keyword_lines,
     year_headers, year_context, plain_facts, structured_facts, analysis, record_lines, preview_lines, block_kinds, plain_markup, text_chunks, resolved_pages, page_summary, joined_pages, page_ranking, table_regions, repaired_tables, reading_order,
-    grouped_lines, json_replies, first_wins, last_wins, distinct_sources, display_numbers, mixed_numbers, recommendation_texts, extracted_keys,
+    grouped_lines, json_replies, first_wins, last_wins, distinct_sources, display_numbers, mixed_numbers, recommendation_texts, extracted_keys, merged_replies, page_texts, block_chunks, joined_contents, page_lines,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REFERENCE} | {
     "p3_found": p3_found,

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from stratafin.operators import arbitration as A
 from stratafin.operators import layout as L
 from stratafin.operators import pages as P
+from stratafin.operators import ratios as R
 from stratafin.operators import report as O
 from stratafin.operators.statements import FIELDS
 
@@ -72,11 +73,25 @@ def test_recommendations(spark):
 
 
 def test_report_and_preview(spark):
-    docs = spark.createDataFrame([("D", "f.pdf", "2026-01-01")], "doc_id string, file_name string, date string")
-    warned = spark.createDataFrame([("D", 0, "w")], "doc_id string, ord int, warning string")
+    facts = {f: None for f in FIELDS} | {"revenue": 10.0, "net_profit": 1.0, "total_assets": 100.0, "equity": 50.0, "profit_from_sales": 1.0, "current_assets": 5.0}
+    rows = [("D", "f.pdf", "2026-01-01", "a <b>\n\n c&d", *facts.values()), ("E", "g.pdf", "2026-01-01", None, *[None] * 12)]
+    reports = spark.createDataFrame(rows, "doc_id string, file_name string, date string, text string, " + ", ".join(f"{f} double" for f in FIELDS))
+    got = {(r.doc_id, r.section, r.ord): " ".join(r.cells) for r in O.report_rows(reports, "text").collect()}
+    assert [got["D", *k] for k in ((1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 3), (5, 0), (5, 1), (5, 2))] == [O.TITLE, "Файл: f.pdf", "Дата: 2026-01-01", "Предупреждения", f"• {R.NO_LIABILITIES}", "Статус Показатель Значение Формула", "🟡 ROA 1.00% Чистая прибыль / Активы".replace("🟡", R.SIGNS["risk"]), "Рекомендации", "a &lt;b&gt;", "c&amp;d"]
+    assert len(got) == 4 + 2 + 12 + 3 + 4 + 6 + 12 and ("E", 5, 0) not in got and got["E", 4, 12].startswith("⚪ CAPEX")
     metrics = spark.createDataFrame([("D", 1, "roa", "ROA", "a / b", "1.00%", "ok")], "doc_id string, ord int, metric string, title string, formula string, display string, status string")
-    recs = spark.createDataFrame([("D", "a <b>\n\n c&d")], "doc_id string, text string")
-    rows = [(r.section, r.ord, " ".join(r.cells)) for r in O.report_rows(docs, warned, metrics, recs).orderBy("section", "ord").collect()]
-    assert rows == [(1, 0, O.TITLE), (2, 0, "Файл: f.pdf"), (2, 1, "Дата: 2026-01-01"), (3, 0, "Предупреждения"), (3, 1, "• w"), (4, 0, "Статус Показатель Значение Формула"), (4, 1, "🟢 ROA 1.00% a / b"), (5, 0, "Рекомендации"), (5, 1, "a &lt;b&gt;"), (5, 2, "c&amp;d")]
     preview = O.with_balance_first(metrics)
     assert [r.title for r in preview.orderBy("ord").collect()] == ["Баланс", "ROA"] and O.with_balance_first(preview).count() == 2
+
+
+def test_which_layer_a_page_is_read_by(spark):
+    rows = {1: [("surya_ocr", 0.78), ("pymupdf", 0.75)], 2: [("surya_ocr", 0.78)], 3: [("pymupdf", 0.75), ("other", 0.8)], 4: [("pdfplumber", 0.9), ("other", 0.99)], 5: [("surya_ocr", 0.81), ("pdfplumber", 0.9)], 6: [("pymupdf", 0.0)]}
+    df = spark.createDataFrame([("D", p, m, "t", c) for p, v in rows.items() for m, c in v], "doc_id string, page_number int, method string, text string, confidence double")
+    got = {r.page_number: (r.method, r.extracted) for r in P.resolve_pages(df, 0.8).collect()}
+    assert got == {1: ("pymupdf", True), 2: ("fallback", False), 3: ("other", True), 4: ("pdfplumber", True), 5: ("surya_ocr", True), 6: ("fallback", False)}
+
+
+def test_page_read_by_itself(spark):
+    items = [("D", 1, 100.0, 50.0, "A"), ("D", 2, 104.0, 300.0, " B "), ("D", 3, 120.0, 5.0, "C<br>d"), ("D", 4, None, None, "x"), ("D", 5, None, None, "y"), ("D", 6, 119.0, 9.0, " ")]
+    df = spark.createDataFrame(items, "doc_id string, pos int, y double, x double, text string")
+    assert L.single_page_text(df, ["doc_id"]).first().text == "A B\nC d\nx\ny"

@@ -29,6 +29,26 @@ def test_files_and_pages(spark, tmp_path):
         D.load_text(spark, "x.docx")
 
 
+def test_layers_and_counts(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+    (tmp_path / "c.json").write_text('{"k":[1]}')
+
+    def plumbed(content):
+        if content == b"bad":
+            raise ValueError
+        return [("text", [[["a", "b"], ["1", None]], [[None]]]), ("", [])]
+
+    files = D.read_files(spark, str(tmp_path))
+    rows = D.page_layers(files, {"pdfplumber": plumbed, "pymupdf": lambda c: [(c.decode(), [])]})
+    got = {(r.doc_id[-5:], r.page_number, r.method): (r.text, r.confidence) for r in rows.collect()}
+    assert got["a.pdf", 1, "pdfplumber"] == ("text\n\n\n### TABLE 1\n\n| a | b |\n| --- | --- |\n| 1 | |", 0.9) and got["a.pdf", 2, "pdfplumber"] == ("", 0.1)
+    assert got["b.pdf", 1, "pymupdf"] == ("bad", 0.75) and len(got) == 4
+    assert {r.doc_id[-5:]: r.pages for r in D.page_counts(files, len).collect()} == {"a.pdf": 3, "b.pdf": 3}
+    assert {r.pages for r in D.page_counts(files).collect()} == {0}  # no decoder can read them
+    assert D.load_text(spark, str(tmp_path / "c.json")).first().text == '{\n  "k": [\n    1\n  ]\n}'
+
+
 def test_results(spark, tmp_path):
     result = {"metadata": {"parsers_used": ["surya"]}, "stats": {"total_pages": 1}, "pages": [{"page_number": 1, "blocks": [{"type": "text", "content": "a", "y": 1.0}, {"content": None}]}, {"page_number": 2, "error": "x"}]}
     (tmp_path / "r.json").write_text(json.dumps(result, indent=2))

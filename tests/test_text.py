@@ -73,3 +73,19 @@ def test_tolerant_json(spark, reply, want):
 def test_merged_maps(spark):
     df = spark.range(1).select(F.array(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m"))
     assert df.select(jsons.merged(F.col("m"))).first()[0] == {"a": "1", "b": "3"}
+
+
+def test_replies_that_are_lists(spark):
+    given = {'[{"a": 1, "b": "x"}, {"a": 2}, 5]': {"a": "2", "b": "x"}, 'so: {"a": null} ok': {"a": None}, "[1, 2]": {}, '{"a": 1} and {"b": 2}': {}, "junk": {}, "": {}, None: {}}
+    df = spark.createDataFrame([(k,) for k in given], "x string")
+    assert {r.x: r.m for r in df.select("x", jsons.merged_value(F.col("x")).alias("m")).collect()} == given
+
+
+def test_pretty(spark):
+    import json
+
+    given = ['{"я": [1, {"b": null}], "e": [], "o": {}}', '"s"', "nope", None]
+    df = spark.createDataFrame([(k,) for k in given], "x string")
+    assert [r[0] for r in df.select(jsons.pretty_json("x")).collect()] == [json.dumps(json.loads(given[0]), ensure_ascii=False, indent=2), '"s"', None, None]
+    tables = spark.createDataFrame([([[["a"], ["1"]], [[None]], [["b"], ["2"]]],)], "t array<array<array<string>>>")
+    assert tables.select(T.markdown_tables("t")).first()[0] == "\n### TABLE 1\n\n| a |\n| --- |\n| 1 |\n\n### TABLE 3\n\n| b |\n| --- |\n| 2 |"
