@@ -128,14 +128,15 @@ SUSPENDED = {"и", "или", "and", "or", "und", "oder", "et", "ou", "та", "і
 _UNSEEN = re.compile(f"[{IGNORABLE}]")
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE) -> dict[tuple[str, str], int]:
+def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE, staged: bool = False) -> dict[tuple[str, str], int]:
     """The ``size`` most frequent words, or all that occur ``rare`` times.
 
     The classes of frequency (sixteen to a doubling) are counted first, so the
     driver gets a bounded result and no task sorts the vocabulary; of the class
     that does not fit as a whole a part is taken by a hash of the word.
+    ``staged`` says that the counts are a table of words that are not rare.
     """
-    counts = stage(counts.filter(F.col("n") >= rare)).withColumn("k", F.floor(F.log2("n") * 16))
+    counts = (counts if staged else stage(counts.filter(F.col("n") >= rare))).withColumn("k", F.floor(F.log2("n") * 16))
     classes = sorted(((r.k, r.c) for r in counts.groupBy("k").agg(F.count("*").alias("c")).collect()), reverse=True)
     total, least, part = 0, -1, 1.0
     for k, c in classes:
@@ -146,7 +147,38 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, rare: int = RARE) -> d
     slot = F.pmod(F.xxhash64("alphabet", "word"), F.lit(1 << 20)) < int(part * 0.98 * (1 << 20))
     taken = (F.col("k") > int(least)) | ((F.col("k") == int(least)) & slot)
     got = counts.filter(taken).select("alphabet", "word", "n").toArrow()
-    return {(a, w): n for a, w, n in sorted(zip(*(got.column(i).to_pylist() for i in range(3))))}
+    rows = sorted(zip(*(got.column(i).to_pylist() for i in range(3))), key=lambda r: (-r[2], r))
+    return {(a, w): n for a, w, n in rows[:size]}
+
+
+def beyond(counts: DataFrame, words: dict[tuple[str, str], int], rare: int = RARE) -> tuple[DataFrame | None, int]:
+    """(the words that occur ``rare`` times and did not fit into the vocabulary, occurrences of all words).
+
+    None where all fit. The rest is as large as the corpus makes it and stays
+    distributed; what a record needs of it is looked up by a join.
+    """
+    often = counts.filter(F.col("n") >= rare)
+    n, total = often.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n <= len(words):
+        return None, total
+    spark = counts.sparkSession
+    held = spark.createDataFrame(list(words), "alphabet string, word string") if words else spark.createDataFrame([], "alphabet string, word string")
+    return stage(often.join(F.broadcast(held), ["alphabet", "word"], "left_anti")), total
+
+
+def variants(token: str, budget: int = 2) -> set[str]:
+    """All strings a token may be a misreading of by at most ``budget`` confusions, itself too."""
+    done, out = {(token, 0)}, {token}
+    for _ in range(budget):
+        more = set()
+        for t, start in done:
+            for i in range(start, len(t)):
+                for width in (1, 2):
+                    for meant in MISREAD.get(t[i : i + width], ()) if i + width <= len(t) else ():
+                        more.add((t[:i] + meant + t[i + width :], i + len(meant)))
+        out |= {t for t, _ in more}
+        done = more
+    return out
 
 
 def fingerprint(words: dict[tuple[str, str], int]) -> str:

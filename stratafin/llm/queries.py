@@ -70,13 +70,13 @@ def placed_texts(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFr
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = placed_texts(spark, sf_dir)
-    return scan.find_noise(texts, lexicon.vocabulary(lexicon.count_words(texts, "text")))
+    return scan.find_noise(texts, scan.Lexicon.of(lexicon.count_words(texts, "text")))
 
 
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record as continuous paragraphs, free of what scanning added."""
     texts = placed_texts(spark, sf_dir, once=True)
-    return scan.repair_texts(texts, lexicon.vocabulary(lexicon.count_words(placed_texts(spark, sf_dir), "text")))
+    return scan.repair_texts(texts, scan.Lexicon.of(lexicon.count_words(placed_texts(spark, sf_dir), "text")))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -66,17 +67,23 @@ _PAGE_WORDS = {"", "-", "—", "–", "[", "с", "с.", "стр", "стр.", "с
 
 
 class Scan:
-    """Decoding of single records with one vocabulary; kept per worker."""
+    """Decoding of single records with one vocabulary; kept per worker.
 
-    def __init__(self, canon: Canon):
+    ``extra`` are words beyond the vocabulary that the records at hand ask for;
+    ``total`` counts the occurrences of all words.
+    """
+
+    def __init__(self, canon: Canon, total: int | None = None, extra: dict[tuple[str, str], int] | None = None):
         self.canon = canon
+        self.words = ChainMap(extra, canon.words) if extra else canon.words
+        self.tries = {a: [canon.trie[a], *([X.Trie((w, n) for (b, w), n in extra.items() if a == b)] if extra else [])] for a in "CL"}
         self.memo: dict[tuple[str, str], str | None] = {}
         self.rare: dict[tuple[str, str], bool] = {}
         self.windows: dict[tuple[str, str, bool], tuple[str, bool, bool]] = {}
         self.clean: dict[str, set[str]] = {"C": set(), "L": set()}
-        self.total = sum(canon.words.values()) + 1
+        self.total = (total or sum(canon.words.values())) + 1
         self.unknown = math.log10(self.total) + UNKNOWN
-        self.longest = max((t.longest for t in canon.trie.values()), default=0)
+        self.longest = max(t.longest for tries in self.tries.values() for t in tries)
 
     def meant(self, token: str, a: str) -> str | None:
         """The word a token is a misreading of, None if it stands as it is."""
@@ -93,7 +100,7 @@ class Scan:
         if not letters:
             return None
         odd = len(letters) < len(low)
-        own = 0 if odd else self.canon.words.get((a, low), 0)
+        own = 0 if odd else self.words.get((a, low), 0)
         if odd and (len(letters) < 2 or len(letters) <= len(low) - len(letters)):
             return None
         need = max(X.RARE, own * (RATIO if len(low) > 3 else RATIO_SHORT))
@@ -102,9 +109,9 @@ class Scan:
             if b != a and not (odd and all(X.script(c) in (b, "") for c in letters)) and X.script(letters[0]) != b:
                 continue
             if b != a and not odd:
-                own = self.canon.words.get((b, low), 0) + self.canon.words.get((a, low), 0)
+                own = self.words.get((b, low), 0) + self.words.get((a, low), 0)
                 need = max(X.RARE, own * RATIO)
-            found += [(-cost, n, w) for cost, w, n in self.canon.trie[b].noisy(low) if cost and n >= need]
+            found += [(-cost, n, w) for trie in self.tries[b] for cost, w, n in trie.noisy(low) if cost and n >= need]
         if found:
             return _cased(token, max(found)[2])
         if odd and len(letters) >= 3 and token[1:].lower() == token[1:] and any(c.isdigit() or c in "|!$" for c in low[1:]):
@@ -115,12 +122,12 @@ class Scan:
 
     def count(self, word: str, a: str) -> int:
         low = word.lower()
-        return self.canon.words.get((a, low), 0) or self.canon.words.get(("L", low), 0)
+        return self.words.get((a, low), 0) or self.words.get(("L", low), 0)
 
     def known(self, word: str, a: str) -> tuple[int, str] | None:
         """(edits, word) if a joined string is a word, perhaps misread."""
         got = self.meant(word, a)
-        if got and (a, got.lower()) in self.canon.words:
+        if got and (a, got.lower()) in self.words:
             return 1, got
         return (0, word) if self.count(word, a) >= X.RARE else None
 
@@ -143,18 +150,18 @@ class Scan:
 
     def parted(self, token: str, a: str) -> tuple[float, list[str]] | None:
         """(cost, words) of the cheapest segmentation of an unknown token into known words, by walks of the trie."""
-        low, trie = token.lower(), self.canon.trie[a]
+        low = token.lower()
         n = len(low)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
         for i in range(n - 1):
             if best[i][0] == math.inf:
                 continue
-            node = trie.root
+            nodes = [(t, t.root) for t in self.tries[a]]
             for j in range(i + 1, n + 1):
-                node = trie.step(node, low[j - 1])
-                if node is None:
+                nodes = [(t, to) for t, node in nodes if (to := t.step(node, low[j - 1]))]
+                if not nodes:
                     break
-                k = trie.count(node)
+                k = max(t.count(node) for t, node in nodes)
                 if k < X.RARE or j - i < 2 or (j - i < FRAGMENT and k < FREQUENT * self.total) or (i == 0 and j == n):
                     continue
                 cost = best[i][0] + self.cost(k) + (RUN_ON if i else 0.0)
@@ -247,23 +254,7 @@ class Scan:
     def repair(self, text: str) -> tuple[str, bool, bool]:
         """(text with words joined and parted and misreadings undone, any cut word, any misreading)."""
         a = X.written_in(text)
-        clean = self.clean[a]
-        unknown = set(text.split()) - clean
-        if not unknown:
-            return text, False, False
-        if len(clean) > _MEMO:
-            clean.clear()
-        odd: set[str] = set()
-        numeric = cuts = False
-        for p in unknown:
-            wrong = [t for t in _TOKEN.findall(p) if self.unsettled(t, a)]
-            lettered = _LETTERED.search(p) is not None
-            open_end = p[-1] in _MARKS and len(p) > 1 and p[-2].isalnum()
-            odd.update(wrong)
-            numeric |= lettered
-            cuts |= open_end
-            if not (wrong or lettered or open_end) and len(p) < 64:
-                clean.add(p)
+        odd, numeric, cuts = self._unsettled(text, a)
         cut = bad = False
         if odd or cuts:
             text, cut, bad = self._decode(text, a, odd)
@@ -280,11 +271,51 @@ class Scan:
             text = _NUMBER.sub(number, text)
         return text, cut, bad
 
-    def _decode(self, text: str, a: str, odd: set[str]) -> tuple[str, bool, bool]:
-        """The windows of a text decoded: each reaches from an unsettled token or a cut mark to the settled tokens beside it."""
+    def _unsettled(self, text: str, a: str) -> tuple[set[str], bool, bool]:
+        """(unsettled tokens, any number with a letter in it, any cut mark); a piece without any is not looked at again."""
+        clean = self.clean[a]
+        if len(clean) > _MEMO:
+            clean.clear()
+        odd: set[str] = set()
+        numeric = cuts = False
+        for p in set(text.split()) - clean:
+            wrong = [t for t in _TOKEN.findall(p) if self.unsettled(t, a)]
+            lettered = _LETTERED.search(p) is not None
+            open_end = p[-1] in _MARKS and len(p) > 1 and p[-2].isalnum()
+            odd.update(wrong)
+            numeric |= lettered
+            cuts |= open_end
+            if not (wrong or lettered or open_end) and len(p) < 64:
+                clean.add(p)
+        return odd, numeric, cuts
+
+    def asks(self, text: str) -> set[tuple[str, str]]:
+        """(alphabet, word) of all words that could change how a text is decoded: its unsettled tokens, the joins and parts of them and what these may be misread from."""
+        a = X.written_in(text)
+        odd, _, cuts = self._unsettled(text, a)
+        if not (odd or cuts):
+            return set()
+        heard: set[str] = set()
+        for i, j, _ in self._windows(text, a, odd):
+            at = [m.span() for m in _TOKEN.finditer(text, i, j)]
+            tokens = [text[x:y].lower() for x, y in at]
+            for k, t in enumerate(tokens):
+                heard |= X.variants(t)
+                if len(t) >= PARTED and t.isalpha():
+                    heard.update(t[x:y] for x in range(len(t)) for y in range(x + 2, len(t) + 1))
+                word = t
+                for m in range(k + 1, len(tokens)):
+                    if not _GAP.fullmatch(text, at[m - 1][1], at[m][0]):
+                        break
+                    word += tokens[m]
+                    heard |= X.variants(word)
+        return {(b, w) for w in heard if w.isalpha() for b in "CL" if (b, w) not in self.words}
+
+    def _windows(self, text: str, a: str, odd: set[str]) -> Iterator[tuple[int, int, bool]]:
+        """(from, to, before an open mark) of the windows of a text: each reaches from an unsettled token or a cut mark to the settled tokens beside it."""
         at = [m.span() for m in _TOKEN.finditer(text)]
         link = [_GAP.fullmatch(text, i[1], j[0]) for i, j in zip(at, at[1:])]
-        out, done, cut, bad, k, n = [], 0, False, False, 0, len(at)
+        k, n = 0, len(at)
         hot = [text[i:j] in odd for i, j in at]
         for i, m in enumerate(link):
             if m and m.group(1):
@@ -296,11 +327,16 @@ class Scan:
             first = k - 1 if k and link[k - 1] else k
             while k + 1 < n and (hot[k + 1] or hot[k]) and link[k]:
                 k += 1
-            end = at[k][1]
-            dangling = k == n - 1 and _DANGLING.match(text, end) is not None
-            said, joined, wrong = self.window(text[at[first][0] : end], a, dangling)
-            out += [text[done : at[first][0]], said]
-            done, cut, bad, k = end, cut or joined, bad or wrong, k + 1
+            yield at[first][0], at[k][1], k == n - 1 and _DANGLING.match(text, at[k][1]) is not None
+            k += 1
+
+    def _decode(self, text: str, a: str, odd: set[str]) -> tuple[str, bool, bool]:
+        """A text with its windows decoded."""
+        out, done, cut, bad = [], 0, False, False
+        for i, j, dangling in self._windows(text, a, odd):
+            said, joined, wrong = self.window(text[i:j], a, dangling)
+            out += [text[done:i], said]
+            done, cut, bad = j, cut or joined, bad or wrong
         return "".join([*out, text[done:]]), cut, bad
 
 
@@ -497,30 +533,31 @@ def _without(line: str, key: str, first: bool) -> str:
     return line
 
 
-def repair_texts(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+def repair_texts(texts: DataFrame, lex: Lexicon) -> DataFrame:
     """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers, words cut between pages whole on the first.
 
     What ``find_noise`` says of a record's pages is brought to it by its key, a
     list as long as its pages; texts are moved once.
     """
-    edges = stage(page_edges(stage(read_pieces(texts, words))))
+    texts = with_extra(texts, ["rec_table", "rec_id"], "text", lex)
+    edges = stage(page_edges(stage(read_pieces(texts, lex))))
     marked = F.col("rec_table") == "parser_result"
     none = F.lit(None).cast("string")
     told = lambda rec, page, kind, form=none, whole=none: (F.col("rec_table"), F.col(rec).alias("rec_id"), F.struct(F.when(marked, page).alias("page"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), form.alias("form"), whole.alias("whole")).alias("mark"))
     kind = F.when(F.col("first"), "header").otherwise("footer")
-    split = cut_at_pages(edges, words)
-    marks = header_ends(texts, edges, words).select(*told("rec_id", F.col("page"), kind, F.col("key")))
+    split = cut_at_pages(edges, lex)
+    marks = header_ends(texts, edges, lex).select(*told("rec_id", F.col("page"), kind, F.col("key")))
     marks = marks.union(page_numbers(edges).select(*told("rec_id", F.col("page"), "number")))
     marks = marks.union(split.select(*told("one", F.col("page"), "tail", F.col("tail"), F.concat("word", F.coalesce("stop", F.lit(""))))))
     marks = marks.union(split.select(*told("two", F.col("page") + 1, "head", F.col("head"))))
     of_record = marks.groupBy("rec_table", "rec_id").agg(F.collect_set("mark").alias("marks"))
-    full = texts.join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "marks")
-    shared, name = texts.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
+    full = texts.join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "marks", "extra")
+    scans = lex.shared(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = worker_scan(name, shared.value)
         for batch in batches:
-            done = [clean_text(scan, t, m or ()) if t else t for t, m in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            texts, marks, extra = (c.to_pylist() for c in batch.columns[2:])
+            done = [clean_text(scan, t, m or ()) if t else t for t, m, scan in zip(texts, marks, scans(extra))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(done, pa.string())], names=["rec_table", "rec_id", "text"])
 
     return full.mapInArrow(run, "rec_table string, rec_id bigint, text string")
@@ -530,17 +567,16 @@ _TAIL = re.compile(rf"([^\W_]+)[{_MARKS}]\s*$")
 _HEAD = re.compile(r"\s*([^\W\d_]+)((?:-[^\W\d_]+)*[.,;:!?%)\]}»”’\"'…]*)")
 
 
-def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int], edge: int | None = EDGE) -> DataFrame:
-    """One row a record and page of (rec_table, rec_id, doc, page, block_no, text); texts stay behind but for their edges."""
-    shared, name = texts.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
+def read_pieces(texts: DataFrame, lex: Lexicon, edge: int | None = EDGE) -> DataFrame:
+    """One row a record and page of (rec_table, rec_id, doc, page, block_no, text, extra); texts stay behind but for their edges."""
+    scans = lex.shared(texts)
     fields = PIECES.split(", ")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = worker_scan(name, shared.value)
         for batch in batches:
-            rows = []
-            for kind, rec, doc, page, no, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, cols = [], [c.to_pylist() for c in batch.columns]
+            for kind, rec, doc, page, no, text, scan in zip(*cols[:6], scans(cols[6])):
                 if not text:
                     continue
                 text = scan.canon.text(text)
@@ -555,17 +591,74 @@ def read_pieces(texts: DataFrame, words: dict[tuple[str, str], int], edge: int |
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return texts.select("rec_table", "rec_id", "doc", "page", "block_no", "text").mapInArrow(run, PIECES)
+    return texts.select("rec_table", "rec_id", "doc", "page", "block_no", "text", "extra").mapInArrow(run, PIECES)
+
+
+class Lexicon:
+    """The words a corpus is read with: the most frequent ones, which are broadcast, and the table of all others.
+
+    ``rest`` (alphabet, word, n) is null where all words fit; else each record
+    brings the words it asks for along (``with_extra``), so a rare word decides
+    as it would in the vocabulary. ``total`` counts the occurrences of all words.
+    """
+
+    def __init__(self, words: dict[tuple[str, str], int], rest: DataFrame | None = None, total: int | None = None):
+        self.words, self.rest, self.total = words, rest, total or sum(words.values())
+
+    @classmethod
+    def of(cls, counts: DataFrame, size: int = X.VOCABULARY) -> Lexicon:
+        counts = stage(counts.filter(F.col("n") >= X.RARE))
+        words = X.vocabulary(counts, size, staged=True)
+        return cls(words, *X.beyond(counts, words))
+
+    def shared(self, df: DataFrame):
+        """What gives a worker the scan of every row, by the row's own extra words (null for none)."""
+        words, total, name = df.sparkSession.sparkContext.broadcast(self.words), self.total, f"{X.fingerprint(self.words)}-{self.total}"
+
+        def scans(extra: list[list[dict] | None]) -> list[Scan]:
+            if name not in _scans:
+                _scans.clear()
+                _scans[name] = Scan(worker_canon(name, words.value), total)
+            main = _scans[name]
+            if not any(extra):
+                return [main] * len(extra)
+            more = Scan(main.canon, total, {(e["alphabet"], e["word"]): e["n"] for x in extra for e in x or ()})
+            return [more if x else main for x in extra]
+
+        return scans
 
 
 _scans: dict[str, Scan] = {}
+EXTRA = "array<struct<alphabet:string,word:string,n:bigint>>"
 
 
-def worker_scan(name: str, words: dict[tuple[str, str], int]) -> Scan:
-    if name not in _scans:
-        _scans.clear()
-        _scans[name] = Scan(worker_canon(name, words))
-    return _scans[name]
+def with_extra(rows: DataFrame, keys: list[str], text: str, lex: Lexicon, whole: bool = False) -> DataFrame:
+    """``rows`` with ``extra``: the words beyond the vocabulary that a row's text asks for (``whole``: the text is one word).
+
+    Where all words fit nothing is done. Else what the unsettled parts of every
+    text could be is joined by word with the other words of the corpus, none of
+    which is frequent, and brought back by the row's key.
+    """
+    if lex.rest is None:
+        return rows.withColumn("extra", F.lit(None).cast(EXTRA))
+    scans, n = lex.shared(rows), len(keys)
+    kinds = StructType([*(rows.schema[k] for k in keys), StructField("alphabet", StringType()), StructField("word", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scan = scans([None])[0]
+            at, asked = [], []
+            for i, t in enumerate(batch.column(n).to_pylist()):
+                if t:
+                    got = [(b, w) for w in X.variants(t.lower()) for b in "CL" if (b, w) not in scan.words] if whole else scan.asks(scan.canon.text(t))
+                    at += [i] * len(got)
+                    asked += got
+            taken = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([b for b, _ in asked], pa.string()), pa.array([w for _, w in asked], pa.string())], names=[*keys, "alphabet", "word"])
+
+    asked = rows.select(*keys, text).mapInArrow(run, kinds).distinct()
+    extra = asked.join(lex.rest, ["alphabet", "word"]).groupBy(*keys).agg(F.collect_list(F.struct("alphabet", "word", "n")).alias("extra"))
+    return rows.drop("extra").join(extra, keys, "left")
 
 
 def page_edges(pieces: DataFrame) -> DataFrame:
@@ -624,7 +717,7 @@ def running_headers(of_doc: DataFrame) -> DataFrame:
     return salted.join(of_key, ["key", "salt"]).select("doc", "key")
 
 
-def header_ends(texts: DataFrame, edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+def header_ends(texts: DataFrame, edges: DataFrame, lex: Lexicon) -> DataFrame:
     """(rec_table, rec_id, page, first, key): records that begin a page with a running header (``first``) or end it with one.
 
     Reports in which the probes of long lines come back are read again with
@@ -635,7 +728,7 @@ def header_ends(texts: DataFrame, edges: DataFrame, words: dict[tuple[str, str],
     docs = stage(seen.filter("long AND back").select("doc").distinct())
     if docs.isEmpty():
         return out
-    whole = stage(page_edges(read_pieces(texts.join(docs, "doc", "left_semi"), words, None)))
+    whole = stage(page_edges(read_pieces(texts.join(docs, "doc", "left_semi"), lex, None)))
     line = lambda c: F.struct(F.col(c).alias("line"))
     lines = comparable(whole.select("doc", "page", F.inline(F.array(line("first.top"), line("last.low")))), {"key": "line"}).filter(F.length("line") > HEADER)
     pages = whole.groupBy("doc").agg(F.count("*").alias("n_pages"))
@@ -668,40 +761,41 @@ def page_numbers(edges: DataFrame) -> DataFrame:
     return foot.join(kept, ["doc", "form", "ahead"]).select("rec_table", "rec_id", "page")
 
 
-def find_noise(texts: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+def find_noise(texts: DataFrame, lex: Lexicon) -> DataFrame:
     """(rec_table, rec_id, noise) of every record, each kind once.
 
     The pieces are written once to the shared folder; what follows moves one
     slim row a page.
     """
-    pieces = stage(read_pieces(texts, words))
+    texts = with_extra(texts, ["rec_table", "rec_id"], "text", lex)
+    pieces = stage(read_pieces(texts, lex))
     edges = stage(page_edges(pieces))
     own = pieces.filter("cut OR bad").select("rec_table", "rec_id", F.explode(F.array_compact(F.array(F.when(F.col("cut"), "hyphen"), F.when(F.col("bad"), "misread")))).alias("noise"))
-    heads = header_ends(texts, edges, words).select("rec_table", "rec_id", F.lit("header").alias("noise"))
+    heads = header_ends(texts, edges, lex).select("rec_table", "rec_id", F.lit("header").alias("noise"))
     nums = page_numbers(edges).select("rec_table", "rec_id", F.lit("pageno").alias("noise"))
-    split = cut_at_pages(edges, words)
+    split = cut_at_pages(edges, lex)
     split = split.select("rec_table", F.explode(F.array("one", "two")).alias("rec_id"), F.lit("hyphen").alias("noise"))
     return own.union(heads).union(nums).union(split).distinct()
 
 
-def cut_at_pages(edges: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+def cut_at_pages(edges: DataFrame, lex: Lexicon) -> DataFrame:
     """(rec_table, one, two, page, tail, head, stop, word): words cut between record ``one`` on ``page`` and ``two`` on the next."""
     before = edges.filter("tail IS NOT NULL AND tail.block_no >= to_no - 2").select("doc", (F.col("page") + 1).alias("page"), F.col("tail").alias("a"))
     after = edges.filter("head IS NOT NULL AND head.block_no <= from_no + 2").select("doc", "page", F.col("head").alias("b"))
     pairs = before.join(after, ["doc", "page"])
-    return joined_words(pairs.select("a.rec_table", F.col("a.rec_id").alias("one"), F.col("b.rec_id").alias("two"), (F.col("page") - 1).alias("page"), "a.tail", "b.head", "b.stop", F.concat("a.tail", "b.head").alias("word")), words)
+    return joined_words(pairs.select("a.rec_table", F.col("a.rec_id").alias("one"), F.col("b.rec_id").alias("two"), (F.col("page") - 1).alias("page"), "a.tail", "b.head", "b.stop", F.concat("a.tail", "b.head").alias("word")), lex)
 
 
-def joined_words(pairs: DataFrame, words: dict[tuple[str, str], int]) -> DataFrame:
+def joined_words(pairs: DataFrame, lex: Lexicon) -> DataFrame:
     """The rows whose ``word`` is one of the corpus, perhaps misread; with the word that is meant."""
-    shared, name = pairs.sparkSession.sparkContext.broadcast(words), X.fingerprint(words)
+    scans = lex.shared(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = worker_scan(name, shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("word")
-            known = [scan.known(w, X.written_in(w)) for w in batch.column(at).to_pylist()]
+            known = [scan.known(w, X.written_in(w)) for w, scan in zip(batch.column(at).to_pylist(), scans(batch.column("extra").to_pylist()))]
             meant = pa.array([k[1] if k else None for k in known], pa.string())
-            yield batch.set_column(at, batch.schema.field(at), meant).filter(meant.is_valid())
+            yield batch.set_column(at, batch.schema.field(at), meant).select(pairs_columns).filter(meant.is_valid())
 
-    return pairs.mapInArrow(run, pairs.schema)
+    pairs_columns = pairs.columns
+    return with_extra(pairs, ["rec_table", "one", "two", "page"], "word", lex, whole=True).mapInArrow(run, pairs.schema)

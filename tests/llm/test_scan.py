@@ -1,11 +1,13 @@
 import pytest
 
+from stratafin.llm import lexicon as X
 from stratafin.llm import scan as S
 from stratafin.llm.canonical import Canon
 
 _RU = "выручка прибыль компании аудиторы обратили внимание сократилась ставки лимиты кратко долгосрочная задолженность и на по годом контроля стоимость основных средств отчёт".split()
 _EN = "the auditors noted revenue profit terms borrowings short long term and main million".split()
 WORDS = {("C", w): 90 for w in _RU} | {("L", w): 90 for w in _EN} | {("C", "на"): 4000, ("C", "сгавки"): 2}
+LEX = S.Lexicon(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -111,13 +113,13 @@ WANT |= {("parser_result", 1, k) for k in ("header", "misread", "pageno")}
 
 def test_frame(spark):
     df = spark.createDataFrame([(*r, "x") for r in _rows()], "rec_table string, rec_id long, doc string, page int, block_no int, text string, noise string")
-    got = [tuple(r) for r in S.find_noise(df, WORDS).collect()]
+    got = [tuple(r) for r in S.find_noise(df, LEX).collect()]
     assert len(got) == len(set(got))
     assert set(got) == WANT
-    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df.dropDuplicates(["rec_table", "rec_id"]), WORDS).collect()}
+    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df.dropDuplicates(["rec_table", "rec_id"]), LEX).collect()}
     assert done["blocks", 30] == "выручка на" and done["blocks", 12] == "" and done["blocks", 95] is None
     assert done["parser_result", 1] == "[[PAGE:1]]\nприбыль\n[[PAGE:2]]\nвыручка"
-    assert S.find_noise(df.limit(0), WORDS).count() == 0
+    assert S.find_noise(df.limit(0), LEX).count() == 0
 
 
 def test_headers_of_any_length(spark):
@@ -126,9 +128,9 @@ def test_headers_of_any_length(spark):
     rows += [("blocks", 100 + p, "E", p, 0, f"Прибыль компании на {'прибыль ' * 20}{p * 'на '}") for p in range(1, 5)]  # only the beginning comes back
     rows += [("parser_result", 7, "p7", None, None, "\n\n".join(f"[[PAGE:{p}]]\n{long}\n" + "на " * p + "прибыль" for p in (1, 2, 3)))]
     df = spark.createDataFrame(rows, "rec_table string, rec_id long, doc string, page int, block_no int, text string")
-    got = {(r.rec_table, r.rec_id) for r in S.find_noise(df, WORDS).filter("noise = 'header'").collect()}
+    got = {(r.rec_table, r.rec_id) for r in S.find_noise(df, LEX).filter("noise = 'header'").collect()}
     assert got == {("blocks", 10 * p) for p in range(1, 7)} | {("parser_result", 7)}
-    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, WORDS).collect()}
+    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, LEX).collect()}
     assert done["blocks", 40] == "прибыль на" and done["blocks", 10] == ""
     assert done["parser_result", 7] == "\n".join(f"[[PAGE:{p}]]\n" + "на " * p + "прибыль" for p in (1, 2, 3))
 
@@ -140,17 +142,32 @@ def test_only_what_is_noise_is_taken_away(spark):
     foot = ["5", "6", "2400", "8"]
     rows += [("parser_result", 1, "p1", None, None, "\n\n".join(f"[[PAGE:{p}]]\n{"на " * p}прибыль\n{foot[p - 1]}" for p in (1, 2, 3, 4)))]
     df = spark.createDataFrame(rows, "rec_table string, rec_id long, doc string, page int, block_no int, text string")
-    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, WORDS).collect()}
+    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, LEX).collect()}
     assert done["blocks", 20] == "" and done["blocks", 21].startswith(head)
     assert done["parser_result", 1] == "\n".join(f"[[PAGE:{p}]]\n{'на ' * p}прибыль" + (" 2400" if p == 3 else "") for p in (1, 2, 3, 4))
 
 
+def test_words_beyond_the_vocabulary_decide_alike(spark):
+    """With a vocabulary of a few words the rest is looked up by joins, and nothing changes."""
+    rows = _rows() + [("blocks", 200, "F", 1, 0, "ауди- торы обра-\nтили прибылькомпании, сгоимость 6 задол-"), ("blocks", 201, "F", 2, 0, "женнос- ть при быль")]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, doc string, page int, block_no int, text string")
+    counts = spark.createDataFrame([(a, w, n) for (a, w), n in WORDS.items()], "alphabet string, word string, n long")
+    few, none = S.Lexicon.of(counts, 12), S.Lexicon.of(counts, 0)
+    assert 0 < len(few.words) <= 12 and few.rest.count() == len([n for n in WORDS.values() if n >= 4]) - len(few.words) and none.words == {}
+    assert few.total == none.total == LEX.total - 2  # but for the rare word
+    for lex in (few, none):
+        assert {tuple(r) for r in S.find_noise(df, lex).collect()} == {tuple(r) for r in S.find_noise(df, LEX).collect()}
+    once = df.dropDuplicates(["rec_table", "rec_id"])
+    assert {tuple(r) for r in S.repair_texts(once, few).collect()} == {tuple(r) for r in S.repair_texts(once, LEX).collect()}
+    assert X.variants("8ш5") == {"8ш5", "вш5", "bш5", "8шs", "вшs", "bшs"}
+
+
 def test_words_cut_between_pages_are_whole_in_texts(spark):
     blocks = [(1, "E", 1, 0, "выручка контро-"), (2, "E", 1, 1, "стр. 1"), (3, "E", 2, 0, "АО «Ромашка»"), (4, "E", 2, 1, "ля, прибыль задолжен¬"), (5, "E", 3, 0, "ность"), (6, "E", 3, 1, "ставки долго-"), (7, "E", 4, 0, "и на")]
     parse = "[[PAGE:2]]\nвыручка контро¬\nстр. 2\n[[PAGE:3]]\nАО «Ромашка»\nля. прибыль сто-\nстр. 3\n[[PAGE:4]]\nАО «Ромашка»\nимость\nставки кратко-\n[[PAGE:6]]\nля прибыль"
     rows = [("blocks", *b) for b in blocks] + [("parser_result", 1, "p1", None, None, parse), ("parser_result", 2, "p2", None, None, "[[PAGE:1]]\nпри-\n[[PAGE:2]]\n6ыль на"), ("parser_result", 3, "p3", None, None, "[[PAGE:1]]\nсгои-\n[[PAGE:2]]\nмость на")]
     df = spark.createDataFrame(rows, "rec_table string, rec_id long, doc string, page int, block_no int, text string")
-    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, WORDS).collect()}
+    done = {(r.rec_table, r.rec_id): r.text for r in S.repair_texts(df, LEX).collect()}
     assert done["blocks", 1] == "выручка контроля," and done["blocks", 4] == "прибыль задолженность" and done["blocks", 5] == ""
     assert done["blocks", 6] == "ставки долго-" and done["blocks", 7] == "и на"
     assert done["parser_result", 1] == "[[PAGE:2]]\nвыручка контроля.\n[[PAGE:3]]\nприбыль стоимость\n[[PAGE:4]]\nставки кратко-\n[[PAGE:6]]\nля прибыль"
