@@ -95,14 +95,15 @@ class ByteNet:
 
     def _pool(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         pooled, places = [], []
+        cols = np.ascontiguousarray(x.T)  # places first, so that sums and maxima run over whole rows of the batch
         for w, f in zip(WIDTHS, self.filters):
             n = WINDOW - w + 1
-            conv = f[0][x[:, :n]]
+            conv = f[0].take(cols[:n], axis=0)
             for k in range(1, w):
-                conv = conv + f[k][x[:, k : k + n]]
-            at = conv.argmax(axis=1)
-            places.append(at)
-            pooled.append(np.take_along_axis(conv, at[:, None, :], 1)[:, 0])
+                conv += f[k].take(cols[k : k + n], axis=0)
+            best = conv.max(axis=0)
+            places.append((conv == best).argmax(axis=0))
+            pooled.append(best)
         return np.concatenate(pooled, 1) + self.bias, places
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.004, seed: int = 11) -> None:
@@ -270,9 +271,9 @@ def judge(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def table_starts(lines: list[str]) -> list[int]:
-    """Where units of lines begin: the lines of one table are one unit, any other line is one."""
-    marked = [x.lstrip()[:1] in ("|", "#") for x in lines]
-    return [i for i, m in enumerate(marked) if not (i and m and marked[i - 1])]
+    """Where units of lines begin: the rows of one table and the heading right above are one unit, any other line is one."""
+    first = [x.lstrip()[:1] for x in lines]
+    return [i for i, c in enumerate(first) if not (i and c == "|" and first[i - 1] in ("|", "#"))]
 
 
 _packed: dict[str, PackedNet] = {}

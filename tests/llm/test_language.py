@@ -57,3 +57,20 @@ def test_cases(spark, net):
     assert got == [(0, -1, "en"), (2, -1, "ru"), (2, -1, "ru"), (3, 0, "ru"), (3, 1, "en"), (3, 2, "kk"), (7, -1, "en")]
     assert L.wrong_labels(df.limit(0), net).count() == 0
     assert all(0 < r.confidence <= 1 for r in L.label_documents(df, net).collect())
+
+
+def test_headings_are_lines_of_their_own():
+    assert L.table_starts(["# Heading", "# Überschrift", "| a |", "| b |", "text", "| c |", "| d |"]) == [0, 1, 4, 5]
+
+
+def test_pooling_like_brute_force():
+    import numpy as np
+
+    net, rnd = L.ByteNet(), np.random.default_rng(1)
+    x = L._CLASSES[rnd.integers(0, 256, (3, L.WINDOW)).astype(np.uint8)]
+    z, places = net._pool(x)
+    for i, (w, f) in enumerate(zip(L.WIDTHS, net.filters)):
+        for r in range(3):
+            sums = np.array([sum(f[k][x[r, j + k]] for k in range(w)) for j in range(L.WINDOW - w + 1)])
+            assert np.allclose(z[r, i * L.FILTERS : (i + 1) * L.FILTERS], sums.max(0), atol=1e-5)
+            assert np.allclose(sums[places[i][r], np.arange(L.FILTERS)], sums.max(0), atol=1e-5)
