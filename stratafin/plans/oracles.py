@@ -189,6 +189,15 @@ paired AS (SELECT d.doc_id, coalesce(s.score, p.score, 0) AS score_structured, c
 best AS (SELECT c.doc_id, CASE WHEN score_plain > score_structured THEN 'plain' ELSE 'structured' END AS strategy, CASE WHEN score_plain > score_structured THEN rows_plain ELSE rows_structured END AS line_count, score_structured, score_plain, rows_structured, rows_plain, {", ".join("f." + f for f in FIELDS)}
 FROM paired c LEFT JOIN counted f ON f.doc_id = CASE WHEN score_plain > score_structured THEN pk ELSE coalesce(sk, pk) END)"""
 
+def _cell(q: str) -> str:
+    """A number cell with its thousands apart."""
+    inner = f"replace(CASE WHEN {q} LIKE '(%)' AND length({q}) > 1 THEN substr({q}, 2, length({q}) - 2) ELSE {q} END, ' ', '')"
+    sep = f"CASE WHEN contains({inner}, '.') THEN '.' ELSE ',' END"
+    whole, part = f"split_part({inner}, {sep}, 1)", f"substr({inner}, length(split_part({inner}, {sep}, 1)) + 2)"
+    shown = f"trim(reverse(regexp_replace(reverse({whole}), '([0-9]{{3}})', '\\1 ', 'g'))) || CASE WHEN {part} <> '' THEN '.' || {part} ELSE '' END"
+    return f"(CASE WHEN regexp_full_match(replace({inner}, ',', '.'), '{_PLAIN}') THEN CASE WHEN {q} LIKE '(%)' AND length({q}) > 1 THEN '(' || {shown} || ')' ELSE {shown} END ELSE {inner} END)"
+
+
 ORACLES: dict[str, str] = {
     "strategy_pick": f"WITH {BEST} SELECT doc_id, strategy, score, fact_id FROM best",
     "report_metrics": f"WITH {METRICS} SELECT doc_id, metric, value, status FROM metrics",
@@ -228,6 +237,22 @@ sum(CASE WHEN extracted THEN length(text) ELSE 0 END)::BIGINT AS total_chars, su
 f AS (SELECT *, regexp_matches(translate(line, '|-=', '   '), '[0-9]') AS is_row FROM l), g AS (SELECT *, line_no - sum(is_row::INT) OVER (PARTITION BY block_id ORDER BY line_no) AS island FROM f),
 r AS (SELECT block_id, line_no, min(line_no) OVER w AS region, count(*) OVER w AS n FROM g WHERE is_row WINDOW w AS (PARTITION BY block_id, island)) SELECT block_id, line_no, region FROM r WHERE n >= 2""",
     "reading_order": f"SELECT doc_id, page_number, block_id, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y IS NULL, floor(y / 10.0), (block_no * 37) % 200, block_id)::INTEGER AS ord FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL",
+    "grouped_lines": f"""WITH RECURSIVE i AS (SELECT doc_id, page_number, y, x, text, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y IS NULL, floor(y / 10.0), x, block_id) AS k FROM (SELECT *, ((block_no * 37) % 200)::DOUBLE AS x, coalesce(content, '') AS text FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL)),
+f AS (SELECT doc_id, page_number, k, 1 AS line_no, y, x, text FROM i WHERE k = 1 UNION ALL
+SELECT doc_id, page_number, k, CASE WHEN same AND NOT far THEN n ELSE n + 1 END, CASE WHEN same AND far THEN sy WHEN same THEN sy * 0.7::DOUBLE + y * 0.3::DOUBLE ELSE y END, CASE WHEN same AND NOT far THEN sx ELSE x END, CASE WHEN same AND NOT far THEN st || '  ' || text ELSE text END
+FROM (SELECT i.*, f.line_no AS n, f.y AS sy, f.x AS sx, f.text AS st, coalesce(abs(i.y - f.y) <= 6, false) AS same, abs(i.x - f.x) > 100 AS far FROM f JOIN i ON i.doc_id = f.doc_id AND i.page_number IS NOT DISTINCT FROM f.page_number AND i.k = f.k + 1))
+SELECT doc_id, page_number, line_no, text, y FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_no ORDER BY k DESC) AS r FROM f) WHERE r = 1""",
+    "page_lines": f"""WITH RECURSIVE i AS (SELECT doc_id, page_number, y, t, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y IS NULL, y, x, block_id) AS k FROM (SELECT *, {_strip("content")} AS t, (block_no * 37) % 200 AS x FROM {_newest('blocks', 'block_id')} WHERE doc_id IS NOT NULL AND content IS NOT NULL) WHERE t <> ''),
+f AS (SELECT doc_id, page_number, k, y, t FROM i WHERE k = 1 UNION ALL
+SELECT i.doc_id, i.page_number, i.k, CASE WHEN coalesce(abs(i.y - f.y) <= 6, false) THEN f.y * 0.7::DOUBLE + i.y * 0.3::DOUBLE ELSE i.y END, f.t || CASE WHEN coalesce(abs(i.y - f.y) <= 6, false) THEN ' ' ELSE chr(10) END || i.t FROM f JOIN i ON i.doc_id = f.doc_id AND i.page_number IS NOT DISTINCT FROM f.page_number AND i.k = f.k + 1)
+SELECT doc_id, page_number, regexp_replace({_strip("regexp_replace(t, '[ ' || chr(9) || ']{2,}', ' ', 'g')")}, '<br ?/?>', ' ', 'g') AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY k DESC) AS r FROM f) WHERE r = 1""",
+    "repaired_tables": f"""WITH l AS (SELECT block_id, unnest(generate_series(1, len(p))) AS n, unnest(p) AS line FROM (SELECT block_id, string_split(content, chr(10)) AS p FROM {_newest("blocks", "block_id")} WHERE content IS NOT NULL)),
+f AS (SELECT *, translate(line, '|-=', '   ') AS bare, regexp_full_match(trim(translate(line, '|-=', '   ')), '[0-9 .,()\\-]*[0-9][0-9 .,()\\-]*') AS is_row FROM l), g AS (SELECT *, n - sum(is_row::INT) OVER (PARTITION BY block_id ORDER BY n) AS island FROM f),
+r AS (SELECT *, CASE WHEN is_row AND count(*) OVER w >= 2 THEN min(n) OVER w END AS region FROM g WINDOW w AS (PARTITION BY block_id, is_row, island)),
+c AS (SELECT *, CASE WHEN region IS NOT NULL THEN regexp_extract_all(bare, '[0-9.,()]+(?: [0-9][0-9.,()]*)*') END AS cells FROM r), m AS (SELECT *, max(len(cells)) OVER (PARTITION BY block_id, region) AS width FROM c),
+d AS (SELECT block_id, n, CASE WHEN region IS NULL THEN CASE WHEN regexp_matches(line, '\\p{{Nd}}') THEN {_strip("regexp_replace(line, '[ ' || chr(9) || ']{2,}', ' ', 'g')")} ELSE line END
+ELSE rtrim(array_to_string(list_transform(list_resize(cells, width, ''), lambda q: CASE WHEN length({_cell("q")}) < 15 THEN lpad({_cell("q")}, 15, ' ') ELSE {_cell("q")} END), ' | ')) END AS done FROM m)
+SELECT block_id, string_agg(done, chr(10) ORDER BY n) AS text FROM d GROUP BY block_id""",
     "json_replies": "SELECT event_id, json_extract_string(regexp_extract('Sure: ' || props || ' done', '\\{.*\\}'), '$.k') AS k FROM events",
     "first_wins": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1",
     "last_wins": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1",

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
-def write_texts(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """One folder a document with its text."""
-    texts.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+def write_texts(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text", folders: bool = False) -> None:
+    """Texts by their key as JSON lines, as many files as tasks; ``folders`` writes one folder a document with its plain text (for few documents)."""
+    rows = texts.select(key, F.col(text).alias("text"))
+    if folders:
+        rows.withColumnRenamed("text", "value").write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+    else:
+        write_json(rows, path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

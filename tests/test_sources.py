@@ -60,8 +60,10 @@ def test_results(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("A", "x\ny"), ("B", None)], "doc_id string, text string")
-    K.write_texts(df.filter("text IS NOT NULL"), str(tmp_path / "t"))
+    K.write_texts(df.filter("text IS NOT NULL"), str(tmp_path / "t"), folders=True)
     assert spark.read.text(str(tmp_path / "t")).count() == 2
+    K.write_texts(df, str(tmp_path / "k"))
+    assert {(r.doc_id, r.text) for r in spark.read.json(str(tmp_path / "k")).collect()} == {("A", "x\ny"), ("B", None)}
     K.write_json(df, str(tmp_path / "j"))
     assert sorted(json.loads(r.value)["doc_id"] for r in spark.read.text(str(tmp_path / "j")).collect()) == ["A", "B"]
     assert K.artifact_name("f", "s") == "extracted_f_all_s" and K.artifact_name("f", "s", 10) == "extracted_f_first10_s"
