@@ -126,7 +126,7 @@ def unnest(df: DataFrame, key: str = "result_id", pages: str = "pages", at: str
     df = once(df.select(key, at, pages), key, at, pages) if at else df.select(key, pages)
     whole = strict_variant(F.col(pages))
     doubled = F.when(_is_string(F.col("_v")), F.try_variant_get(F.col("_v"), "$", "string"))
-    df = df.filter(F.col(pages).isNotNull()).select(key, pages, whole.alias("_v")).filter("_v IS NOT NULL")
+    df = df.filter(F.col(pages).isNotNull()).select(key, pages, whole.alias("_v"))
     df = df.select(key, F.col("_v"), F.coalesce(doubled, F.col(pages)).alias("_t"), doubled.isNotNull().alias("_d"))
     df = df.select(key, "_t", F.when(F.col("_d"), strict_variant(F.col("_t"))).otherwise(F.col("_v")).alias("_v"))
     outer = _as_map(F.col("_v"))
@@ -141,7 +141,7 @@ def unnest(df: DataFrame, key: str = "result_id", pages: str = "pages", at: str
         return F.struct(own.alias("path"), got("page_number", "int"), got("method", "string"), got("confidence", "double"), got("char_count", "bigint"), got("error", "string"), e.alias("v"))
 
     listed = F.filter(F.transform(F.col("_a"), page), lambda p: ~F.is_variant_null(p["v"]))
-    df = df.filter("_a IS NOT NULL").select(key, "_n", listed.alias("_p"))
+    df = df.select(key, "_n", listed.alias("_p"))
 
     def below(p: Column) -> Column:
         inside = F.transform(_as_array(p["v"]), lambda e, i: _node(e, F.concat(p["path"], F.lit("."), i.cast("string")), p["path"], True))
@@ -153,16 +153,21 @@ def unnest(df: DataFrame, key: str = "result_id", pages: str = "pages", at: str
     return df.select(key, F.col("_p").alias("page_rows"), blocks.alias("block_rows"))
 
 
+def _rows(records: DataFrame, key: str, rows: Column) -> DataFrame:
+    """One row an element; by the outer form, since for the other the optimizer walks every record once more to see if there is one."""
+    return records.select(key, F.inline_outer(rows)).filter("node_path IS NOT NULL")
+
+
 def page_table(records: DataFrame, key: str = "result_id") -> DataFrame:
     """One row a page of ``unnest``'s result, with its scalar members."""
     flat = F.transform("page_rows", lambda p: F.struct(p["path"].alias("node_path"), *[p[c].alias(c) for c in ("page_number", "method", "confidence", "char_count", "error")]))
-    return records.select(key, F.inline(flat))
+    return _rows(records, key, flat)
 
 
 def block_table(records: DataFrame, key: str = "result_id") -> DataFrame:
     """One row a block, naming its parent and its page; the same path once."""
     flat = F.transform("block_rows", lambda b: F.struct(b["path"].alias("node_path"), b["parent"].alias("parent_path"), F.substring_index(b["path"], ".", 1).alias("page_path"), b["type"].alias("type"), b["content"].alias("content"), b["y"].alias("y")))
-    return records.select(key, F.inline(flat))
+    return _rows(records, key, flat)
 
 
 def node_table(records: DataFrame, key: str = "result_id") -> DataFrame:
@@ -174,4 +179,4 @@ def node_table(records: DataFrame, key: str = "result_id") -> DataFrame:
     row = lambda path, parent, kind: F.struct(path.alias("node_path"), parent.alias("parent_path"), F.lit(kind).alias("node_kind"))
     pages = F.transform("page_rows", lambda p: row(p["path"], F.lit(""), "page"))
     blocks = F.array_distinct(F.transform("block_rows", lambda b: row(b["path"], b["parent"], "block")))
-    return records.select(key, F.inline(F.concat(pages, blocks)))
+    return _rows(records, key, F.concat(pages, blocks))
