@@ -79,7 +79,8 @@ def with_year_context(df: DataFrame, key: str = "doc_id", reset_per_page: str |
     rows = rows.withColumn("is_header", T.is_year_header(line, F.col("years"), F.col("numbers")))
     event = F.when(F.col("is_header"), F.col("years")).when(T.is_page_break(line), F.array().cast("array<int>"))
     keys = [key, reset_per_page] if reset_per_page else [key]
-    events = rows.withColumn("_e", event).filter("_e IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "_e"))).alias("_es"))
+    may_be = line.rlike(r"20[0-9]{2}(?s:.*)20[0-9]{2}") | T.is_page_break(line)  # asked first: most lines are then not searched for numbers
+    events = rows.filter(may_be).withColumn("_e", event).filter("_e IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "_e"))).alias("_es"))
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("now"), F.array().cast("array<struct<line_no:bigint,context:array<int>>>").alias("out"))
 
@@ -149,5 +150,6 @@ def preview_lines(df: DataFrame, n: int = 80) -> DataFrame:
 def record_lines(records: DataFrame, key: str = "result_id") -> DataFrame:
     """(key, line_no, line): the lines of ``nested.unnest``'s blocks in the order of the document, counted from 1."""
     place = F.split("b.path", r"\.").cast("array<int>")
-    rows = records.select(key, F.explode("block_rows").alias("b")).filter("b.content IS NOT NULL").select(key, place.alias("_p"), F.md5("b.content").alias("_c"), F.col("b.content").alias("content"))
+    # outer: the optimizer would else walk every record a second time to see if there is a block
+    rows = records.select(key, F.explode_outer("block_rows").alias("b")).filter("b.content IS NOT NULL").select(key, place.alias("_p"), F.md5("b.content").alias("_c"), F.col("b.content").alias("content"))
     return numbered_lines(rows, key, "content", ["_p", "_c"])  # objects that are no array's share a place
