@@ -9,9 +9,9 @@ its paths.  A record hangs on its own source in the same way.  The unit the
 report's own text declares is pinned to the source whose label agrees (else to
 the fullest) and propagates along the graph, each factor snapped to a power of
 ten or to such a power between the year's currencies.  Without a statement a
-record has its own label; a record without a label takes that of a linked source
-if the link is a conversion (a factor of one says nothing: the rule for records
-without a label is the default), else the default.
+record has its own label, and without a label the default; with ``linked_labels``
+a record without a label takes that of a linked source if the link is a
+conversion (a factor of one says nothing).
 
 Defined results: a null value has no unit and no case; without a report id a
 record stands alone; of several statements that name a unit, in one text or
@@ -222,7 +222,7 @@ def yearly(rates: DataFrame) -> DataFrame:
     return each.groupBy("period_year").agg(F.map_from_entries(F.collect_list(F.struct("currency", "r"))).alias("_rates"))
 
 
-def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Sequence[str] = (), linked_labels: bool = False) -> DataFrame:
     """One row a fact record and field: its unit, what told it, and the value in million roubles.
 
     ``facts`` holds fact_id, doc_id, period_year, strategy, the fact fields and
@@ -243,7 +243,7 @@ def common_units(facts: DataFrame, texts: DataFrame, rates: DataFrame, order: Se
     for f in FIELDS:
         agrees = F.get(F.filter(n, lambda k: F.get("sources", k)[f] == F.col("_said")), F.lit(0))
         by_link = F.filter(F.transform(n, lambda k: F.struct(F.get("sources", k)[f].alias("u"), unit_along(F.get("sources", k)[f], F.col("_own") * F.get("_row", k), F.col("_rates")).alias("v"))), lambda x: x["v"].isNotNull() & (x["v"] != x["u"]))
-        alone = F.col("_said").isNull() & F.col(f"_label_{f}").isNull()
+        alone = F.lit(linked_labels) & F.col("_said").isNull() & F.col(f"_label_{f}").isNull()
         cells.append(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_label_{f}").alias("label"), F.coalesce(agrees, fullest).alias("pin"), F.when(alone, F.get(F.transform(by_link, lambda x: x["v"]), F.lit(0))).alias("by_link")))
     linked = linked.withColumns({f"_label_{f}": label_unit(F.col("unit_label"), f) for f in FIELDS})
     rows = linked.select("fact_id", "_said", "_own", "_row", "_rates", F.inline(F.array(*cells))).filter("value IS NOT NULL")

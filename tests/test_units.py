@@ -90,7 +90,9 @@ def test_label_reaches_a_record_a_thousand_times_larger(spark):
         {"fact_id": 3, "doc_id": "B", "strategy": "structured", "unit_label": "тыс. руб.", **full},
         {"fact_id": 4, "doc_id": "B", "strategy": "plain", **full},  # a factor of one: the rule for no label holds
     ]
-    out = U.common_units(_facts(spark, rows), *_context(spark))
+    kept = U.in_other_units(U.common_units(_facts(spark, rows), *_context(spark)))
+    assert {r.fact_id for r in kept.collect()} == {3}  # the stated rule: no label, million roubles
+    out = U.common_units(_facts(spark, rows), *_context(spark), linked_labels=True)
     got = {(r.fact_id, r.field): (r.currency, r.scale, r.basis) for r in out.collect()}
     assert got[2, "revenue"] == got[2, "total_assets"] == ("RUB", 3, "link") and got[1, "revenue"] == ("RUB", 6, "label")
     assert got[4, "revenue"] == ("RUB", 6, "default")
