@@ -383,18 +383,18 @@ def page_number(line: str) -> tuple[str, int] | None:
 _NUM_LINE = 34
 _PAGE_FORMS = {skeleton(w) for w in _PAGE_WORDS}
 
-PIECES = "rec_table string, rec_id bigint, doc string, page int, block_no int, cut boolean, bad boolean, top string, low string, num_form string, num int, tail string, head string, stop string"
+PIECE = "doc string, page int, block_no int, cut boolean, bad boolean, top string, low string, num_form string, num int, tail string, head string, stop string"
 
 
 def _piece(scan: Scan, text: str, edge: int | None = EDGE) -> tuple:
-    """What one page's part of a record tells: flags, edges, number, open ends, what is glued to the second.
+    """What one page's part of a record tells: its decoded text, flags, edges, number, open ends, what is glued to the second.
 
     The edges are ``edge`` characters of the two ends, or the whole first and last lines.
     """
     fixed, cut, bad = scan.repair(text)
     body = fixed.strip()
     if not body:
-        return cut, bad, None, None, None, None, None, None, None
+        return fixed, cut, bad, None, None, None, None, None, None, None
     rest, _, last = body.rpartition("\n")
     num = page_number(last)
     if num:
@@ -405,9 +405,9 @@ def _piece(scan: Scan, text: str, edge: int | None = EDGE) -> tuple:
         if num:
             body = f"{rest.rstrip()}\n{last}".lstrip()
     if not body:
-        return cut, bad, None, None, *num, None, None, None
+        return fixed, cut, bad, None, None, *num, None, None, None
     if edge is None:
-        return cut, bad, body.partition("\n")[0].strip(), body.rpartition("\n")[2].strip(), *(num or (None, None)), None, None, None
+        return fixed, cut, bad, body.partition("\n")[0].strip(), body.rpartition("\n")[2].strip(), *(num or (None, None)), None, None, None
     top, low = body[:edge], body[-edge:]
     tail = head = stop = None
     for end in (low, low.rpartition("\n")[0].rstrip()):
@@ -418,7 +418,7 @@ def _piece(scan: Scan, text: str, edge: int | None = EDGE) -> tuple:
         if (m := _HEAD.match(top, start)) and m.group(1)[0].islower():
             head, stop = m.groups()
             break
-    return cut, bad, top, low, *(num or (None, None)), tail, head, stop or None
+    return fixed, cut, bad, top, low, *(num or (None, None)), tail, head, stop or None
 
 
 def paragraphs(text: str) -> str:
@@ -475,8 +475,8 @@ def _against(a: str, b: str, full: int) -> float:
     return cost - 0.5 * (b.lstrip()[:1].islower())
 
 
-def clean_text(scan: Scan, text: str, marks: Iterable[dict] = ()) -> str:
-    """A record without its headers and page numbers, repaired, in paragraphs.
+def clean_text(text: str, marks: Iterable[dict] = ()) -> str:
+    """A decoded record without its headers and page numbers, in paragraphs.
 
     ``marks`` say what to mend on which page (null for a record without marks of
     its own): ``header`` and ``footer`` with the comparable form to take from
@@ -485,13 +485,13 @@ def clean_text(scan: Scan, text: str, marks: Iterable[dict] = ()) -> str:
     first becomes ``whole``. Nothing else is taken away.
     """
     out, page, marks = [], None, list(marks)
-    for i, part in enumerate(_PAGE.split(scan.canon.text(text))):
+    for i, part in enumerate(_PAGE.split(text)):
         if i % 2:
             out.append(f"[[PAGE:{part}]]")
             page = int(part)
             continue
         here = [m for m in marks if m["page"] in (None, page if page is not None else 0)]
-        lines = scan.repair(part)[0].split("\n")
+        lines = part.split("\n")
         edge = [k for k, x in enumerate(lines) if x.strip()]
         for m in here:
             if m["kind"] in ("tail", "head") and _close(lines, edge, m):
@@ -536,11 +536,13 @@ def _without(line: str, key: str, first: bool) -> str:
 def repair_texts(texts: DataFrame, lex: Lexicon) -> DataFrame:
     """(rec_table, rec_id, text): every record as continuous paragraphs without headers and page numbers, words cut between pages whole on the first.
 
-    What ``find_noise`` says of a record's pages is brought to it by its key, a
+    Every text is decoded once and staged with what its pages tell. What
+    ``find_noise`` says of them is brought to the decoded record by its key, a
     list as long as its pages; texts are moved once.
     """
     texts = with_extra(texts, ["rec_table", "rec_id"], "text", lex)
-    edges = stage(page_edges(stage(read_pieces(texts, lex))))
+    records = stage(read_records(texts, lex))
+    edges = stage(page_edges(pieces_of(records)))
     marked = F.col("rec_table") == "parser_result"
     none = F.lit(None).cast("string")
     told = lambda rec, page, kind, form=none, whole=none: (F.col("rec_table"), F.col(rec).alias("rec_id"), F.struct(F.when(marked, page).alias("page"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), form.alias("form"), whole.alias("whole")).alias("mark"))
@@ -551,13 +553,11 @@ def repair_texts(texts: DataFrame, lex: Lexicon) -> DataFrame:
     marks = marks.union(split.select(*told("one", F.col("page"), "tail", F.col("tail"), F.concat("word", F.coalesce("stop", F.lit(""))))))
     marks = marks.union(split.select(*told("two", F.col("page") + 1, "head", F.col("head"))))
     of_record = marks.groupBy("rec_table", "rec_id").agg(F.collect_set("mark").alias("marks"))
-    full = texts.join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "marks", "extra")
-    scans = lex.shared(texts)
+    full = records.select("rec_table", "rec_id", "decoded").join(of_record, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "decoded", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks, extra = (c.to_pylist() for c in batch.columns[2:])
-            done = [clean_text(scan, t, m or ()) if t else t for t, m, scan in zip(texts, marks, scans(extra))]
+            done = [clean_text(t, m or ()) if t else t for t, m in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(done, pa.string())], names=["rec_table", "rec_id", "text"])
 
     return full.mapInArrow(run, "rec_table string, rec_id bigint, text string")
@@ -567,31 +567,44 @@ _TAIL = re.compile(rf"([^\W_]+)[{_MARKS}]\s*$")
 _HEAD = re.compile(r"\s*([^\W\d_]+)((?:-[^\W\d_]+)*[.,;:!?%)\]}»”’\"'…]*)")
 
 
-def read_pieces(texts: DataFrame, lex: Lexicon, edge: int | None = EDGE) -> DataFrame:
-    """One row a record and page of (rec_table, rec_id, doc, page, block_no, text, extra); texts stay behind but for their edges."""
+def read_records(texts: DataFrame, lex: Lexicon, edge: int | None = EDGE, keep: bool = True) -> DataFrame:
+    """(rec_table, rec_id, decoded, pieces) of (rec_table, rec_id, doc, page, block_no, text, extra): every record decoded (null without ``keep``), with what each of its pages tells."""
     scans = lex.shared(texts)
-    fields = PIECES.split(", ")
-    schema = pa.schema([(f.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in fields])
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [pa.field(f.split()[0], kinds[f.split()[1]]) for f in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, cols = [], [c.to_pylist() for c in batch.columns]
-            for kind, rec, doc, page, no, text, scan in zip(*cols[:6], scans(cols[6])):
-                if not text:
-                    continue
-                text = scan.canon.text(text)
-                if kind != "parser_result":
-                    rows.append((kind, rec, doc, page, no, *_piece(scan, text, edge)))
-                    continue
-                parts = _PAGE.split(text)
-                if parts[0].strip():
-                    rows.append((kind, rec, doc, 0, 0, *_piece(scan, parts[0], edge)))
-                for i in range(1, len(parts), 2):
-                    rows.append((kind, rec, doc, int(parts[i]), 0, *_piece(scan, parts[i + 1], edge)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    return texts.select("rec_table", "rec_id", "doc", "page", "block_no", "text", "extra").mapInArrow(run, PIECES)
+            rows, ends, done, cols = [], [0], [], [c.to_pylist() for c in batch.columns]
+            for kind, doc, page, no, text, scan in zip(cols[0], *cols[2:6], scans(cols[6])):
+                said = text
+                if text and kind != "parser_result":
+                    said, *told = _piece(scan, scan.canon.text(text), edge)
+                    rows.append((doc, page, no, *told))
+                elif text:
+                    parts = _PAGE.split(scan.canon.text(text))
+                    for i in range(0, len(parts), 2):
+                        if i or parts[0].strip():
+                            parts[i], *told = _piece(scan, parts[i], edge)
+                            rows.append((doc, int(parts[i - 1]) if i else 0, 0, *told))
+                    said = "".join(f"[[PAGE:{x}]]" if i % 2 else x for i, x in enumerate(parts))
+                done.append(said if keep else None)
+                ends.append(len(rows))
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(fields), fields)], fields=fields)
+            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(done, pa.string()), pieces], names=["rec_table", "rec_id", "decoded", "pieces"])
+
+    kind = ", ".join(f.replace(" ", ":") for f in PIECE.split(", "))
+    return texts.select("rec_table", "rec_id", "doc", "page", "block_no", "text", "extra").mapInArrow(run, f"rec_table string, rec_id bigint, decoded string, pieces array<struct<{kind}>>")
+
+
+def pieces_of(records: DataFrame) -> DataFrame:
+    """One row a record and page; decoded texts stay behind."""
+    return records.select("rec_table", "rec_id", F.inline_outer("pieces")).filter("cut IS NOT NULL")
+
+
+def read_pieces(texts: DataFrame, lex: Lexicon, edge: int | None = EDGE) -> DataFrame:
+    return pieces_of(read_records(texts, lex, edge, keep=False).select("rec_table", "rec_id", "pieces"))
 
 
 class Lexicon:
