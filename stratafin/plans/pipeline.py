@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.operators import arbitration, ratios, statements
+from stratafin.operators import ratios, statements
 from stratafin.operators.statements import FIELDS
 from stratafin.session import stage
 
